@@ -19,8 +19,18 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.secret_scan import joined, scan
+
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
+    "op9_secret_entropy": op9_secret_entropy,
 }
 
 ORACLES: dict[str, str] = {}
