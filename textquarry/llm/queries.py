@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import table
 
 
+#: (verdict, host and path prefix)
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.url_rules import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokens
 
@@ -29,6 +39,7 @@ def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_redirect_equivalence": op1_redirect_equivalence,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
     "op9_secret_entropy": op9_secret_entropy,
 }
