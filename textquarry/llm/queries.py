@@ -29,6 +29,15 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.decontam import match
+
+    best = F.try_element_at("matches", F.lit(1))
+    return match(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", (F.size("matches") > 0).alias("contaminated"), F.size("matches").cast("long").alias("n_items"), best["item_id"].alias("item_id"), best["coverage"].alias("coverage"), best["tiles"].alias("tiles")
+    )
+
+
 def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textquarry.llm.secret_scan import joined, scan
 
@@ -41,6 +50,7 @@ def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_equivalence": op1_redirect_equivalence,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
+    "op7_greedy_string_tiling": op7_greedy_string_tiling,
     "op9_secret_entropy": op9_secret_entropy,
 }
 
