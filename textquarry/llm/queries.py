@@ -29,6 +29,14 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.toxicity import classify, default_categories, train
+
+    docs = table(spark, sf_dir, "documents")
+    chain = train(docs, table(spark, sf_dir, "labels"), default_categories())
+    return classify(docs.select("doc_id", "text"), chain).select("doc_id", "toxicity.p_low_quality", "toxicity.p_toxic", F.col("toxicity.is_toxic").alias("toxic"))
+
+
 def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textquarry.llm.decontam import match
 
@@ -50,6 +58,7 @@ def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_equivalence": op1_redirect_equivalence,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
+    "op5_classifier_chain": op5_classifier_chain,
     "op7_greedy_string_tiling": op7_greedy_string_tiling,
     "op9_secret_entropy": op9_secret_entropy,
 }
