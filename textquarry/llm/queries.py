@@ -46,6 +46,15 @@ def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = train(docs.filter(fold != 0).select("text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textquarry.llm.secret_scan import joined, scan
 
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
     "op5_classifier_chain": op5_classifier_chain,
     "op7_greedy_string_tiling": op7_greedy_string_tiling,
+    "op8_script_viterbi": op8_script_viterbi,
     "op9_secret_entropy": op9_secret_entropy,
 }
 
