@@ -64,6 +64,14 @@ def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokens
+
+    from textquarry.llm.token_shards import materialise
+
+    return materialise(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json"), tokens.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_equivalence": op1_redirect_equivalence,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_greedy_string_tiling": op7_greedy_string_tiling,
     "op8_script_viterbi": op8_script_viterbi,
     "op9_secret_entropy": op9_secret_entropy,
+    "op10_feistel_shards": op10_feistel_shards,
 }
 
 ORACLES: dict[str, str] = {}
