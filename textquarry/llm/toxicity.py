@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Rows of the training sample at most: those labelled documents whose hash is smallest.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 VOCABULARY = 20_000
 FOLDS = 3
 #: Features of fewer documents of the sample are not learned from.
@@ -64,7 +64,7 @@ class _Rows:
         self.at, self.word, self.n, self.n_words = at, word, n, n_words
 
     def select(self, rows: np.ndarray, words: np.ndarray) -> _Rows:
-        to_row, to_word = np.full(self.n, -1), np.full(self.n_words, -1)
+        to_row, to_word = np.full(self.n, -1, np.int32), np.full(self.n_words, -1, np.int32)
         to_row[rows], to_word[words] = np.arange(len(rows)), np.arange(len(words))
         a, w = to_row[self.at], to_word[self.word]
         ok = (a >= 0) & (w >= 0)
@@ -157,14 +157,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 
     got = rows.select("doc_id", *(f"y{i}" for i in range(len(names))), packed("text").alias("w")).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     each = [np.frombuffer(w, np.uint32) for w in got["w"]]
-    known, word = np.unique(np.concatenate([*each, np.zeros(0, np.uint32)]), return_inverse=True)
-    at = np.repeat(np.arange(len(each), dtype=np.int32), [len(w) for w in each])
-    often = np.bincount(word, minlength=len(known)) >= LEAST_DOCUMENTS
-    kept = often[word]
-    x = _Rows(at[kept], (np.cumsum(often) - 1)[word[kept]], len(each), int(often.sum()))
+    values = np.sort(np.concatenate([*each, np.zeros(0, np.uint32)]))
+    begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, int)
+    known = values[begin[np.diff(np.append(begin, len(values))) >= LEAST_DOCUMENTS]]
+    del values
+    kept = [np.searchsorted(known, w[np.isin(w, known)]).astype(np.int32) for w in each]
+    x = _Rows(np.repeat(np.arange(len(each), dtype=np.int32), [len(w) for w in kept]), np.concatenate([*kept, np.zeros(0, np.int32)]), len(each), len(known))
+    got = got.drop(columns="w")
+    del each, kept
     if not len(got):
         return Chain([Link(n, {}, [0.0] * k, -12.0, 0.5) for k, n in enumerate(names)])
-    return fit_chain(x, known[often], got[[f"y{i}" for i in range(len(names))]].to_numpy(), names)
+    return fit_chain(x, known, got[[f"y{i}" for i in range(len(names))]].to_numpy(), names)
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
