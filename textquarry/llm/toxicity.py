@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, int)
     known = values[begin[np.diff(np.append(begin, len(values))) >= LEAST_DOCUMENTS]]
     del values
-    kept = [np.searchsorted(known, w[np.isin(w, known)]).astype(np.int32) for w in each]
+    kept = [at[known[at] == w].astype(np.int32) for w in each for at in (np.minimum(np.searchsorted(known, w), len(known) - 1),)] if len(known) else [np.zeros(0, np.int32) for _ in each]
     x = _Rows(np.repeat(np.arange(len(each), dtype=np.int32), [len(w) for w in kept]), np.concatenate([*kept, np.zeros(0, np.int32)]), len(each), len(known))
     got = got.drop(columns="w")
     del each, kept
