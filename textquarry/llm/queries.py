@@ -37,6 +37,12 @@ def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs.select("doc_id", "text"), chain).select("doc_id", "toxicity.p_low_quality", "toxicity.p_toxic", F.col("toxicity.is_toxic").alias("toxic"))
 
 
+def op6_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.jaccard_join import link
+
+    return link(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textquarry.llm.decontam import match
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_equivalence": op1_redirect_equivalence,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
     "op5_classifier_chain": op5_classifier_chain,
+    "op6_grouped_prefix_join": op6_grouped_prefix_join,
     "op7_greedy_string_tiling": op7_greedy_string_tiling,
     "op8_script_viterbi": op8_script_viterbi,
     "op9_secret_entropy": op9_secret_entropy,
