@@ -20,6 +20,12 @@ def op1_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokens
 
@@ -80,6 +86,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_equivalence": op1_redirect_equivalence,
+    "op2_column_suffix_dedup": op2_column_suffix_dedup,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
     "op5_classifier_chain": op5_classifier_chain,
     "op6_grouped_prefix_join": op6_grouped_prefix_join,
