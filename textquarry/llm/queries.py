@@ -35,6 +35,12 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.embed_dedup import link
+
+    return link(table(spark, sf_dir, "embeddings"))
+
+
 def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textquarry.llm.toxicity import classify, default_categories, train
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_equivalence": op1_redirect_equivalence,
     "op2_column_suffix_dedup": op2_column_suffix_dedup,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
+    "op4_pruned_graph": op4_pruned_graph,
     "op5_classifier_chain": op5_classifier_chain,
     "op6_grouped_prefix_join": op6_grouped_prefix_join,
     "op7_greedy_string_tiling": op7_greedy_string_tiling,
