@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,12 +92,36 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return stars.unionByName(roots).select(F.col("node").cast(key), F.col("component").cast(key))
 
 
-def require_bounded(df: DataFrame, rows: int, what: str) -> list:
-    """Collect a stated small side (rules, benchmark items, weights): an error, not truncation, beyond `rows`."""
-    got = df.limit(rows + 1).collect()
-    if len(got) > rows:
-        raise ValueError(f"{what}: more than {rows} rows; pass them in blocks")
-    return got
+#: Bits of the table that tells tasks which keys may matter; its size never grows.
+TABLE_BITS = 26
 
 
-__all__ = ["components", "drop", "require_bounded", "save", "shared_dir", "table"]
+def bit_table(keys: DataFrame, column: str) -> np.ndarray:
+    """2**TABLE_BITS bits, set at the low bits of each of the long `keys`. It spares most other keys the way to a join,
+    which then decides; where there are so many keys that it fills up, it only spares less."""
+    low = F.col(column).bitwiseAND((1 << TABLE_BITS) - 1)
+    words = keys.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(`{column}` & 63L))")).alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(1 << TABLE_BITS - 6, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint64)
+    return out
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys.astype(np.uint64) & np.uint64((1 << TABLE_BITS) - 1)
+    return (table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not in `ids` (doc_id). Only rows that the bit table cannot rule out are shuffled."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "doc_id"))
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(table.value, keys.fillna(-1).to_numpy(np.int64)))
+
+    near = maybe(F.col("doc_id").cast("long"))
+    return docs.filter(~near).unionByName(docs.filter(near).join(ids, "doc_id", "left_anti").select(docs.columns))
+
+
+__all__ = ["bit_table", "components", "drop", "may_hold", "save", "shared_dir", "table", "without"]

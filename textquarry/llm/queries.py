@@ -90,6 +90,12 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json"), tokens.path("byte_bpe_50k.tiktoken"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_equivalence": op1_redirect_equivalence,
     "op2_column_suffix_dedup": op2_column_suffix_dedup,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_script_viterbi": op8_script_viterbi,
     "op9_secret_entropy": op9_secret_entropy,
     "op10_feistel_shards": op10_feistel_shards,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}
