@@ -100,16 +100,18 @@ def robust_prune(units: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA)
     return edges
 
 
-def range_search(units: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, node, cosine) of the nodes with cosine >= least that greedy search finds from the medoid.
+def range_search(units: np.ndarray, begin: np.ndarray, to: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of the nodes with cosine >= least that greedy search finds from the medoid. Node i's neighbours are
+    to[begin[i]:begin[i+1]].
 
     Each step expands a query's best unexpanded node while that is among its `beam` best, and all unexpanded nodes in
     range, so a search goes on for as long as the range grows. All queries of a chunk step together."""
     n = len(units)
     medoid = int((units @ units.mean(0)).argmax())
-    out = []
-    for a in range(0, len(queries), 256):
-        q = queries[a : a + 256]
+    size = np.diff(begin)
+    found_q, found_n = [], []
+    for a in range(0, len(queries), 128):
+        q = queries[a : a + 128]
         sim = np.full((len(q), n), -2.0)
         todo = np.zeros((len(q), n), bool)
         sim[:, medoid], todo[:, medoid] = units[q] @ units[medoid], True
@@ -122,25 +124,34 @@ def range_search(units: np.ndarray, edges: np.ndarray, queries: np.ndarray, leas
             expand = todo & (sim >= least)
             go = np.flatnonzero((value > -3) & (value >= bar))
             expand[go, best[go]] = True
-            i, node = np.nonzero(expand)
-            if not len(i):
+            who, node = np.nonzero(expand)
+            if not len(who):
                 break
-            todo[i, node] = False
-            to = edges[node]
-            who = np.repeat(i, to.shape[1])
-            to = to.ravel()
-            fresh = to >= 0
-            key = np.unique(who[fresh] * n + to[fresh])
-            who, to = key // n, key % n
-            fresh = sim[who, to] < -1.5
-            who, to = who[fresh], to[fresh]
-            for b in range(0, len(who), 50_000):
-                w, t = who[b : b + 50_000], to[b : b + 50_000]
-                sim[w, t] = np.einsum("ij,ij->i", units[q[w]], units[t])
-            todo[who, to] = True
+            todo[who, node] = False
+            ends = np.cumsum(size[node])
+            for x, y in _parts(ends, 500_000):
+                k = size[node[x:y]]
+                at = np.arange(k.sum()) + np.repeat(begin[node[x:y]] - np.concatenate(([0], np.cumsum(k)[:-1])), k)
+                key = np.unique(np.repeat(who[x:y], k) * n + to[at])
+                w, t = key // n, key % n
+                fresh = sim[w, t] < -1.5
+                w, t = w[fresh], t[fresh]
+                for b in range(0, len(w), 20_000):
+                    sim[w[b : b + 20_000], t[b : b + 20_000]] = np.einsum("ij,ij->i", units[q[w[b : b + 20_000]]], units[t[b : b + 20_000]])
+                todo[w, t] = True
         i, node = np.nonzero(sim >= least)
-        out.append((q[i], node, sim[i, node]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        found_q.append(q[i])
+        found_n.append(node)
+    return np.concatenate(found_q), np.concatenate(found_n)
+
+
+def _parts(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive parts of about `most` by running sums."""
+    x = 0
+    while x < len(ends):
+        y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + most, side="right")))
+        yield x, y
+        x = y
 
 
 def _assign(reps: DataFrame, centroids: dict[int, np.ndarray], overlap: int) -> DataFrame:
@@ -184,7 +195,12 @@ def _links(reps: DataFrame, least: float) -> DataFrame:
         edges = robust_prune(units)
         i, k = np.nonzero(edges >= 0)
         to = edges[i, k]
-        return pd.DataFrame({"src": np.concatenate([ids[i], ids[to]]), "dst": np.concatenate([ids[to], ids[i]])})
+        # of the edges that come in, each node also goes back along its nearest ones
+        near = np.einsum("ij,ij->i", units[i], units[to])
+        order = np.lexsort((-near, to))
+        first = np.searchsorted(to[order], to[order])
+        back = order[np.arange(len(order)) - first < DEGREE]
+        return pd.DataFrame({"src": np.concatenate([ids[i], ids[to[back]]]), "dst": np.concatenate([ids[to], ids[i[back]]])})
 
     graph = cells.select(*_CELL, "rep", "unit").groupBy(*_CELL).applyInPandas(build, "src long, dst long")
     lists = graph.groupBy(F.col("src").alias("rep")).agg(F.collect_set("dst").alias("near"))  # a degree's edges from each cell
@@ -192,14 +208,13 @@ def _links(reps: DataFrame, least: float) -> DataFrame:
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", ignore_index=True)
         units, ids, m = np.stack(rows["unit"].to_numpy()), rows["rep"].to_numpy(), rows["m"].to_numpy()
-        width = max((len(x) for x in rows["near"] if x is not None), default=0)
-        edges = np.full((len(rows), max(width, 1)), -1, np.int64)
-        for k, near in enumerate(rows["near"]):
-            if near is not None and len(near):
-                at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
-                at = at[ids[at] == near]
-                edges[k, : len(at)] = at
-        a, b, _ = range_search(units, edges, np.arange(len(rows)), least)
+        lists = []
+        for near in rows["near"]:
+            near = np.zeros(0, np.int64) if near is None else np.asarray(near)
+            at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
+            lists.append(at[ids[at] == near])
+        begin = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        a, b = range_search(units, begin, np.concatenate(lists), np.arange(len(rows)), least)
         # Links are symmetric: what either search has found counts for both.
         n = len(rows)
         key = np.unique(np.concatenate([a * n + b, b * n + a]))
