@@ -79,7 +79,7 @@ def merge(providers: DataFrame, upstream: DataFrame) -> DataFrame:
     both = ours.withColumn("here", F.lit(True)).join(theirs, ["provider", "id"], "full_outer")
     changed = ~F.col("before").eqNullSafe(F.col("after"))
     state = F.when(F.col("here").isNull(), "added").when(F.col("there").isNull(), "kept").otherwise("updated")
-    return both.select("provider", "id", state.alias("state"), "before", "after", (F.col("here") & F.col("there") & changed).alias("price_changed"))
+    return both.select("provider", "id", state.alias("state"), "before", "after", F.coalesce(F.col("here") & F.col("there") & changed, F.lit(False)).alias("price_changed"))
 
 
 def diff(merged: DataFrame) -> DataFrame:
