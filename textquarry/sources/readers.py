@@ -15,14 +15,16 @@ def jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array of providers (or one object), in order."""
+def catalogue(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One JSON array of providers, in order; lines: as write_catalogue leaves it."""
+    if lines:
+        return spark.read.schema(PROVIDERS).json(path)
     body = PROVIDERS.split(", ", 1)[1]
     return spark.read.schema(body).json(path, multiLine=True).withColumn("pos", F.monotonically_increasing_id().cast("int"))
 
 
 def write_catalogue(providers: DataFrame, path: str) -> None:
-    providers.orderBy("pos").drop("pos").write.mode("overwrite").json(path)
+    providers.orderBy("pos").write.mode("overwrite").json(path)
 
 
 def payload(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +41,7 @@ def model_list(df: DataFrame, column: str, kind: str) -> DataFrame:
 
 def dotenv(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of KEY=value lines; comments and bad names are skipped, `export` is allowed."""
-    line = F.regexp_extract_all("value", F.lit(r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=(.*)$"), F.lit(1))
+    line = F.regexp_extract_all("value", F.lit(r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)="), F.lit(1))
     value = F.regexp_extract("value", r"^\s*(?:export\s+)?[A-Za-z_][A-Za-z0-9_]*=(.*)$", 1)
     rows = spark.read.text(path).filter(F.size(line) > 0)
     return rows.select(F.element_at(line, 1).alias("key"), shell_decode(value).alias("value"))
