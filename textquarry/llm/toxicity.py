@@ -22,12 +22,9 @@ LEAST_DOCUMENTS = 4
 
 
 def features(text: str | None) -> set[int]:
-    """Hashes of the distinct words (A-Z lower-cased) and of their first 4, 5 and 6 bytes, which catch inflected forms."""
+    """Hashes of the distinct words (A-Z lower-cased) and of their first five bytes, which catch inflected forms."""
     whole = set(WORD.findall((text or "").encode("utf-8", "surrogatepass").lower()))
-    out = set(map(crc32, whole))
-    for n in (4, 5, 6):
-        out.update(map(crc32, {b"<%d " % n + w[:n] for w in whole}))
-    return out
+    return set(map(crc32, whole)) | set(map(crc32, {b"<" + w[:5] for w in whole}))
 
 
 @dataclass
