@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,6 +34,12 @@ RULES = [
     ("home_path_windows", "file_system_path", "medium", r"(?i)\b[a-z]:\\users\\[A-Za-z0-9_.][A-Za-z0-9_.\\-]*", False),
     ("tilde_path", "file_system_path", "medium", r"""(?:^|[\s"'`(=:])(~/[A-Za-z0-9_./-]+)""", True),
 ]
+#: Lower-case strings of which a text must hold one before a rule's expression is tried.
+NEAR = {
+    "bearer_header": ["authorization"], "key_value_assignment": ["password", "passwd", "token", "key", "secret"], "anthropic_key": ["sk-ant-"], "private_key_header": ["-----begin"],
+    "aws_access_key_id": ["akia", "asia"], "aws_secret_key": ["aws_secret"], "github_token": ["gh"], "openai_style_key": ["sk-"], "stripe_secret_key": ["sk_live_"], "figma_token": ["figd_"], "slack_token": ["xox"],
+    "db_connection_string": ["://"], "bank_account_kr": ["계좌", "account"], "phone_kr": ["01"], "home_path_posix": ["/users/", "/home/"], "home_path_windows": [":\\users\\"], "tilde_path": ["~/"],
+}
 RRN = ("rrn_kr", "korean_pii", "critical", r"\b\d{6}-[1-4]\d{6}\b")
 RRN_WEIGHTS = [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]
 SEVERITIES = ["low", "medium", "high", "critical"]
@@ -54,8 +61,10 @@ def rrn_valid(text: Column) -> Column:
 def rule_hits(text: Column | str) -> Column:
     """Names of the rules that find something, in rule order. JVM only."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    rrn = F.exists(F.regexp_extract_all(t, F.lit(_java(RRN[3])), F.lit(0)), rrn_valid)
-    return F.array_compact(F.array(*(F.when(t.rlike(_java(p)), name) for name, _, _, p, _ in RULES), F.when(rrn, RRN[0])))
+    low = F.lower(t)
+    near = lambda name: reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in [*NEAR[name], "ſ"]))  # noqa: E731  the long s folds to s
+    rrn = t.rlike(_java(RRN[3])) & F.exists(F.regexp_extract_all(t, F.lit(_java(RRN[3])), F.lit(0)), rrn_valid)
+    return F.array_compact(F.array(*(F.when(near(name) & t.rlike(_java(p)), name) for name, _, _, p, _ in RULES), F.when(rrn, RRN[0])))
 
 
 def _lookup(hits: Column, part: int) -> Column:

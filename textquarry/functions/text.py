@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +68,29 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _openings(pattern: str) -> list[str]:
+    """Lower-case strings of which a match of `pattern` must hold one: its opening literal, or those of its opening group."""
+    p = re.sub(r"^\\b", "", pattern)
+    group = re.match(r"\(([^()]*)\)", p)
+    if group and not group[1].startswith(("^", "?")):
+        return [x for o in group[1].split("|") for x in _openings(o)]
+    literal = re.match(r"[A-Za-z0-9 _:!';<#-]+", p)
+    if literal is None:
+        return ["#"] if "#{" in p else []
+    return [(literal[0][:-1] if p[literal.end() : literal.end() + 1] in ("?", "*") else literal[0]).lower()]
+
+
+def matches(text: Column, patterns: list[str]) -> Column:
+    """Does one of the patterns (case-insensitive) match? Cheap substring tests keep most texts from the regular expressions;
+    the long s, which folds to s but has no lower-case form, goes to them."""
+    low, tests = F.lower(text), []
+    for p in patterns:
+        near = [F.contains(low, F.lit(x)) for x in _openings(p)]
+        full = text.rlike(f"{DIALECT}(?i){p}")
+        tests.append(reduce(lambda a, b: a | b, [*near, F.contains(low, F.lit("ſ"))]) & full if near else full)
+    return reduce(lambda a, b: a | b, tests)
+
+
 def estimate_tokens(text: Column | str) -> Column:
     """Script-aware token estimate: 0 for null, empty or control-only texts, else at least 1."""
     t = F.coalesce(_col(text), F.lit(""))
@@ -111,20 +137,20 @@ def sanitize_output(text: Column | str) -> Column:
 def classify_failure(message: Column | str) -> Column:
     m, out = F.coalesce(_col(message), F.lit("")), F.lit("unknown")
     for label, patterns in reversed(FAILURES):
-        out = F.when(m.rlike(f"{DIALECT}(?i)" + "|".join(f"(?:{p})" for p in patterns)), label).otherwise(out)
+        out = F.when(matches(m, patterns), label).otherwise(out)
     return out
 
 
 def injection_score(text: Column | str) -> Column:
     """Sum of the weights of all rules that match, 1 at most."""
     t = F.coalesce(_col(text), F.lit(""))
-    total = sum((F.when(t.rlike(f"{DIALECT}(?i){p}"), w).otherwise(0.0) for _, w, p in INJECTIONS), F.lit(0.0))
+    total = sum((F.when(matches(t, [p]), w).otherwise(0.0) for _, w, p in INJECTIONS), F.lit(0.0))
     return F.least(F.round(total, 4), F.lit(1.0))
 
 
 def injection_labels(text: Column | str) -> Column:
     t = F.coalesce(_col(text), F.lit(""))
-    return F.array_distinct(F.array_compact(F.array(*(F.when(t.rlike(f"{DIALECT}(?i){p}"), label) for label, _, p in INJECTIONS))))
+    return F.array_distinct(F.array_compact(F.array(*(F.when(matches(t, [p]), label) for label, _, p in INJECTIONS))))
 
 
 def redact_credential(value: Column | str) -> Column:

@@ -29,16 +29,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     out = e.groupBy("source").agg(F.sum("weight").alias("total")).filter("total > 0")
     shares = cut(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")), "shares")
     sinks = cut(ids.join(out.select(F.col("source").alias("id")), "id", "left_anti"), "sinks")
-    rank = ids.withColumn("rank", F.lit(1.0 / n))
+    rank = sinks.select("id", F.lit(True).alias("sink")).unionByName(ids.join(sinks, "id", "left_anti").withColumn("sink", F.lit(False))).withColumn("rank", F.lit(1.0 / n))
+    lost = sinks.count() / n
     for _ in range(rounds):
-        lost = rank.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")).first().lost
         got = rank.join(shares, rank.id == shares.source).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         base = (1 - damping) / n + damping * lost / n
-        new = rank.join(got, rank.id == got.target, "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+        new = rank.join(got, rank.id == got.target, "left").select("id", "sink", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
         new = cut(new, "rank")
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d")).first().d
-        rank = new.drop("old")
-        if moved < tolerance:
+        r = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost")).first()
+        rank, lost = new.drop("old"), r.lost
+        if r.moved < tolerance:
             break
     total = rank.agg(F.sum("rank").alias("t")).first().t
     return rank.select("id", (F.col("rank") / total).alias("rank"))
@@ -67,12 +67,15 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10, orde
     """(id, label): asynchronous propagation in the order of `order`: each node takes the label with most weight among its
     neighbours, the one of the earliest node among equals, until nothing changes.
 
-    Updates never leave a connected component, so each component is one group and the result is that of one sequential
-    pass over all nodes. A component has to fit a task: for a giant one use components() or a synchronous rule instead."""
+    Updates never leave a connected component, so groups of whole components go one after the other through a task and the
+    result is that of one sequential pass over all nodes. A component has to fit a task: for a giant one use components()."""
     ids = nodes.select("id", F.col(order).alias("pos"))
     of = components(nodes, edges)
-    e = with_ends(ids, edges).select("source", "target", "weight").join(of.withColumnRenamed("id", "source"), "source").select(F.col("component").alias("c"), "source", "target", "weight")
-    members = ids.join(of, "id")
+    e = with_ends(ids, edges).select("source", "target", "weight").join(of.withColumnRenamed("id", "source"), "source")
+    groups = 8 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("component"), F.lit(groups))
+    e = e.select(part.alias("c"), "source", "target", "weight")
+    members = ids.join(of, "id").select("id", "pos", part.alias("component"))
 
     def run(key: tuple, people: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         people = people.sort_values("pos", ignore_index=True)
