@@ -88,3 +88,20 @@ def test_query_against_brute_force(spark):
     want = brute([(r.doc_id, r.text) for r in rows], 4, 85)
     assert sorted(tuple(r) for r in QUERIES["op6_grouped_prefix_join"](spark, dir_).collect()) == want
     assert len({c for _, _, c in want}) < len(want) and np.mean([n for _, n, _ in want]) > 10
+
+
+def test_signatures_never_understate_what_is_common(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(9)
+    words = [f"v{i}" for i in range(9000)]
+    rows = [(i, " ".join(rnd.sample(words, n))) for i, n in enumerate((3, 50, 900, 1020, 1030, 1040, 2040, 2060, 5000, 5100))]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    own = J.profiles(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80, none)
+    a, b = (own.select(*(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "sig"))) for x in "ab")
+    sets = dict(rows)
+    for r in a.join(b, F.col("doc_id_a") < F.col("doc_id_b")).select("doc_id_a", "doc_id_b", "n_a", "n_b", J.differing_bits(F.col("sig_a"), F.col("sig_b")).alias("d")).collect():
+        common = len(set(sets[r.doc_id_a].split()) & set(sets[r.doc_id_b].split()))
+        assert common <= (r.n_a + r.n_b - r.d) / 2
+        if min(r.n_a, r.n_b) > 0.5 * max(r.n_a, r.n_b):
+            assert r.d > 0

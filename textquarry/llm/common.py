@@ -32,6 +32,7 @@ def save(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of tables that were dropped
     _KEPT[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
@@ -121,7 +122,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
         return pd.Series(may_hold(table.value, keys.fillna(-1).to_numpy(np.int64)))
 
     near = maybe(F.col("doc_id").cast("long"))
-    return docs.filter(~near).unionByName(docs.filter(near).join(ids, "doc_id", "left_anti").select(docs.columns))
+    return docs.filter(~near).unionByName(docs.filter(near).hint("merge").join(ids, "doc_id", "left_anti").select(docs.columns))
 
 
 __all__ = ["bit_table", "components", "drop", "may_hold", "save", "shared_dir", "table", "without"]

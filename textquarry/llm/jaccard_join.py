@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import components, drop, save
+from textquarry.llm.common import bit_table, components, drop, may_hold, save, without
 from textquarry.llm.shingles import mix, shingle_sets
 
 #: A shingle counts as common where a block of BLOCK shingles of one task holds it LOCAL times; of those, the COMMON_ROWS
 #: with the highest sums (16 bytes each) are told to the tasks that order shingles. The order only decides how many
 #: candidates there are, never which links are found, so what this table misses costs time and no result.
-BLOCK, LOCAL, COMMON_ROWS = 4_000_000, 3, 1_000_000
+BLOCK, LOCAL, COMMON_ROWS = 2_000_000, 3, 1_000_000
+
+
+#: Bits of a signature at least; a larger set has as many as the power of two that reaches its size.
+SIGNATURE_BITS = 1_024
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +49,10 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def profiles(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, s1, s2, prefix): a document's set size, two checksums of the set, and its prefix: the n - ceil(t*n) + 1
-    least common shingles. Two sets of similarity t or more share one of their prefixes' shingles."""
+    """(doc_id, n, s1, s2, sig, prefix): a document's set size, two checksums of the set, its signature, and its prefix:
+    the n - ceil(t*n) + 1 least common shingles. Two sets of similarity t or more share one of their prefixes' shingles.
+    A signature's bit says whether an odd number of shingles hash to it, so sets differ in at least as many shingles as
+    their signatures do in bits."""
     table = docs.sparkSession.sparkContext.broadcast(common)  # COMMON_ROWS pairs at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,39 +65,67 @@ def profiles(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray
             return np.where(hashes[at] == x, counts[at], 0)
 
         for batch in batches:
-            n, s1, s2, prefix = [], [], [], []
+            n, s1, s2, sig, prefix = [], [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 p = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     s1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                     s2.append(int(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64).astype(np.int64)))
+                bits = max(SIGNATURE_BITS, 1 << max(len(s) - 1, 0).bit_length())
+                odd = np.bincount((mix(s + np.uint64(0x51)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                sig.append(np.packbits(odd.astype(bool)).view(np.int64))
                 prefix.append(s[np.argsort(rank(s), kind="stable")[:p]].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "prefix"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
+                ["doc_id", "n", "s1", "s2", "sig", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sig array<long>, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the documents in `ids`."""
+    """(doc_id, shingles) of the documents in `ids`, and of others that a fixed table of bits can't tell from them: texts
+    stay where they are, and only these sets go to the join that decides."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(ids, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            near = batch.filter(pa.array(may_hold(table.value, batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False))))
+            for i in range(0, near.num_rows, 512):
+                part = near.slice(i, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype(np.int64) for s in shingle_sets(part.column(1), width)], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def differing_bits(a: Column, b: Column) -> Column:
+    """Of two signatures, the longer one folded once onto the shorter; 0 where their lengths still differ."""
 
+    def folded(x: Column, other: Column) -> Column:
+        k = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, F.lit(1), k), F.slice(x, k + 1, k), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets really are that similar."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    x, y = folded(a, b), folded(b, a)
+    total = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
+    return F.when(F.size(x) == F.size(y), total).otherwise(0)
+
+
+def verify(docs: DataFrame, own: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets really are that similar: those that their signatures can't rule out, by their sets."""
+    one = lambda c: own.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    differ = differing_bits(F.col("sig_a"), F.col("sig_b"))
+    most = (F.col("n_a") + F.col("n_b") - differ) / 2  # of common shingles
+    # merge: pairs grow with the input, so the joins that hold for many of them are asked for at every size
+    pairs = one("a").hint("merge").join(pairs, "a").join(one("b").hint("merge"), "b").filter(most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    pairs = save(pairs.select("a", "b").distinct(), "pairs")
+    left = sets_of(docs, pairs.select(F.col("a").alias("doc_id")), width).select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    right = sets_of(docs, pairs.select(F.col("b").alias("doc_id")), width).select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    both = left.join(pairs.hint("merge"), "a").join(right.hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.select("a", "b", (common * 100 >= percent * (F.size("x") + F.size("y") - common)).alias("ok")).filter("ok").select("a", "b")
+    links = save(both.filter(common * 100 >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
+    drop(pairs)
+    return links
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -109,27 +143,25 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     and verified, so no link between components is lost.
     """
     own = save(profiles(docs, width, percent, common_shingles(docs, width)), "profiles")
-    some = own.filter("n > 0")
-    smallest = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = some.join(smallest, ["n", "s1", "s2"])
+    some = own.filter("n > 0").select("doc_id", "n", "s1", "s2", F.xxhash64("prefix").alias("p"))
+    equals = some.groupBy("n", "s1", "s2", "p").agg(F.min("doc_id").alias("rep"))
+    groups = equals.groupBy("n", "p").agg(F.min("rep").alias("gid"))
+    members = save(some.join(equals, ["n", "s1", "s2", "p"]).select("doc_id", "rep", "n", "p"), "members")
+    grouped = save(equals.select("rep", "n", "p").distinct().join(groups, ["n", "p"]).select("gid", "rep").distinct(), "groups")
     equal = members.filter("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    classes = members.filter("doc_id = rep").dropDuplicates(["rep", "n", "s1", "s2"]).select("rep", "n", F.xxhash64("prefix").alias("p"), "prefix")
-    first = classes.groupBy("n", "p").agg(F.min("rep").alias("gid"))
-    grouped = save(classes.join(first, ["n", "p"]).select("gid", "rep", "n", "prefix"), "groups")
+    following = members.filter("doc_id <> rep").select("doc_id").unionByName(grouped.filter("rep <> gid").select(F.col("rep").alias("doc_id"))).distinct()
+    leading = without(own.filter("n > 0"), following)
 
-    shared = save(_shared_tokens(grouped.filter("rep = gid"), percent), "tokens")
+    shared = save(_shared_tokens(leading.dropDuplicates(["doc_id", "n", "s1", "s2"]).select(F.col("doc_id").alias("gid"), "n", "prefix"), percent), "tokens")
     inside = grouped.filter("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b"))
-    involved = grouped.join(shared.select("gid").distinct(), "gid", "left_semi").select(F.col("rep").alias("doc_id"))
-    involved = involved.unionByName(inside.select(F.col("a").alias("doc_id"))).unionByName(inside.select(F.col("b").alias("doc_id"))).distinct()
-    sets = save(sets_of(docs, involved, width), "sets")
-    links = save(verify(_leaders(grouped, shared, percent).unionByName(inside).distinct(), sets, percent), "links")
-
+    links = verify(docs, own, _leaders(shared, percent).unionByName(inside).distinct(), width, percent)
     of = components(links, "a", "b")
     placed = save(grouped.join(of, F.col("rep") == F.col("node"), "left").select("gid", "rep", F.coalesce("component", "rep").alias("component")), "placed")
-    left = save(verify(_across(placed, shared, percent), sets, percent), "links")
+    left = verify(docs, own, _across(placed, shared, percent), width, percent)
+    drop(shared, placed)
     everything = equal.unionByName(links.unionByName(left).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     result = components(everything)
-    drop(sets, shared)
+    drop(members, grouped)
     return own.join(result, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -147,12 +179,12 @@ def _shared_tokens(groups: DataFrame, percent: int) -> DataFrame:
     return near.filter((F.col("before") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("after") * percent)).drop("before", "after")
 
 
-def _leaders(grouped: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+def _leaders(shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): each group with the leader of each of its buckets. A cluster's original shares all of its prefix, while an
     edited copy has shingles of its own, so the leader is likely to link with every copy."""
     lonely = shared.groupBy("gid").agg((1 - F.count("*") / F.max("own_tokens")).alias("lonely"))
     w = Window.partitionBy("token").orderBy("lonely", "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = shared.join(lonely, "gid").withColumn("lead", F.first(F.struct("gid", "n", "at")).over(w)).filter("gid <> lead.gid")
+    led = shared.hint("merge").join(lonely, "gid").withColumn("lead", F.first(F.struct("gid", "n", "at")).over(w)).filter("gid <> lead.gid")
     n, at, m, to = F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")
     fits = F.when(n <= m, _may_link(n, at, m, to, percent)).otherwise(_may_link(m, to, n, at, percent))
     return led.filter(fits).select(F.col("gid").alias("a"), F.col("lead.gid").alias("b")).distinct()
@@ -161,7 +193,7 @@ def _leaders(grouped: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
 def _across(placed: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of members that may link and lie in different components."""
     span = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rows = shared.join(span, "gid").select("token", "gid", "n", "at", "low", "high")
+    rows = shared.hint("merge").join(span, "gid").select("token", "gid", "n", "at", "low", "high")
     x, y = rows.alias("x"), rows.alias("y")
     apart = (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high")) | (F.col("x.low") != F.col("y.low"))
     in_order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") < F.col("y.gid")))

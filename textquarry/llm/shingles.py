@@ -52,7 +52,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, np.searchsorted(bounds, a, side="right") - 1
 
 
-def shingle_sets(texts: pa.Array, width: int, slice_bytes: int = 2_000_000) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int, slice_bytes: int = 500_000) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in order: runs of `width` words, or the whole sequence where there
     are fewer words; none without words or text."""
     texts = texts.cast(pa.large_binary())
