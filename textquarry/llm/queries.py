@@ -110,4 +110,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+_REACH = """r AS (SELECT id, id AS c FROM ids UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.c)"""
+
+ORACLES: dict[str, str] = {
+    "op4_pruned_graph": f"""WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93), {_REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM l WHERE l.x = id) AS n_links, min(c) AS component_id, min(c) = id AS kept FROM r GROUP BY id""",
+    "op6_grouped_prefix_join": f"""WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)), {_REACH}
+SELECT id AS doc_id, coalesce((SELECT n FROM n WHERE n.doc_id = id), 0) AS n_shingles, min(c) AS component_id FROM r GROUP BY id""",
+}
