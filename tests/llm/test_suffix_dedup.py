@@ -39,11 +39,17 @@ def texts():
 def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT_STRINGS", hot)
     rows = texts()
+    for k, v in {"skewedPartitionThresholdInBytes": "200", "skewedPartitionFactor": "1.1"}.items():  # adaptive execution splits what it may
+        spark.conf.set(f"spark.sql.adaptive.skewJoin.{k}", v)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(5)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in S.dedup(df).collect())
     assert got == brute(rows, 100)
     again = S.dedup(df.unionAll(df.filter("doc_id < 3"))).collect()
     assert len(again) == len(rows) + 3
+    for k in ("adaptive.skewJoin.skewedPartitionThresholdInBytes", "adaptive.skewJoin.skewedPartitionFactor", "adaptive.advisoryPartitionSizeInBytes", "autoBroadcastJoinThreshold"):
+        spark.conf.unset(f"spark.sql.{k}")
 
 
 def test_long_text_in_pieces(spark):

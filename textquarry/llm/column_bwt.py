@@ -44,22 +44,25 @@ class ColumnBWT:
             bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
             order = np.argsort(bwt, kind="stable")
             ended = int(np.count_nonzero(bwt == 0))
-            to = np.empty(len(bwt), np.int64)
-            to[order] = np.arange(len(bwt)) - ended + self.m  # where the suffix that starts with this symbol belongs
-            new = to[place]
-            by = np.argsort(new, kind="stable")
-            live, place, new = live[by], place[by], new[by]
+            due = np.zeros(len(bwt), bool)
+            due[place] = True
+            rank = np.flatnonzero(due[order])  # in sorted order the suffixes that start with these symbols belong here
+            new = rank - ended + self.m
+            owner = np.empty(len(bwt), np.int32)
+            owner[place] = live
+            live = owner[order[rank]]
             symbols = self._symbols(live, j)
             size = len(bwt) + len(new)
             fresh = np.zeros(size, bool)
             fresh[new] = True
             out = np.empty(size, np.uint8)
-            out[new], out[~fresh] = symbols, bwt
+            old = ~fresh
+            out[new], out[old] = symbols, bwt
             # LCP of a new suffix and of the one after it: one more than the least between their tails.
             changed = np.union1d(new, new[new + 1 < size] + 1)
             values = self._common(changed, order, ended, bwt, lcp)
             new_lcp = np.zeros(size, np.uint8)
-            new_lcp[~fresh] = lcp
+            new_lcp[old] = lcp
             new_lcp[changed] = values
             out.tofile(bwt_file)
             new_lcp.tofile(lcp_file)
@@ -77,7 +80,9 @@ class ColumnBWT:
         a, b = a[ok], b[ok]
         if len(a):
             padded = np.append(lcp, np.uint8(0))
-            least = np.minimum.reduceat(padded, np.stack([a + 1, b + 1], 1).ravel())[::2]
+            down = np.argsort(-a, kind="stable")  # by falling starts, since reduceat would also run over gaps that rise
+            least = np.empty(len(a), np.uint8)
+            least[down] = np.minimum.reduceat(padded, np.stack([a[down] + 1, b[down] + 1], 1).ravel())[::2]
             out[ok] = np.minimum(least, 254) + 1
         return out
 

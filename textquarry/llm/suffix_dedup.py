@@ -7,18 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.column_bwt import ColumnBWT
-from textquarry.llm.common import save
+from textquarry.llm.common import bit_table, drop, may_hold, save
 
 SEED_BYTES = 32
-BITMAP_BITS = 26
 #: An anchor with more distinct strings than this is dealt out by its single windows.
 HOT_STRINGS = 2_000
 #: Strings of one collection at most; a task with more builds several, cut between anchors.
-COLLECTION = 40_000
+COLLECTION = 10_000
+#: An anchor's strings are compared in this many parts of the window range before a collection is built of them.
+CELLS = 4
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(0xB17E).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -29,13 +30,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def anchored_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of `length` bytes that have the same anchor: (text number, start, windows, anchor hash).
+    """Runs of windows of `length` bytes that have the same anchor: (text number, start, windows, anchor - start, anchor hash).
 
     The anchor of a window is its SEED_BYTES-gram with the smallest hash, the first of equal ones, so equal windows
     have the same anchor at the same place wherever they stand. Every window lies in exactly one run. `data` holds
     at most 2**24 bytes, of texts that end at `bounds`.
     """
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     if len(data) < length:
         return none
     with np.errstate(over="ignore"):
@@ -61,10 +62,10 @@ def anchored_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np
         return none
     turn = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
     n = np.diff(np.append(turn, len(starts)))
-    return text[turn], starts[turn], n, h[at[turn]]
+    return text[turn], starts[turn], n, at[turn] - starts[turn], h[at[turn]]
 
 
-def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, bytes, ends) of consecutive texts of about `most` bytes. A longer text stands alone."""
     i = 0
     while i < len(texts):
@@ -79,18 +80,18 @@ def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, np.nd
 
 def runs_of(texts: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
     """anchored_runs of all texts, of very long ones in overlapping pieces. Starts are within the text, offsets within data."""
-    piece = 1 << 23
+    piece = 1 << 21
     for first, data, ends in _slices(texts):
         if len(data) <= piece:
-            text, start, n, h = anchored_runs(data, ends, length)
-            yield first, data, (text, start, start - np.concatenate(([0], ends[:-1]))[text], n, h)
+            text, start, n, left, h = anchored_runs(data, ends, length)
+            yield first, data, (text, start, start - np.concatenate(([0], ends[:-1]))[text], n, left, h)
             continue
         begins = np.concatenate(([0], ends[:-1]))
         for k, (b, e) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
             for at in range(b, max(e - length + 1, b), piece):
                 part = data[at : min(at + piece + length - 1, e)]
-                text, start, n, h = anchored_runs(part, np.array([len(part)]), length)
-                yield first, data, (text + k, start + at, start + at - b, n, h)
+                text, start, n, left, h = anchored_runs(part, np.array([len(part)]), length)
+                yield first, data, (text + k, start + at, start + at - b, n, left, h)
 
 
 def _recurring(docs: DataFrame, length: int) -> DataFrame:
@@ -98,7 +99,7 @@ def _recurring(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, (_, _, _, _, h) in runs_of(batch.column(0), length):
+            for _, _, (_, _, _, _, _, h) in runs_of(batch.column(0), length):
                 k, n = np.unique(h, return_counts=True)
                 if len(k):
                     yield pa.RecordBatch.from_pydict({"anchor": k.astype(np.int64), "n": np.minimum(n, 2).astype(np.int32)})
@@ -107,42 +108,35 @@ def _recurring(docs: DataFrame, length: int) -> DataFrame:
     return seen.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """2**BITMAP_BITS bits, set where an anchor recurs: spares most of the others the way to the join, which decides."""
-    bit = F.col("anchor").bitwiseAND((1 << BITMAP_BITS) - 1)
-    words = anchors.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(anchor & 63L))")).alias("bits"))
-    got = words.toArrow()
-    out = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint64)
-    return out
-
-
-_RUNS = "anchor long, doc_id long, start long, n int, g binary, bytes binary"
-
-
-def _runs(docs: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
-    """The runs whose anchor may recur, with their bytes and a 128-bit hash of these."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _runs(docs: DataFrame, anchors: np.ndarray, length: int, keys: np.ndarray | None = None) -> DataFrame:
+    """(anchor, doc_id, start, n, left, g) of the runs whose anchor may be in the bit table `anchors`: `left` is how far
+    before its anchor a run starts, g a 64-bit hash of its bytes. With `keys`: of these runs those whose _key() may be in
+    that table, and with their bytes."""
+    held, with_bytes = docs.sparkSession.sparkContext.broadcast((anchors, keys)), keys is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, data, (text, at, start, n, h) in runs_of(batch.column(1), length):
-                bit = h & np.uint64((1 << BITMAP_BITS) - 1)
-                ok = np.flatnonzero((held.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+            for first, data, (text, at, start, n, left, h) in runs_of(batch.column(1), length):
+                doc = ids[first + text].astype(np.int64)
+                ok = np.flatnonzero(may_hold(held.value[0], h))
                 raw = data.tobytes() if len(ok) else b""
-                for i in range(0, len(ok), 20_000):
-                    k = ok[i : i + 20_000]
-                    strings = [raw[a:b] for a, b in zip(at[k].tolist(), (at[k] + n[k] + length - 1).tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h[k].astype(np.int64)), pa.array(ids[first + text[k]].astype(np.int64)), pa.array(start[k]), pa.array(n[k].astype(np.int32)),
-                            pa.array([xxhash.xxh3_128_digest(s) for s in strings], pa.binary()), pa.array(strings, pa.binary()),
-                        ],
-                        ["anchor", "doc_id", "start", "n", "g", "bytes"],
-                    )
+                strings = [raw[a:b] for a, b in zip(at[ok].tolist(), (at[ok] + n[ok] + length - 1).tolist(), strict=True)]
+                g = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings)).astype(np.int64)
+                columns = [h[ok].astype(np.int64), doc[ok], start[ok], n[ok].astype(np.int32), left[ok].astype(np.int32), g]
+                if with_bytes:
+                    wanted = np.flatnonzero(may_hold(held.value[1], g ^ start[ok] ^ (doc[ok] << 20)))
+                    columns = [c[wanted] for c in columns] + [[strings[i] for i in wanted.tolist()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    schema = "anchor long, doc_id long, start long, n int, left int, g long" + ", bytes binary" * with_bytes
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()][: len(names)]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _RUNS)
+def _key() -> Column:
+    return F.col("g").bitwiseXOR(F.col("start")).bitwiseXOR(F.shiftleft("doc_id", 20))
 
 
 def repeated_windows(strings: list[bytes], firsts: list[tuple[int, int]], length: int) -> list[np.ndarray]:
@@ -176,72 +170,155 @@ def _ranges(offsets: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(offsets[turn].tolist(), np.diff(np.append(turn, len(offsets))).tolist(), strict=True))
 
 
+def _trim(rows: list[tuple], length: int) -> list[tuple[tuple, int, bytes]]:
+    """(row, windows cut off in front, bytes) of an anchor's distinct strings (anchor, g, doc_id, start, n, left, bytes) that
+    may share a window with another one.
+
+    A window starts 0 to length-SEED_BYTES bytes before the anchor; in each of CELLS parts of that range all windows
+    hold the same bytes around the anchor, and a string that no other one agrees with there shares no window there."""
+    span = length - SEED_BYTES + 1
+    cells = [(span * c // CELLS, span * (c + 1) // CELLS - 1) for c in range(CELLS)]  # least and greatest distance to the anchor
+    seen: dict[tuple[int, bytes], int] = {}
+    parts = []
+    for _, _, _, _, n, left, string in rows:
+        mine = []
+        for c, (near, far) in enumerate(cells):
+            if left >= near and left - n + 1 <= far:
+                k = (c, string[left - near : left - far + length])
+                mine.append(k)
+                seen[k] = seen.get(k, 0) + 1
+        parts.append(mine)
+    out = []
+    for r, mine in zip(rows, parts, strict=True):
+        shared = [c for c, k in mine if seen[c, k] > 1]
+        if shared:
+            n, left, string = r[4:]
+            a = max(0, left - cells[shared[-1]][1])
+            b = min(n - 1, left - cells[shared[0]][0])
+            out.append((r, a, string[a : b + length]))
+    return out
+
+
 def _judge(strings: DataFrame, length: int) -> DataFrame:
-    """(anchor, g, runs): for each distinct string (anchor, g, bytes, first) the window runs that repeat earlier ones.
+    """(anchor, g, runs): for each distinct string (anchor, g, doc_id, start, n, left, bytes) the window runs that repeat
+    earlier ones, if there are any.
 
     All strings of an anchor are in one partition and stand together; a task takes them in collections of COLLECTION
     strings, cut between anchors, so memory is bounded by that and by HOT_STRINGS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[tuple[tuple, int, bytes]] = []
+        group: dict[int, tuple] = {}
 
-        def flush(rows: list[dict]) -> pa.RecordBatch:
-            found = repeated_windows([r["bytes"] for r in rows], [(r["first"]["doc_id"], r["first"]["start"]) for r in rows], length)
+        def flush() -> pa.RecordBatch:
+            found = repeated_windows([x for _, _, x in held], [(r[2], r[3] + a) for r, a, _ in held], length)
+            some = [(r, a + x) for (r, a, _), x in zip(held, found, strict=True) if len(x)]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r["anchor"] for r in rows], pa.int64()), pa.array([r["g"] for r in rows], pa.binary()),
-                    pa.array([[{"at": a, "n": b} for a, b in _ranges(x)] for x in found], pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))),
+                    pa.array([r[0] for r, _ in some], pa.int64()), pa.array([r[1] for r, _ in some], pa.int64()),
+                    pa.array([[{"at": a, "n": b} for a, b in _ranges(x)] for _, x in some], pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))),
                 ],
                 ["anchor", "g", "runs"],
             )
 
+        anchor = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if len(held) >= COLLECTION and row["anchor"] != held[-1]["anchor"]:
-                    yield flush(held)
-                    held = []
-                held.append(row)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "g", "doc_id", "start", "n", "left", "bytes")), strict=True):
+                if row[0] != anchor:
+                    if len(group) > 1:
+                        held += _trim(list(group.values()), length)
+                    if len(held) >= COLLECTION:
+                        yield flush()
+                        held = []
+                    anchor, group = row[0], {}
+                old = group.get(row[1])
+                if old is None or row[2:4] < old[2:4]:
+                    group[row[1]] = row
+        if len(group) > 1:
+            held += _trim(list(group.values()), length)
         if held:
-            yield flush(held)
+            yield flush()
 
-    dealt = strings.select("anchor", "g", "bytes", "first").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "anchor long, g binary, runs array<struct<at:int,n:int>>")
+    # Dealt by a hash of the anchor, not by it: a repartition by the key of the join below would be optimised away, and
+    # adaptive execution may then split that join's partitions.
+    dealt = strings.withColumn("deal", F.xxhash64("anchor")).repartition("deal").sortWithinPartitions("anchor")
+    return dealt.drop("deal").mapInArrow(run, "anchor long, g long, runs array<struct<at:int,n:int>>")
 
 
-def _single_windows(runs: DataFrame, length: int) -> DataFrame:
+def _single_windows(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
     """(doc_id, start, n) of repeated windows of hot anchors: each window is a string of its own, so equal ones collapse
     in an aggregate and no anchor's strings meet in one task."""
+    held = docs.sparkSession.sparkContext.broadcast(bit_table(hot, "anchor"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500).to_pylist()
-                w = [(r["doc_id"], r["start"] + k, xxhash.xxh3_128_digest(r["bytes"][k : k + length])) for r in rows for k in range(r["n"])]
-                if w:
-                    d, s, g = zip(*w, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(g, pa.binary())], ["doc_id", "start", "g"])
-
-    windows = save(runs.select("doc_id", "start", "n", "bytes").mapInArrow(run, "doc_id long, start long, g binary"), "windows")
-    first = windows.groupBy("g").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("k")).filter("k > 1").select("g", "first")
-    return windows.join(first, "g").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", F.lit(1).alias("n"))
+            ids = batch.column(0).to_pylist()
+            for first, data, (text, at, start, n, _, h) in runs_of(batch.column(1), length):
+                raw, ok = data.tobytes(), np.flatnonzero(may_hold(held.value, h))
+                for j in range(0, len(ok), 2_000):
+                    w = [
+                        (x, ids[first + t], s + k, xxhash.xxh3_128_digest(raw[a + k : a + k + length]))
+                        for x, t, a, s, m in zip(*(v[ok[j : j + 2_000]].tolist() for v in (h.astype(np.int64), text, at, start, n)), strict=True)
+                        for k in range(m)
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*w, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc_id", "start", "w"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "anchor long, doc_id long, start long, w binary")
+    windows = save(rows.join(hot, "anchor", "left_semi").drop("anchor"), "windows")
+    first = windows.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("k")).filter("k > 1").select("w", "first")
+    return windows.join(first, "w").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", F.lit(1).alias("n"))
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, start, n): starts start..start+n-1 of `length`-byte windows that also start earlier (smaller doc_id, or
     the same document and a smaller start), over all documents and whole texts."""
     anchors = save(_recurring(docs, length), "anchors")
-    runs = save(_runs(docs, _bitmap(anchors), length).join(anchors, "anchor"), "runs")
-    strings = runs.groupBy("anchor", "g").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("k"), F.any_value("bytes").alias("bytes"))
-    strings = save(strings, "strings")
-    hot = save(strings.groupBy("anchor").count().filter(F.col("count") > HOT_STRINGS).select("anchor"), "hot")
-    judged = _judge(strings.join(hot, "anchor", "left_anti"), length)
+    runs = save(_runs(docs, bit_table(anchors, "anchor"), length), "runs")
+    drop(anchors)
+    strings = save(_distinct(runs), "strings")
+    several = save(strings.groupBy("anchor").agg(F.count("*").alias("strings")).filter("strings > 1"), "several")
+    hot = several.filter(F.col("strings") > HOT_STRINGS).select("anchor")
+    some = several.filter(F.col("strings") <= HOT_STRINGS)
+    wanted = strings.join(some, "anchor", "left_semi").select(_key().alias("key"))
+    told = _runs(docs, bit_table(some, "anchor"), length, bit_table(wanted, "key"))
+    judged = save(_judge(told.join(hot, "anchor", "left_anti"), length), "judged")
     # Where a string stands again, all its windows have stood before; where it stands first, those that were judged so.
-    told = strings.select("anchor", "g", "first", "k").join(judged, ["anchor", "g"]).filter((F.col("k") > 1) | (F.size("runs") > 0)).drop("k")
-    told = save(told, "judged")
-    again = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
+    told = strings.withColumnsRenamed({"doc_id": "first_doc", "start": "first_start"}).join(judged, ["anchor", "g"], "left").filter("k > 1 or runs is not null")
+    told = save(told.join(hot, "anchor", "left_anti"), "told")
+    again = (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))
     own = F.when(again, F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n")))).otherwise(F.col("runs"))
-    cool = runs.drop("bytes").join(told, ["anchor", "g"]).select("doc_id", "start", F.inline(own)).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n")
-    return cool.unionByName(_single_windows(runs.join(hot, "anchor", "left_semi"), length))
+    cool = runs.join(told, ["anchor", "g"]).select("doc_id", "start", F.inline(own)).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n")
+    drop(judged)
+    found = save(cool.unionByName(_single_windows(docs, save(hot, "hot"), length)) if hot.head(1) else cool, "found")
+    drop(strings, several, runs, told)
+    return found
+
+
+def _distinct(runs: DataFrame) -> DataFrame:
+    """(anchor, g, doc_id, start, k): the distinct strings with their first place and how often they stand."""
+    top = runs.agg(F.max("doc_id").alias("d"), F.min("doc_id").alias("least"), F.max("start").alias("s")).first()
+    if top.d is None or (0 <= top.least and top.d < 1 << 36 and top.s < 1 << 27):  # place fits a long, which hash aggregation takes
+        place = F.shiftleft("doc_id", 27).bitwiseOR(F.col("start"))
+        found = runs.groupBy("anchor", "g").agg(F.min(place).alias("place"), F.count("*").alias("k"))
+        return found.select("anchor", "g", F.shiftright("place", 27).alias("doc_id"), F.col("place").bitwiseAND((1 << 27) - 1).alias("start"), "k")
+    found = runs.groupBy("anchor", "g").agg(F.min(F.struct("doc_id", "start")).alias("place"), F.count("*").alias("k"))
+    return found.select("anchor", "g", "place.doc_id", "place.start", "k")
+
+
+def _merged(windows: pa.ListArray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the maximal spans that each row's windows cover, in order."""
+    counts = np.diff(windows.offsets.to_numpy())
+    values = windows.flatten()
+    row = np.repeat(np.arange(len(windows)), counts if windows.null_count == 0 else np.where(windows.is_valid().to_numpy(zero_copy_only=False), counts, 0))
+    start = values.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    end = start + values.field(1).to_numpy(zero_copy_only=False) - 1 + length
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    far = np.maximum.accumulate((row << 40) + end) if len(row) else end  # a later row's ends are beyond all earlier ones'
+    head = np.concatenate(([True], (row[1:] << 40) + start[1:] > far[:-1])) if len(row) else np.zeros(0, bool)
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(row)) - 1 if len(first) else first
+    return row[first], start[first], far[last] - (row[last] << 40)
 
 
 def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -256,21 +333,22 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                doc, start, end = _merged(part.column(2), length)
+                cut = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
+                start, end = start.tolist(), end.tolist()
                 out = []
-                for doc_id, text, windows in zip(*(c.to_pylist() for c in batch.slice(i, 200).columns), strict=True):
-                    data = (text or "").encode("utf-8", "surrogatepass")
-                    spans, kept, at = [], [], 0
-                    for a, b in sorted((w["start"], w["start"] + w["n"] - 1 + length) for w in windows or ()):
-                        if spans and a <= spans[-1]["end"]:
-                            spans[-1]["end"] = max(spans[-1]["end"], b)
-                        else:
-                            spans.append({"start": a, "end": b})
-                    for s in spans:
-                        kept.append(data[at : s["start"]])
-                        at = s["end"]
+                for k, (doc_id, data) in enumerate(zip(part.column(0).to_pylist(), texts, strict=True)):
+                    data = data or b""
+                    spans = list(zip(start[cut[k] : cut[k + 1]], end[cut[k] : cut[k + 1]], strict=True))
+                    kept, at = [], 0
+                    for a, b in spans:
+                        kept.append(data[at:a])
+                        at = b
                     kept = b"".join([*kept, data[at:]])
-                    out.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(spans), "spans": spans, "kept": kept})
+                    out.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(spans), "spans": [{"start": a, "end": b} for a, b in spans], "kept": kept})
                 yield pa.RecordBatch.from_pylist(out, schema=_KEPT)
 
     whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(of, "doc_id", "left")
