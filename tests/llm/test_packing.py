@@ -36,6 +36,16 @@ def test_both_encoders_agree(spark):
         assert slow(t).tolist() == fast(t).tolist()
 
 
+def test_encoders_find_the_added_token_like_the_plain_library():
+    from tokenizers import Tokenizer
+
+    plain, eot = Tokenizer.from_file(JSON), "<|endoftext|>"
+    assert plain.encode(f"a {eot} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for t in [f"a {eot} b", eot, eot * 3, f"x{eot}y", f" \n {eot}\n\n z  {eot} ", "<|endoftext|", "<|ENDOFTEXT|>", f"<|{eot}|>", f"é{eot}语言", eot + " " * 100_000 + "x"]:
+        want = plain.encode(t, add_special_tokens=False).ids
+        assert K.encoder(JSON)(t).tolist() == want and K.encoder(JSON, RANKS)(t).tolist() == want
+
+
 def test_pack_round_trip(spark):
     texts = [(1, "hello"), (2, None), (3, ""), (4, "word " * 9000), (5, "tie"), (5, "tie")]
     for blocks in (6_000_000, 3):

@@ -19,15 +19,15 @@ _ENCODERS: dict[str, tuple] = {}
 def encoder(json_path: str, ranks_path: str | None = None):
     """ids(text) of the byte-level BPE in `json_path`, one instance for each worker.
 
-    `ranks_path` names the same vocabulary as ranks: its encoder gives the same ids at four to five times the speed
-    (tests hold both against each other); a text on which it gives up (very long white space) goes to the first.
+    The file's added tokens are found in any text, as the library does by default. `ranks_path` names the same vocabulary
+    as ranks: its encoder gives the same ids at four to five times the speed (tests hold both against the plain library);
+    a text on which it gives up (very long white space) goes to the first.
     """
     key = f"{json_path}|{ranks_path}"
     if key not in _ENCODERS:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(json_path)
-        whole.encode_special_tokens = True
         slow = lambda text: np.asarray(whole.encode(text, add_special_tokens=False).ids, np.uint32)
         if ranks_path is None:
             _ENCODERS[key] = (slow,)
@@ -37,11 +37,12 @@ def encoder(json_path: str, ranks_path: str | None = None):
 
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            added = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+            fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
             def ids(text: str) -> np.ndarray:
                 try:
-                    return fast.encode_to_numpy(text, disallowed_special=())
+                    return fast.encode_to_numpy(text, allowed_special="all")
                 except Exception:  # noqa: BLE001  the pattern engine's limit on one run of white space
                     return slow(text)
 
