@@ -205,3 +205,68 @@ def test_catalog(spark):
     t = spark.createDataFrame([("rate_limited", 0, 500), ("server", 9, None), ("client", 1, None)], "k string, n int, after int").select(catalog.retry_bounds(F.col("k"), F.col("n"), F.col("after")).alias("b")).collect()
     assert [tuple(r.b) if r.b else None for r in t] == [(300.0, 300.0), (16.0, 48.0), None]
     assert [r[0] for r in spark.createDataFrame([(400,), (408,), (429,), (500,)], "s int").select(catalog.is_permanent(F.col("s"))).collect()] == [True, False, False, False]
+
+
+def one_by_one(order, edges, rounds=10):
+    at = {x: i for i, x in enumerate(order)}
+    near = [[] for _ in order]
+    for a, b, w in edges:
+        near[at[a]].append((at[b], w))
+        near[at[b]].append((at[a], w))
+    label = list(range(len(order)))
+    for _ in range(rounds):
+        old = list(label)
+        for i, ns in enumerate(near):
+            votes = {}
+            for j, w in ns:
+                votes[label[j]] = votes.get(label[j], 0.0) + w
+            if votes:
+                label[i] = min(votes, key=lambda x: (-votes[x], x))
+        if label == old:
+            break
+    return {x: order[label[i]] for i, x in enumerate(order)}
+
+
+@pytest.mark.parametrize("limit", [25, 100_000])
+def test_labels_of_components_larger_than_a_group(spark, monkeypatch, limit):
+    import random
+
+    monkeypatch.setattr(algorithms, "GROUP_ROWS", limit)
+    rnd = random.Random(limit)
+    order = [f"n{i}" for i in rnd.sample(range(120), 120)]
+    edges = [(rnd.choice(order[:60]), rnd.choice(order[:60]), rnd.choice([0.25, 0.5, 1.0])) for _ in range(100)] + [("n0", x, 0.5) for x in order[60:80]]
+    edges += [(order[80 + i], order[81 + i], 1.0) for i in range(6)] + [(order[90], order[91], 0.5), (order[90], order[91], 0.5), (order[95], order[95], 1.0)]
+    n = spark.createDataFrame([(x, i) for i, x in enumerate(order)], "id string, pos int")
+    e = spark.createDataFrame(edges + [("n0", "gone", 9.0)], "source string, target string, weight double")
+    got = algorithms.label_propagation(n, e).collect()
+    assert len(got) == 120 and dict(got) == one_by_one(order, edges)
+    assert dict(algorithms.label_propagation(n, e, rounds=1).collect()) == one_by_one(order, edges, 1)
+
+
+def test_chat_folds_gather_no_conversation(spark):
+    import random
+
+    from textquarry.functions.chunk import tokens
+
+    rnd = random.Random(5)
+    roles = ["system", "user", "assistant", "tool", "other", None]
+    rows = [(c, t, rnd.choices(roles, [1, 5, 5, 2, 1, 1])[0], rnd.choice(["", None, "word " * rnd.randrange(1, 30), "語" * 9])) for c in [1, None, 2] for t in range(400 if c == 1 else 40)]
+    m = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    verdicts, kept = set(), set()
+    for c in (1, None, 2):
+        mine, last = [r for r in rows if r[0] == c], None
+        used = sum(tokens(r[3] or "") for r in mine)
+        for r in mine:
+            fine = None if r[2] is None else r[2] in chat.AFTER[last]
+            last = r[2] if fine else last
+            verdicts.add((c, r[1], fine))
+            if r[2] == "system" or used + 20 <= 300:
+                kept.add(r[:2])
+            else:
+                used -= tokens(r[3] or "")
+    accepted, truncated = chat.accept(m), chat.truncate(m, 300, 20)
+    assert {(r.conv_id, r.turn, r.accepted) for r in accepted.collect()} == verdicts and accepted.count() == len(rows)
+    assert sorted(map(str, ((r.conv_id, r.turn) for r in truncated.collect()))) == sorted(map(str, kept))
+    for df in (accepted, truncated):
+        plan = df._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "collect_list" not in plan

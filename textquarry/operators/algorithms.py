@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.plans.rounds import cut
+from textquarry.plans.rounds import cut, drop
 
 IMPASSABLE = 1e-9
+#: Label propagation takes connected components of up to so many nodes and edges through tasks, larger ones by joins.
+GROUP_ROWS = 100_000
 
 
 def with_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -67,15 +69,23 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10, orde
     """(id, label): asynchronous propagation in the order of `order`: each node takes the label with most weight among its
     neighbours, the one of the earliest node among equals, until nothing changes.
 
-    Updates never leave a connected component, so groups of whole components go one after the other through a task and the
-    result is that of one sequential pass over all nodes. A component has to fit a task: for a giant one use components()."""
+    Updates never leave a connected component, so each goes its own way with the result of one sequential pass over all
+    nodes: components of up to GROUP_ROWS nodes and edges in groups of about as many through tasks, larger ones by joins."""
     ids = nodes.select("id", F.col(order).alias("pos"))
-    of = components(nodes, edges)
-    e = with_ends(ids, edges).select("source", "target", "weight").join(of.withColumnRenamed("id", "source"), "source")
-    groups = 8 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = cut(components(nodes, edges), "components")
+    e = cut(with_ends(ids, edges).select("source", "target", "weight").join(of.withColumnRenamed("id", "source"), "source"), "links")
+    sizes = cut(of.select("component").unionByName(e.select("component")).groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    large = F.col("n") > GROUP_ROWS
+    s = sizes.agg(F.count(F.when(large, 1)).alias("large"), F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)).alias("rest")).first()
+    members, groups = ids.join(of, "id"), max(8 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-s.rest // max(1, GROUP_ROWS)))
+    out = None
+    if s.large:
+        big = F.broadcast(sizes.filter(large).select("component"))  # at most one for each GROUP_ROWS rows of the graph
+        out = _vote_by_joins(members.join(big, "component", "left_semi"), e.join(big, "component", "left_semi"), rounds)
+        members, e = members.join(big, "component", "left_anti"), e.join(big, "component", "left_anti")
     part = F.pmod(F.xxhash64("component"), F.lit(groups))
     e = e.select(part.alias("c"), "source", "target", "weight")
-    members = ids.join(of, "id").select("id", "pos", part.alias("component"))
+    members = members.select("id", "pos", part.alias("component"))
 
     def run(key: tuple, people: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         people = people.sort_values("pos", ignore_index=True)
@@ -100,7 +110,41 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10, orde
         names = people["id"].to_numpy()
         return pd.DataFrame({"id": names, "label": names[label]})
 
-    return members.groupBy("component").cogroup(e.groupBy("c")).applyInPandas(run, "id string, label string")
+    small = members.groupBy("component").cogroup(e.groupBy("c")).applyInPandas(run, "id string, label string")
+    return small if out is None else small.unionByName(out)
+
+
+def _vote_by_joins(people: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
+    """label_propagation() by joins and aggregates. In a round a node sees the new labels of earlier neighbours and the old
+    ones of later ones. New labels start as the old ones; whoever has an input that changed votes again until none has,
+    and as inputs only point back in the order, that is the sequential pass. It takes as many steps as the longest way
+    that a change makes through ever later neighbours."""
+    at = people.select("id", F.struct("pos", "id").alias("at"))
+    there = links.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight")
+    both = there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    ends = lambda c: at.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"))
+    near = cut(both.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "weight", (F.col("at_b") < F.col("at_a")).alias("earlier")), "near")
+    told = lambda by, which: cut(near.filter(which).join(by.select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct(), "active")
+    held = cut(at.select("id", F.col("at").alias("old"), F.col("at").alias("new"), F.lit(False).alias("moved")), "labels")
+    state, active = held, None
+    for _ in range(rounds):
+        while True:
+            asked = near if active is None else near.join(active, "a", "left_semi")
+            votes = asked.join(state.select(F.col("id").alias("b"), "old", "new"), "b").select("a", F.when(F.col("earlier"), F.col("new")).otherwise(F.col("old")).alias("label"), "weight")
+            won = votes.groupBy("a", "label").agg(F.sum("weight").alias("w")).groupBy("a").agg(F.min(F.struct((0.0 - F.col("w")).alias("w"), "label")).alias("won"))
+            now = state.drop("moved").join(won.select(F.col("a").alias("id"), F.col("won.label").alias("label")), "id", "left")
+            new = cut(now.select("id", "old", F.coalesce("label", "new").alias("new"), F.coalesce(F.col("label") != F.col("new"), F.lit(False)).alias("moved")), "labels")
+            drop(held, *([active] if active is not None else []))
+            state = held = new
+            active = told(state.filter("moved"), F.col("earlier"))
+            if not active.head(1):
+                break
+        drop(active)
+        active = told(state.filter("new <> old"), ~F.col("earlier"))
+        state = state.select("id", F.col("new").alias("old"), "new", F.lit(False).alias("moved"))
+        if not active.head(1):
+            break
+    return state.select(F.col("id").cast("string").alias("id"), F.col("new.id").cast("string").alias("label"))
 
 
 def edge_cost(weight: Column) -> Column:

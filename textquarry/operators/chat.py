@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.functions.chunk import tokens
 from textquarry.functions.text import estimate_tokens
 
 # Which roles may follow which; None is the start.
@@ -27,16 +28,25 @@ def transitions(messages: DataFrame) -> DataFrame:
 
 
 def accept(messages: DataFrame) -> DataFrame:
-    """Add `accepted`: messages pushed one by one, where a refused one leaves the conversation as it was. A fold over each conversation."""
-    rows = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    none = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<boolean>").alias("ok"))
-
-    def push(acc: Column, m: Column) -> Column:
-        fine = follows(acc["last"], m["role"])
-        return F.struct(F.when(fine, m["role"]).otherwise(acc["last"]).alias("last"), F.array_append(acc["ok"], fine).alias("ok"))
-
-    judged = rows.select("conv_id", "m", F.aggregate("m", none, push, lambda a: a["ok"]).alias("ok"))
-    return judged.select("conv_id", F.inline(F.arrays_zip("m", "ok"))).select("conv_id", "m.*", F.col("ok").alias("accepted"))
+    """Add `accepted`: messages pushed one by one, where a refused one leaves the conversation as it was. A fold over the
+    rows in order that holds only the last role, so a conversation of any length streams through its task."""
+    rows = messages.select("conv_id", "turn", "role", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = (), None
+        for batch in batches:
+            ok = []
+            for conv, role in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if at != (conv,):
+                    at, last = (conv,), None
+                fine = None if role is None else role in AFTER[last]
+                if fine:
+                    last = role
+                ok.append(fine)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], [*batch.schema.names, "accepted"])
+
+    dealt = rows.repartition(F.xxhash64("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, ("accepted", "boolean")]))
 
 
 def token_counts(messages: DataFrame) -> DataFrame:
@@ -44,25 +54,19 @@ def token_counts(messages: DataFrame) -> DataFrame:
 
 
 def truncate(messages: DataFrame, budget: int, needed: int) -> DataFrame:
-    """Drop each conversation's oldest messages but system ones until `needed` more tokens fit into `budget`."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn", ignore_index=True)
-        cost = rows["text"].map(lambda t: tokens(t or "")).tolist()
-        used, keep = sum(cost), [True] * len(rows)
-        for i, role in enumerate(rows["role"]):
-            if used + needed <= budget:
-                break
-            if role != "system":
-                keep[i] = False
-                used -= cost[i]
-        return rows[keep]
-
-    return messages.groupBy("conv_id").applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in messages.dtypes))
+    """Drop each conversation's oldest messages but system ones until `needed` more tokens fit into `budget`: one that is
+    not a system message goes if all but those dropped before it still don't fit. Running sums, which Spark may spill."""
+    cost, talk = estimate_tokens("text").cast("long"), ~F.col("role").eqNullSafe(F.lit("system"))
+    w = Window.partitionBy("conv_id")
+    before = w.orderBy(F.asc_nulls_last("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    costs = messages.withColumns({"_cost": cost, "_talk": talk})
+    left = F.sum("_cost").over(w) - F.coalesce(F.sum(F.when(F.col("_talk"), F.col("_cost"))).over(before), F.lit(0))
+    return costs.withColumn("_left", left).filter(~F.col("_talk") | (F.col("_left") + needed <= budget)).select(messages.columns)
 
 
 def requests(messages: DataFrame, model: str, temperature: float = 0.7) -> DataFrame:
-    """(conv_id, request): JSON with the first system text apart and the other messages in order."""
+    """(conv_id, request): JSON with the first system text apart and the other messages in order. A request is one value
+    that holds its whole conversation, so that has to fit a row."""
     rows = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     talk = F.transform(F.filter("m", lambda m: m["role"] != "system"), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
     system = F.get(F.filter("m", lambda m: m["role"] == "system"), F.lit(0))["text"]

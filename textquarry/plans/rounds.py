@@ -20,4 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables written by cut() that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.cut_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
