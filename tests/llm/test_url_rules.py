@@ -2,6 +2,8 @@ import re
 from collections import defaultdict
 from urllib.parse import urlsplit
 
+from pyspark.sql import functions as F
+
 from textquarry.llm import url_rules as U
 from textquarry.llm.common import components
 from textquarry.llm.queries import QUERIES, URL_RULES
@@ -61,6 +63,30 @@ def test_rules_spread_and_explicit_allow_wins(spark):
     assert U.judge(df, rules).count() == len(pages) and U.judge(df.limit(0), rules).count() == 0
 
 
+def test_relative_targets_and_forms_of_tags(spark):
+    from urllib.parse import urljoin
+
+    base = "https://Bad.org/a/b/page?x=1#f"
+    forms = ["/p", "//other.net/q?z", "next", "../up", "../../../x/./y/", "..", "./", "?q=2", "#s", "http://abs.net/1", "/p?u=a//b/../c", "mailto:a@b.c", ""]
+    bases = [base, "http://bad.org", "http://bad.org?r=http://x.y/z", "no url"]
+    rows = spark.createDataFrame([(b, t) for b in bases for t in forms], "b string, t string").select("b", "t", U.resolve(F.col("t"), F.col("b"))).collect()
+    for b, t, got in rows:
+        want = None if t in ("", "mailto:a@b.c") or (b == "no url" and "://" not in t) else urljoin(b + "/" if b == "http://bad.org" else b.replace("?r", "/?r"), t)
+        assert got == want, (b, t)
+    pages = {
+        1: '<link rel="canonical" href="/page">', 2: "<LINK href = '/page' REL = 'alternate canonical'>", 3: "<link rel=canonical href=//bad.org/page>",
+        4: '<link rel="alternate" href="/x"><link rel="canonical"><link href="../page" rel="canonical"/>', 5: '<meta content="0; URL=\'/page\'" http-equiv = "refresh">',
+        6: '<meta http-equiv=refresh content="5;url = ../page">', 7: '<link data-href="/no" rel="canonical" title="a>b" href="https://bad.org/page">', 8: '<meta http-equiv="refresh" content="30">',
+        9: '<link rel="not-canonical" href="/page">', 10: '<link title=\'rel="canonical"\' href="/page">', 11: '<link rel="canonical" href=" /page ">',
+        12: "<link " + 'a="b" c ' * 20_000 + "x=it's rel=canonical href=/page>" + '<link "' + "y" * 100_000,
+    }
+    df = spark.createDataFrame([(i, f"https://bad.org/d/{i}", h) for i, h in pages.items()], "page_id long, url string, html string")
+    edges = {(int(r.src.rsplit("/", 1)[1]), r.dst) for r in U.link_edges(df).collect()}
+    assert {i for i, d in edges if d == "https://bad.org/page"} == {1, 2, 3, 4, 5, 6, 7, 11, 12} and len(edges) == len(pages) + 2 * 9
+    verdicts = {r.page_id: r.verdict for r in U.judge(df, [("block", "bad.org/page")]).collect()}
+    assert {i for i, v in verdicts.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 11, 12}
+
+
 def test_many_rules_join_like_few(spark, monkeypatch):
     dir_ = "/root/testdata/sf0.01"
     few = sorted(map(str, QUERIES["op1_redirect_equivalence"](spark, dir_).collect()))

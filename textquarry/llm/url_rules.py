@@ -32,19 +32,66 @@ def normal_form(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(base, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
-def _target(html: Column, tag: str, needs: str, value: str) -> Column:
-    """The value in the first `tag` that holds `needs`."""
-    found = F.filter(F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}\s[^>]*>"), F.lit(0)), lambda x: x.rlike(f"(?i){needs}"))
-    got = F.regexp_extract(F.get(found, F.lit(0)), f"(?i){value}", 1)
-    return F.when(F.instr(got, "://") > 0, got)
+def resolve(target: Column, base: Column) -> Column:
+    """The absolute address of a link `target` (null: none) on the page `base`, as browsers do it: relative to the scheme, host,
+    directory or page, dot segments taken out. Null for an empty target, another scheme (mailto:) and a base without `://`."""
+    to = F.regexp_replace(target, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+    scheme, own = F.regexp_extract(base, r"^[^/?#]*?://", 0), F.regexp_extract(base, r"^[^/?#]*?://[^/?#]*", 0)
+    way = F.regexp_extract(base, r"^[^/?#]*?://[^/?#]*([^?#]*)", 1)
+    at = F.when(way == "", F.lit("/")).otherwise(way)
+    tail = F.regexp_extract(to, r"[?#].*$", 0)
+    named = F.regexp_extract(to, r"^[^?#]*", 0)
+    steps = F.split(F.when(named.startswith("/"), named).otherwise(F.concat(F.regexp_extract(at, r"^.*/", 0), named)), "/")
+    up, here = lambda x: F.lower(F.regexp_replace(x, "(?i)%2e", ".")) == "..", lambda x: F.lower(F.regexp_replace(x, "(?i)%2e", ".")) == "."
+    kept = F.aggregate(
+        F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(up(x), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(here(x), acc).otherwise(F.array_append(acc, x)),
+    )
+    last = F.element_at(steps, -1)
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when((up(last) | here(last)) & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    rooted = (
+        F.when(to.startswith("//"), F.concat(scheme, F.substring(to, F.lit(3), F.length(to))))
+        .when(to.startswith("?"), F.concat(own, at, to))
+        .when(to.startswith("#"), F.concat(own, at, F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1), to))
+        .otherwise(F.concat(own, joined, tail))
+    )
+    return F.when(to == "", None).when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(~to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & (scheme != ""), rooted)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of the first attribute `name` of `tag`, in double, single or no quotes, with spaces around `=`; empty without."""
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+    # Possessive throughout: Java then neither backtracks nor recurses, however long a tag is.
+    whole = F.regexp_extract(tag, rf"""(?is)^<\w++(?:[\s/]++(?!{name}\s*=)[^\s=>/"']++(?:\s*+=\s*+{value})?+)*+[\s/]++{name}\s*+=\s*+({value})""", 1)
+    bare = F.regexp_replace(whole, r"""^["']|["']$""", "")
+    return F.replace(bare, F.lit("&amp;"), F.lit("&"))
+
+
+def _tags(html: Column, tag: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"""(?i)<{tag}(?=[\s/])(?:"[^"]*+"|'[^']*+'|[^"'>]++|["'])*+>"""), F.lit(0))
+
+
+def _first(tags: Column, wanted) -> Column:
+    return F.get(F.filter(F.transform(tags, wanted), lambda v: v.isNotNull() & (v != "")), F.lit(0))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) of a page's canonical link, its meta refresh and its own normal form. Relative targets are not followed."""
-    canonical = F.when(F.col("html").rlike("(?i)canonical"), _target(F.col("html"), "link", r"rel=[\"']?canonical", r"href=[\"']?([^\"'\s>]+)"))
-    refresh = F.when(F.col("html").rlike("(?i)http-equiv"), _target(F.col("html"), "meta", r"http-equiv=[\"']?refresh", r"url=[\"']?([^\"'\s>]+)"))
-    to = F.array_compact(F.array(normal_form(F.col("url")), normal_form(canonical), normal_form(refresh), canonical, refresh))
-    return pages.select(F.col("url").alias("src"), F.explode(to).alias("dst")).filter("src <> dst").distinct()
+    """(src, dst) of a page's first canonical link and meta refresh that name a target, resolved against the page's own
+    address, and of its own normal form."""
+    html, url = F.col("html"), F.col("url")
+    link = lambda t: F.when(F.concat(F.lit(" "), _attribute(t, "rel"), F.lit(" ")).rlike(r"(?i)\scanonical\s"), F.trim(_attribute(t, "href")))
+    meta = lambda t: F.when(F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh", _refresh(_attribute(t, "content")))
+    canonical = resolve(F.when(html.rlike("(?i)canonical"), _first(_tags(html, "link"), link)), url)
+    refresh = resolve(F.when(html.rlike("(?i)http-equiv"), _first(_tags(html, "meta"), meta)), url)
+    found = pages.select(url, canonical.alias("canonical"), refresh.alias("refresh"))
+    to = F.array_compact(F.array(normal_form(F.col("url")), normal_form(F.col("canonical")), normal_form(F.col("refresh")), F.col("canonical"), F.col("refresh")))
+    return found.select(F.col("url").alias("src"), F.explode(to).alias("dst")).filter("src <> dst").distinct()
+
+
+def _refresh(content: Column) -> Column:
+    """The target in `5; url='/page'`; empty where a refresh names none."""
+    return F.regexp_replace(F.regexp_extract(content, r"(?is)^\s*[\d.]*\s*[;,\s]\s*url\s*=\s*(.*)$", 1), r"""^["']([^"']*).*$|\s+$""", "$1")
 
 
 def explicit_rule(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
