@@ -29,6 +29,21 @@ def test_assign_fills_without_padding_and_balances():
             assert len(pieces) < 1.6 * n
 
 
+def test_assign_finds_the_cheapest_sequence_with_room():
+    rnd = random.Random(7)
+    for lengths in ([rnd.randrange(1, 2048) for _ in range(1500)], [rnd.choice([1, 7, 60, 64, 65, 900, 2047]) for _ in range(900)]):
+        room, want = K.capacities(sum(lengths), 2048), []
+        free, cost = list(room), [0.0] * len(room)
+        for d in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            start, left = 0, lengths[d]
+            while left:
+                s = min((s for s in range(len(room)) if free[s]), key=lambda s: (free[s] < left, cost[s], s))
+                n = min(left, free[s])
+                want.append((d, start, n, s, room[s] - free[s]))
+                free[s], cost[s], start, left = free[s] - n, cost[s] + 1.0 * n + 1 / 2048 * n * n, start + n, left - n
+        assert K.assign(lengths, 2048, 1.0, 1 / 2048) == want
+
+
 def test_both_encoders_agree(spark):
     slow, fast = K.encoder(JSON), K.encoder(JSON, RANKS)
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]

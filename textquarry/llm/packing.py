@@ -62,22 +62,41 @@ def assign(lengths: list[int], size: int, linear: float, quadratic: float) -> li
     linear*n + quadratic*n*n, since attention is masked between documents."""
     room = capacities(sum(lengths), size)
     used = [0] * len(room)
-    heap = [(0.0, s) for s in range(len(room))]
+    # A heap of (cost, sequence) for each room left, and over these a tree of least tops: the cheapest with enough room is exact.
+    leaves, none = 1 << size.bit_length(), (float("inf"), -1)
+    heaps: dict[int, list[tuple[float, int]]] = {}
+    least = [none] * (2 * leaves)
+
+    def settle(r: int) -> None:
+        at = leaves + r
+        least[at] = heaps[r][0] if heaps[r] else none
+        while at > 1:
+            at >>= 1
+            least[at] = min(least[2 * at], least[2 * at + 1])
+
+    def cheapest(r: int) -> tuple[float, int]:
+        at = leaves + r
+        best = least[at]
+        while at > 1:
+            if not at & 1:
+                best = min(best, least[at + 1])
+            at >>= 1
+        return best
+
+    for s, r in enumerate(room):
+        heaps.setdefault(r, []).append((0.0, s))
+    for r in heaps:
+        settle(r)
     out = []
     for d in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         start, left = 0, lengths[d]
         while left:
-            aside, fit = [], None
-            while heap and len(aside) < 16:
-                x = heapq.heappop(heap)
-                if room[x[1]] - used[x[1]] >= left:
-                    fit = x
-                    break
-                aside.append(x)
-            if fit is None:
-                fit, aside = aside[0], aside[1:]
-            for x in aside:
-                heapq.heappush(heap, x)
+            fit = cheapest(left) if left <= size else none
+            if fit is none:
+                fit = least[1]
+            r = room[fit[1]] - used[fit[1]]
+            heapq.heappop(heaps[r])
+            settle(r)
             cost, s = fit
             n = min(left, room[s] - used[s])
             out.append((d, start, n, s, used[s]))
@@ -85,7 +104,9 @@ def assign(lengths: list[int], size: int, linear: float, quadratic: float) -> li
             start += n
             left -= n
             if used[s] < room[s]:
-                heapq.heappush(heap, (cost + linear * n + quadratic * n * n, s))
+                r = room[s] - used[s]
+                heapq.heappush(heaps.setdefault(r, []), (cost + linear * n + quadratic * n * n, s))
+                settle(r)
     return out
 
 
