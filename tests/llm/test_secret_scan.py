@@ -65,6 +65,61 @@ def test_query_on_documents(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(base.count(k + ":") for k in ("assign", "access", "hex"))
 
 
+def test_very_long_candidates(spark):
+    import random
+    import string
+
+    rnd = random.Random(11)
+    pick = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    b64 = string.ascii_letters + string.digits + "+/"
+    broken = "".join(pick(b64, rnd.randrange(1, 60)) + rnd.choice("ab") * rnd.randrange(0, 40) for _ in range(2_500))
+    texts = [pick(b64, 100_000), "é\U0001F600 data:" + broken, " ".join(pick(b64, rnd.randrange(15, 40)) for _ in range(3_000)), "ß token=" + pick("0123456789abcdef", 30_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = S.scan(df)
+    for i, spans in found.select("doc_id", S.joined(F.col("spans"))).collect():
+        assert spans == plain(texts[i])[1]
+    masked = dict(S.redact(found).select("doc_id", "text").collect())
+    for i, text in enumerate(texts):
+        gone = [tuple(map(int, x.split(":")[1:])) for x in plain(text)[1].split(",")]
+        want, at, reach = [], 0, -1
+        for a, b in sorted(gone):
+            if a >= reach:
+                want.append(text[max(at, 0) : a])
+                at = reach = b
+            else:
+                at = reach = max(reach, b)
+        assert masked[i] == "****".join([*want, text[at:]])
+
+
+def test_a_megabyte_takes_linear_time(spark):
+    import random
+    import string
+    import time
+
+    import corpus_pipeline
+
+    rnd, took = random.Random(12), []
+    for size in (250_000, 1_000_000):
+        text = "\u00fc " + "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(size))
+        df = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+        began = time.time()
+        out = corpus_pipeline.mask_secrets(spark, df, "").first()
+        took.append(time.time() - began)
+        assert "****" in out.text and len(out.text) < size / 10 and out.n_chars == len(out.text)
+    assert took[1] < 8 * took[0] + 5
+
+
+def test_each_class_finds_random_strings_and_leaves_words(spark):
+    import random
+
+    rnd = random.Random(13)
+    rows = [(k, f"x {''.join(rnd.choice(c.alphabet) for _ in range(64))} y") for k, c in enumerate(S.CLASSES)]
+    rows += [(9, "internationalisation-of-misunderstandings getElementsByTagName supercalifragilisticexpialidocious THE_QUICK_BROWN_FOX_JUMPED_OVER 20240101000000000000000000")]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", F.lit(7))).collect()}
+    assert all("entropy" in got[k] for k in range(len(S.CLASSES))) and "entropy" not in got[9]
+    assert S.scan(spark.createDataFrame(rows, "doc_id long, text string"), classes=()).filter("spans <> base").count() == 0
+
+
 def test_redact(spark):
     rows = [(1, "a token=abcdef b"), (2, None), (3, "clean"), (4, "token=" + "deadbeef" * 4 + "!")]
     out = dict(S.redact(S.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
