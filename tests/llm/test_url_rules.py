@@ -87,6 +87,29 @@ def test_relative_targets_and_forms_of_tags(spark):
     assert {i for i, v in verdicts.items() if v == "block"} == {1, 2, 3, 4, 5, 6, 7, 11, 12}
 
 
+def test_addresses_inside_queries_are_not_judged(spark):
+    html = lambda to: f'<link rel="canonical" href="{to}">'
+    pages = {
+        1: ("http://shop.de/login?next=https://foo.net/es/", ""), 2: ("http://shop.de/?u=http://x.net/fr/b", None), 3: ("http://q.org/?next=http://a.com/", html("https://z.net/es/1")),
+        4: ("http://r.org/", html("https://z.net/es/1")), 5: ("http://s.org/", html("https://free.org/go?to=http://z.net/es/9")), 6: ("?u=http://z.net/es/2", ""),
+    }
+    df = spark.createDataFrame([(i, *p) for i, p in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r for r in U.judge(df, URL_RULES).collect()}
+    assert {i: r.verdict for i, r in got.items()} == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow", 6: "block"}
+    assert {r.component for r in got.values()} <= {p[0] for p in pages.values()} | {"https://z.net/es/1", "https://free.org/go?to=http://z.net/es/9"}
+    assert (got[3].component, got[4].component) == ("http://q.org/?next=http://a.com/",) * 2 and got[1].rule is None
+
+
+def test_comments_scripts_and_entities(spark):
+    tag = '<link rel="canonical" href="https://z.net/es/1">'
+    pages = {1: f"<!-- {tag} -->", 2: f"<script>var x = '{tag}'</script >", 3: f"<!-- x --{tag}", 4: f"<!-- x -->{tag}<!--", 5: f"<style><!--</style>{tag}", 6: tag.replace("://", "&#58;&#x2F;&sol;"), 7: f"<TEXTAREA>{tag}"}
+    pages[8] = "<!--" + "x" * 300_000 + tag
+    pages[9] = '<link rel=canonical href="/go?a=1&amp;quot;b">'
+    df = spark.createDataFrame([(i, f"http://h{i}.org/", h) for i, h in pages.items()], "page_id long, url string, html string")
+    assert {r.page_id for r in U.judge(df, URL_RULES).collect() if r.verdict == "block"} == {4, 5, 6}
+    assert "http://h9.org/go?a=1&quot;b" in {r.dst for r in U.link_edges(df).collect()}
+
+
 def test_many_rules_join_like_few(spark, monkeypatch):
     dir_ = "/root/testdata/sf0.01"
     few = sorted(map(str, QUERIES["op1_redirect_equivalence"](spark, dir_).collect()))

@@ -9,6 +9,10 @@ from textquarry.llm.common import components, save
 
 #: Up to so many rules are one CASE expression; more are joined by host suffix.
 INLINE_RULES = 200
+#: Normal forms begin with the last code point, so they are told from addresses and sort behind them.
+FORM = "\U0010ffff"
+#: Not part of a page's markup: comments, and what stands in scripts, styles and text boxes.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea)\b.*?(?:</\1\s*>|\z)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,10 +29,10 @@ def path(url: Column) -> Column:
 
 
 def normal_form(url: Column) -> Column:
-    """The address that http/https, fragment, tracking parameters and a closing slash do not change; null without `://`."""
+    """The address, behind FORM, that http/https, fragment, tracking parameters and a closing slash do not change; null without `://`."""
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[a-z]+|ref|fbclid|gclid)="))), "&")
-    base = F.concat(F.regexp_replace(host(url), r":(80|443)$", ""), F.regexp_replace(path(url), r"/+$", ""))
+    base = F.concat(F.lit(FORM), F.regexp_replace(host(url), r":(80|443)$", ""), F.regexp_replace(path(url), r"/+$", ""))
     return F.when(F.instr(url, "://") > 0, F.concat(base, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
@@ -65,7 +69,9 @@ def _attribute(tag: Column, name: str) -> Column:
     # Possessive throughout: Java then neither backtracks nor recurses, however long a tag is.
     whole = F.regexp_extract(tag, rf"""(?is)^<\w++(?:[\s/]++(?!{name}\s*=)[^\s=>/"']++(?:\s*+=\s*+{value})?+)*+[\s/]++{name}\s*+=\s*+({value})""", 1)
     bare = F.regexp_replace(whole, r"""^["']|["']$""", "")
-    return F.replace(bare, F.lit("&amp;"), F.lit("&"))
+    for entity, character in (("&(?:quot|#0*34|#[xX]0*22);", '"'), ("&(?:apos|#0*39|#[xX]0*27);", "'"), ("&(?:#0*47|#[xX]0*2[fF]|sol);", "/"), ("&(?:#0*58|#[xX]0*3[aA]|colon);", ":"), ("&(?:amp|#0*38|#[xX]0*26);", "&")):
+        bare = F.regexp_replace(bare, entity, character)
+    return bare
 
 
 def _tags(html: Column, tag: str) -> Column:
@@ -78,12 +84,13 @@ def _first(tags: Column, wanted) -> Column:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) of a page's first canonical link and meta refresh that name a target, resolved against the page's own
-    address, and of its own normal form."""
-    html, url = F.col("html"), F.col("url")
+    address, and of its own normal form. Tags in comments, scripts, styles and text boxes don't count."""
+    url, told = F.col("url"), F.col("html").rlike("(?i)canonical|http-equiv")
+    html = F.when(told, F.regexp_replace("html", HIDDEN, " "))
     link = lambda t: F.when(F.concat(F.lit(" "), _attribute(t, "rel"), F.lit(" ")).rlike(r"(?i)\scanonical\s"), F.trim(_attribute(t, "href")))
     meta = lambda t: F.when(F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh", _refresh(_attribute(t, "content")))
-    canonical = resolve(F.when(html.rlike("(?i)canonical"), _first(_tags(html, "link"), link)), url)
-    refresh = resolve(F.when(html.rlike("(?i)http-equiv"), _first(_tags(html, "meta"), meta)), url)
+    canonical = resolve(_first(_tags(html, "link"), link), url)
+    refresh = resolve(_first(_tags(html, "meta"), meta), url)
     found = pages.select(url, canonical.alias("canonical"), refresh.alias("refresh"))
     to = F.array_compact(F.array(normal_form(F.col("url")), normal_form(F.col("canonical")), normal_form(F.col("refresh")), F.col("canonical"), F.col("refresh")))
     return found.select(F.col("url").alias("src"), F.explode(to).alias("dst")).filter("src <> dst").distinct()
@@ -137,7 +144,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame | Non
     ruled = explicit_rule(own.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules)
     urls = ruled.filter("url is not null").select("url", "host", "path", "rule_verdict").distinct()
     # Aliases that are not among the pages have a say as well if a rule fits them.
-    named = explicit_rule(of.filter(F.instr("node", "://") > 0).select(F.col("node").alias("url"), host(F.col("node")).alias("host"), path(F.col("node")).alias("path")), rules)
+    named = explicit_rule(of.filter(~F.col("node").startswith(FORM)).select(F.col("node").alias("url"), host(F.col("node")).alias("host"), path(F.col("node")).alias("path")), rules)
     said = named.unionByName(urls.select("url", "host", "path", "rule_verdict"), allowMissingColumns=True).filter("rule_verdict is not null").select("url", "rule_verdict").distinct()
     spread = (
         of.join(said, of.node == said.url).groupBy("component").agg(F.min("rule_verdict").alias("spread"))  # allow sorts before block
