@@ -2,32 +2,59 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_KEPT: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that driver and executors share; a local one only where it is unset."""
+    """spark.checkpoint.dir, the folder that driver and executors share. A local one is made only where that is unset and
+    the master is local; on a cluster each executor would write to a disk of its own, so there it is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="rounds-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    """Cut the lineage: write `df` as Parquet in the shared folder and read it back. A lost executor then costs a re-read
+    only. What drop() leaves is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of tables that were dropped
+    _KEPT[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
     out.cut_at = path
     return out
 
 
-def drop(*tables: DataFrame) -> None:
+def drop(*tables: DataFrame | None) -> None:
     """Delete tables written by cut() that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(df.cut_at)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        path = getattr(df, "cut_at", None)
+        if path and _KEPT.pop(path, None) is not None:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in list(_KEPT.items()):
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session is gone, and with it the way to the folder
+            pass
+    _KEPT.clear()
