@@ -2,67 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_KEPT: dict[str, SparkSession] = {}
+from textquarry.plans.rounds import cut as save
+from textquarry.plans.rounds import drop, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`. Only where it is unset, as in tests, a local one is made."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def save(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet in the shared folder and read it back. A lost executor then costs a re-read only."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of tables that were dropped
-    _KEPT[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
-
-
-def drop(*saved: DataFrame) -> None:
-    """Delete tables written by save() that no later plan reads."""
-    for df in saved:
-        path = getattr(df, "saved_at", None)
-        if path and _KEPT.pop(path, None) is not None:
-            _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for path, spark in list(_KEPT.items()):
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone, and with it the way to the folder
-            pass
-    _KEPT.clear()
-
-
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components of undirected `edges` by alternating large-star and small-star steps.
 
@@ -93,23 +45,25 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return stars.unionByName(roots).select(F.col("node").cast(key), F.col("component").cast(key))
 
 
-#: Bits of the table that tells tasks which keys may matter; its size never grows.
-TABLE_BITS = 26
+#: Bits of the table that tells tasks which keys may matter, as a power of two: so many at least, and at most (32 MB).
+LEAST_BITS, MOST_BITS = 26, 28
 
 
-def bit_table(keys: DataFrame, column: str) -> np.ndarray:
-    """2**TABLE_BITS bits, set at the low bits of each of the long `keys`. It spares most other keys the way to a join,
-    which then decides; where there are so many keys that it fills up, it only spares less."""
-    low = F.col(column).bitwiseAND((1 << TABLE_BITS) - 1)
+def bit_table(keys: DataFrame, column: str, n: int = 0) -> np.ndarray:
+    """A power of two of bits, about 16 for each of the `n` keys that are expected, set at the low bits of each of the long
+    `keys`. It spares most other keys the way to a join, which then decides; where there are so many keys that it fills
+    up, it only spares less."""
+    size = min(max(LEAST_BITS, (16 * n).bit_length()), MOST_BITS)
+    low = F.col(column).bitwiseAND((1 << size) - 1)
     words = keys.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(`{column}` & 63L))")).alias("bits"))
     got = words.toArrow()
-    out = np.zeros(1 << TABLE_BITS - 6, np.uint64)
+    out = np.zeros(1 << size - 6, np.uint64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint64)
     return out
 
 
 def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    low = keys.astype(np.uint64) & np.uint64((1 << TABLE_BITS) - 1)
+    low = keys.astype(np.uint64) & np.uint64(64 * len(table) - 1)
     return (table[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 

@@ -152,13 +152,13 @@ class Model:
 def train(docs: DataFrame, smoothing: float = 0.5, script_share: float = 0.01) -> Model:
     """Learn from every row of `docs` (text, lang; nulls in either left out): smoothed log shares of trigram buckets for
     each language, and the scripts in which at least `script_share` of its words are written."""
-    stats = count_statistics(docs.filter("lang is not null and text is not null")).collect()  # bounded by MAX_LANGUAGES
-    langs = sorted({r.lang for r in stats})
+    stats = count_statistics(docs.filter("lang is not null and text is not null")).toArrow()  # MAX_LANGUAGES * BUCKETS numbers
+    lang, bucket = stats.column("lang").to_numpy(), stats.column("bucket").to_numpy()
+    langs = sorted(set(lang))
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     n = np.zeros((BUCKETS + len(NAMES), len(langs)))
-    for r in stats:
-        n[r.bucket, langs.index(r.lang)] = r.n
+    n[bucket, np.searchsorted(np.array(langs, object), lang)] = stats.column("n").to_numpy()
     grams, scripts = n[:BUCKETS], n[BUCKETS:]
     logp = np.log((grams + smoothing) / (grams.sum(0) + smoothing * BUCKETS)) if langs else grams
     allowed = scripts >= script_share * np.maximum(scripts.sum(0), 1)
