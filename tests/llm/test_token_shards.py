@@ -1,5 +1,9 @@
+import hashlib
+import os
+
 import numpy as np
 import public_tokenizers as P
+import zstandard
 
 from textquarry.llm import token_shards as S
 from textquarry.llm.packing import encoder
@@ -17,23 +21,30 @@ def test_permutation_is_a_bijection():
     assert (a != b).mean() > 0.99 and abs(np.corrcoef(a, np.arange(5000))[0, 1]) < 0.05
 
 
-def test_round_trip(spark, tmp_path):
+def test_round_trip_and_order(spark, tmp_path):
     texts = ["hello world", None, "", "é \U0001F600 x", "word " * 3000, "tie", "tie"]
-    df = spark.createDataFrame([(t, 1) for t in texts], "text string, slot int").repartition(3)
-    shards = S.materialise(df, JSON, RANKS, length=16, per_shard=8, shard_partitions=3).cache()
+    df = spark.createDataFrame([(t, 1) for t in texts], "text string, slot int").repartition(3).cache()
+    folder, key = f"file://{tmp_path}/s", 20_240_601
+    shards = S.materialise(df, JSON, RANKS, length=16, per_shard=8, shard_partitions=3, folder=folder)
     rows = sorted(shards.collect(), key=lambda r: r.shard)
     n = sum(r.n_sequences for r in rows)
     assert [r.shard for r in rows] == list(range(len(rows))) and all(r.n_sequences == 8 for r in rows[:-1]) and all(r.first_slot == 8 * r.shard for r in rows)
     want = sorted(i for t in texts for i in [*encoder(JSON, None)(t or "").tolist(), S.EOS])
-    got = np.concatenate([np.frombuffer(r.payload, "<u2") for r in rows])
+    data = [open(f"{tmp_path}/s/{r.file}", "rb").read() for r in rows]
+    got = np.concatenate([np.frombuffer(x, "<u2") for x in data])
     assert sum(r.n_tokens for r in rows) == len(want)
     assert sorted(got.tolist()) == sorted(want + [S.EOS] * (n * 16 - len(want)))
-    part = S.read_slots(shards, 5, 21, per_shard=8).collect()
-    assert [r.slot for r in part] == list(range(5, 21)) and sum((r.ids for r in part), []) == got[5 * 16 : 21 * 16].tolist()
-    files = {r.shard: r for r in S.write_files(shards, f"file://{tmp_path}/s").collect()}
-    for r in rows:
-        assert open(files[r.shard].file, "rb").read() == r.payload
-    shards.unpersist()
+    assert [(r.bytes, r.sha256, r.stride) for r in rows] == [(len(x), hashlib.sha256(x).hexdigest(), 32) for x in data]
+    # slot g holds the sequence whose number the permutation sends to g
+    made = sorted(S.sequences(df, JSON, RANKS, 16).collect(), key=lambda r: (r.part, r.nth))
+    slots = S.permute(np.arange(n), n, key)
+    for r, g in zip(made, slots.tolist(), strict=True):
+        assert got[g * 16 : g * 16 + 16].tolist() == np.frombuffer(zstandard.decompress(r.payload), "<u2").tolist()
+    for a, b in ((5, 21), (0, n), (n - 1, n), (8, 8)):
+        part = S.read_slots(spark, folder, a, b, length=16, per_shard=8).collect()
+        assert [r.slot for r in part] == list(range(a, b)) and sum((r.ids for r in part), []) == got[a * 16 : b * 16].tolist()
+    again = S.materialise(df, JSON, RANKS, length=16, per_shard=8, shard_partitions=3, folder=folder)
+    assert sorted(again.collect(), key=lambda r: r.shard) == rows and len(os.listdir(f"{tmp_path}/s")) == len(rows)
     assert S.materialise(df.limit(0), JSON, RANKS).count() == 0
 
 

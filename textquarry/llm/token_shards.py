@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import save, shared_dir
@@ -50,16 +53,20 @@ SEQUENCE = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("tokens", pa.i
 
 def sequences(docs: DataFrame, json_path: str, ranks_path: str | None, length: int) -> DataFrame:
     """(part, nth, tokens, payload): each task's documents, tokenised and joined by the end id, cut every `length` ids.
-    payload is `length` little-endian unsigned 16-bit ids; a task's last sequence is filled up with end ids."""
+    payload is `length` little-endian unsigned 16-bit ids, as zstandard since it is stored and shuffled; a task's last
+    sequence is filled up with end ids. An id beyond 16 bits is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, nth = encoder(json_path, ranks_path), TaskContext.get().partitionId(), 0
+        small = zstandard.ZstdCompressor(level=1).compress
         held: list[np.ndarray] = []
         size = 0
 
         def cut(last: bool) -> pa.RecordBatch:
             nonlocal held, size, nth
             ids = np.concatenate(held)
+            if ids.max(initial=0) > 0xFFFF:
+                raise ValueError("the vocabulary does not fit 16 bits")
             n = len(ids) // length
             rest = len(ids) - n * length
             rows = ids[: n * length].reshape(n, length)
@@ -69,7 +76,7 @@ def sequences(docs: DataFrame, json_path: str, ranks_path: str | None, length: i
                 rows = np.vstack([rows, np.append(ids[n * length :], np.full(length - rest, EOS, ids.dtype))[None]])
                 tokens.append(rest)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(rows), pa.int64()), pa.array(range(nth, nth + len(rows)), pa.int64()), pa.array(tokens, pa.int32()), pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())],
+                [pa.array([part] * len(rows), pa.int64()), pa.array(range(nth, nth + len(rows)), pa.int64()), pa.array(tokens, pa.int32()), pa.array([small(r.astype("<u2").tobytes()) for r in rows], pa.binary())],
                 schema=SEQUENCE,
             )
             nth += len(rows)
@@ -87,16 +94,11 @@ def sequences(docs: DataFrame, json_path: str, ranks_path: str | None, length: i
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "part long, nth long, tokens int, payload binary")
 
 
-def materialise(
-    docs: DataFrame, json_path: str, ranks_path: str | None = None, length: int = 2048, per_shard: int = 256, key: int = 20_240_601, shard_partitions: int | None = None
-) -> DataFrame:
-    """Every document's ids (null text: empty), once, in training order: (shard, first_slot, n_sequences, n_tokens,
-    stride, payload).
+def placed(docs: DataFrame, json_path: str, ranks_path: str | None = None, length: int = 2048, per_shard: int = 256, key: int = 20_240_601, shard_partitions: int | None = None) -> DataFrame:
+    """(shard, slot, tokens, payload) of all sequences() of `docs`, in training order within range partitions of shards.
 
     Sequences are written once to the shared folder and numbered by task and place; permute() gives each a slot in
-    [0, N). Shard s holds the slots from s*per_shard in order, stride bytes each, so slot g is at byte
-    (g % per_shard) * stride of shard g // per_shard. Rows go to range partitions of shards; slots are spread evenly
-    whatever the documents are. The vocabulary must fit 16 bits. No documents give no shards.
+    [0, N), so slots are spread evenly whatever the documents are.
     """
     saved = save(sequences(docs, json_path, ranks_path, length), "sequences")
     counts = {r.part: r.n for r in saved.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row for each task
@@ -104,70 +106,92 @@ def materialise(
     for part in sorted(counts):
         starts[part] = total
         total += counts[part]
-    stride = 2 * length
     begin = docs.sparkSession.sparkContext.broadcast(starts)
 
     @F.pandas_udf("long")
     def slot(part: pd.Series, nth: pd.Series) -> pd.Series:
         return pd.Series(permute(part.map(begin.value).to_numpy(np.int64) + nth.to_numpy(np.int64), total, key))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, first, tokens, parts = None, 0, 0, []
-        row = lambda: pa.RecordBatch.from_pylist([{"shard": shard, "first_slot": first, "n_sequences": len(parts), "n_tokens": tokens, "stride": stride, "payload": b"".join(parts)}], schema=SHARD)
-        for batch in batches:
-            for s, g, n, p in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if s != shard:
-                    if parts:
-                        yield row()
-                    shard, first, tokens, parts = s, g, 0, []
-                tokens += n
-                parts.append(p)
-        if parts:
-            yield row()
-
-    placed = saved.select(slot("part", "nth").alias("slot"), "tokens", "payload").select(F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), "slot", "tokens", "payload")
-    shards = max(1, -(-total // per_shard))
-    n = shard_partitions or max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return placed.repartitionByRange(n, "shard").sortWithinPartitions("slot").mapInArrow(join, "shard long, first_slot long, n_sequences int, n_tokens long, stride int, payload binary")
+    rows = saved.select(slot("part", "nth").alias("slot"), "tokens", "payload").select(F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), "slot", "tokens", "payload")
+    n = shard_partitions or max(1, min(-(-total // per_shard), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartitionByRange(n, "shard").sortWithinPartitions("slot")
 
 
-SHARD = pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("n_sequences", pa.int32()), ("n_tokens", pa.int64()), ("stride", pa.int32()), ("payload", pa.binary())])
+def materialise(docs: DataFrame, json_path: str, ranks_path: str | None = None, length: int = 2048, per_shard: int = 256, key: int = 20_240_601, shard_partitions: int | None = None, folder: str | None = None) -> DataFrame:
+    """Write every document's ids (null text: empty), once, in training order as raw files, and return a row for each:
+    (shard, first_slot, n_sequences, n_tokens, stride, file, bytes, sha256). No documents give no shards.
 
-
-def write_files(shards: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write each shard as the raw file shard-<number>.bin in `folder` (a URI that pyarrow's file systems reach and all
-    executors share) and return (shard, file, bytes). A file is written under another name and moved, so a task that
-    is run again leaves the same file."""
-    folder = folder or f"{shared_dir(shards.sparkSession)}/shards"
+    Shard s is shard-<s>.bin in `folder` (default: a new one in the shared folder): the slots from s*per_shard in
+    order, stride bytes each, so slot g is at byte (g % per_shard) * stride of shard g // per_shard, and a reader seeks to
+    where it resumes. A task writes its range of shards one sequence at a time, each file under a name of its own that
+    is moved at the end, so a task that is run again, or twice, leaves the same files.
+    """
+    at = folder or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    stride = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+        store, base = _store(at)
+        store.create_dir(base, recursive=True)
+        large = zstandard.ZstdDecompressor().decompress
+        row, out, digest, part = None, None, None, ""
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            store.move(part, f"{base}/{row['file']}")
+            return pa.RecordBatch.from_pylist([row | {"sha256": digest.hexdigest()}], schema=SHARD)
 
-        store, at = fs.FileSystem.from_uri(folder)
-        store.create_dir(at, recursive=True)
         for batch in batches:
-            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = f"{at}/shard-{shard:09d}.bin"
-                part = f"{name}.{TaskContext.get().taskAttemptId()}"
-                with store.open_output_stream(part) as f:
-                    f.write(payload)
-                store.move(part, name)
-                yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "bytes": [len(payload)]})
+            for s, g, n, p in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if row is None or s != row["shard"]:
+                    if row:
+                        yield close()
+                    row = {"shard": s, "first_slot": g, "n_sequences": 0, "n_tokens": 0, "stride": stride, "file": file_name(s), "bytes": 0}
+                    part = f"{base}/{row['file']}.{TaskContext.get().taskAttemptId()}"
+                    out, digest = store.open_output_stream(part), hashlib.sha256()
+                ids = large(p)
+                out.write(ids)
+                digest.update(ids)
+                row["n_sequences"] += 1
+                row["n_tokens"] += n
+                row["bytes"] += len(ids)
+        if row:
+            yield close()
 
-    return shards.select("shard", "payload").mapInArrow(run, "shard long, file string, bytes long")
+    ordered = placed(docs, json_path, ranks_path, length, per_shard, key, shard_partitions)
+    return ordered.mapInArrow(run, "shard long, first_slot long, n_sequences int, n_tokens long, stride int, file string, bytes long, sha256 string")
 
 
-def read_slots(shards: DataFrame, start: int, stop: int, per_shard: int = 256) -> DataFrame:
-    """(slot, ids) from `start` to before `stop`, in order: where a reader resumes, only the shards needed are read."""
+SHARD = pa.schema([
+    ("shard", pa.int64()), ("first_slot", pa.int64()), ("n_sequences", pa.int32()), ("n_tokens", pa.int64()), ("stride", pa.int32()), ("file", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string()),
+])
+
+
+def file_name(shard: int) -> str:
+    return f"shard-{shard:09d}.bin"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                wanted = range(max(start, r.first_slot), min(stop, r.first_slot + r.n_sequences))
-                at = [(g - r.first_slot) * r.stride for g in wanted]
-                yield pd.DataFrame({"slot": list(wanted), "ids": [np.frombuffer(r.payload[a : a + r.stride], "<u2").astype(np.int32) for a in at]})
 
-    near = shards.filter((F.col("shard") >= start // per_shard) & (F.col("shard") <= (stop - 1) // per_shard))
-    return near.mapInPandas(run, "slot long, ids array<int>").orderBy("slot")
+def _store(folder: str):
+    """pyarrow's file system and the path in it of a folder that all executors reach."""
+    from pyarrow import fs
 
+    return fs.FileSystem.from_uri("file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder)
 
+
+def read_slots(spark: SparkSession, folder: str, start: int, stop: int, length: int = 2048, per_shard: int = 256) -> DataFrame:
+    """(slot, ids) from `start` to before `stop`, in order: where a reader resumes, only the files needed are opened, and
+    of each only the bytes needed are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                first, last = max(start, shard * per_shard), min(stop, (shard + 1) * per_shard)
+                with store.open_input_file(f"{base}/{file_name(shard)}") as f:
+                    f.seek((first - shard * per_shard) * 2 * length)
+                    for g in range(first, last):
+                        ids = np.frombuffer(f.read(2 * length), "<u2").astype(np.int32)
+                        if len(ids):
+                            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["slot", "ids"])
+
+    shards = spark.range(start // per_shard, max(start, stop - 1) // per_shard + (stop > start))
+    return shards.mapInArrow(run, "slot long, ids array<int>").orderBy("slot")
