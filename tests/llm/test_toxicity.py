@@ -38,6 +38,26 @@ def test_chain_on_held_out_rows(spark):
     assert T.classify(odd.limit(0), chain).count() == 0
 
 
+def test_held_out_labels_of_the_tables(spark):
+    dir_ = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{dir_}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{dir_}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+    chain = T.train(docs, labels.filter(~held), T.default_categories())
+    truth = labels.filter(held).groupBy("doc_id").agg(F.max("toxic").alias("y")).dropna()
+    hit = {(r.x, r.y): r["count"] for r in T.classify(docs.join(truth, "doc_id"), chain).groupBy(F.col("toxicity.is_toxic").alias("x"), "y").count().collect()}
+    caught, missed, wrong, left = (hit.get(k, 0) for k in ((True, 1), (False, 1), (True, 0), (False, 0)))
+    assert caught + missed > 30 and caught >= 0.8 * (caught + missed) and wrong <= 0.03 * (wrong + left), hit
+
+
+def test_repeated_ids_are_chosen_alike(spark):
+    rows = corpus(300)
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in rows], "doc_id long, quality int, toxic int")
+    texts = [(i, t) for i, t, _, _ in rows] + [(i, "other words " + t[::-1]) for i, t, _, _ in rows[:100]]
+    one = T.train(spark.createDataFrame(texts, "doc_id long, text string"), labels, T.default_categories())
+    assert T.train(spark.createDataFrame(texts[::-1], "doc_id long, text string").repartition(5), labels, T.default_categories()) == one
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     chain = T.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), T.default_categories())

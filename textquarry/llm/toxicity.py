@@ -29,7 +29,7 @@ def features(text: str | None) -> set[int]:
 
 @dataclass
 class Link:
-    """One classifier of the chain: weights of word features, of the earlier categories' logits, the bias and the cut."""
+    """One classifier of the chain: weights of word features, of the earlier categories' probabilities, the bias and the cut."""
 
     name: str
     weights: dict[int, float]
@@ -43,14 +43,14 @@ class Chain:
     links: list[Link]
 
     def probabilities(self, text: str | None) -> list[float]:
-        have, logits = features(text), []
+        have, out = features(text), []
         for link in self.links:
-            z = link.bias + sum(map(link.weights.__getitem__, link.weights.keys() & have)) + float(np.dot(link.earlier, logits))
-            logits.append(float(np.clip(z, -12, 12)))
-        return [1 / (1 + np.exp(-z)) for z in logits]
+            z = link.bias + sum(map(link.weights.__getitem__, link.weights.keys() & have)) + float(np.dot(link.earlier, out))
+            out.append(float(_sigmoid(z)))
+        return out
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
+def _sigmoid(z: np.ndarray | float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -106,8 +106,8 @@ def select_words(x: _Rows, y: np.ndarray, least: int = LEAST_DOCUMENTS, most: in
 
 
 def fit_chain(x: _Rows, names: np.ndarray, labels: np.ndarray, categories: list[str], folds: int = FOLDS) -> Chain:
-    """Fit one linear model a category in order. Each later one also gets the logits of the earlier categories, which
-    for its training rows are out-of-fold predictions, so it learns from what the chain will see on new documents."""
+    """Fit one linear model a category in order. Each later one also gets the probabilities of the earlier categories,
+    which for its training rows are out-of-fold predictions, so it learns from what the chain will see on new documents."""
     fold = np.arange(x.n) % folds
     earlier, links = np.zeros((x.n, 0)), []
     for k, name in enumerate(categories):
@@ -121,7 +121,7 @@ def fit_chain(x: _Rows, names: np.ndarray, labels: np.ndarray, categories: list[
         chosen = select_words(x, y)
         w, v, b = fit_linear(x.select(np.arange(x.n), chosen), earlier, y)
         links.append(Link(name, {int(names[i]): float(a) for i, a in zip(chosen, w, strict=True) if a}, v.tolist(), float(b), _best_cut(_sigmoid(out), y)))
-        earlier = np.column_stack([earlier, np.clip(out, -12, 12)])
+        earlier = np.column_stack([earlier, _sigmoid(out)])
     return Chain(links)
 
 
@@ -140,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     """Fit the chain on a bounded sample of labelled documents: the `sample_rows` with the smallest hash of doc_id.
 
     `categories` (in chain order) are 0/1 columns over `labels`; several label rows of a document count as their
-    maximum, rows with a null category are left out. Only the sample's distinct words go to the driver.
+    maximum, rows with a null category are left out; of several texts with one doc_id the one whose features sort first
+    counts. Only the sample's distinct words go to the driver.
     """
     names = list(categories)
     marked = labels.select("doc_id", *(c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values()))).dropna()
@@ -150,9 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.fromiter(features(t), np.uint32).tobytes())
+        return texts.map(lambda t: np.sort(np.fromiter(features(t), np.uint32)).tobytes())
 
-    got = rows.select("doc_id", *(f"y{i}" for i in range(len(names))), packed("text").alias("w")).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = rows.select("doc_id", *(f"y{i}" for i in range(len(names))), packed("text").alias("w")).toPandas().sort_values(["doc_id", "w"], ignore_index=True).drop_duplicates("doc_id")
     each = [np.frombuffer(w, np.uint32) for w in got["w"]]
     values = np.sort(np.concatenate([*each, np.zeros(0, np.uint32)]))
     begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, int)
