@@ -52,6 +52,30 @@ def test_against_brute_force(spark, monkeypatch, hot):
         spark.conf.unset(f"spark.sql.{k}")
 
 
+@pytest.mark.parametrize("length", [32, 255, 256, 400])
+def test_other_lengths(spark, length):
+    rnd = random.Random(length)
+    base = "".join(rnd.choice("abcdefgh é") for _ in range(900))
+    rows = list(enumerate([base[:600], "x" + base[:600], base[300:], base[:450] + "!" + base[450:], "ab" * 700, base[100:380] + "q" + base[380:820], "c" * 401]))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string"), length).collect())
+    assert got == brute(rows, length) and got[1][2] > 500
+
+
+def test_ids_that_are_null_large_or_repeated(spark):
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    rows = [(None, text), (5, text), (2**53 + 1, "x" + text), (2**53, "y" + text[:200]), (7, text + "one"), (7, "two" + text), (7, text + "one"), (None, text)]
+    got = sorted((str(r.doc_id), bytes(r.kept).decode()) for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    own = min((text + "one", "two" + text), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    cut = [("7", own.replace(text, ""))] * (2 if own.endswith("one") else 1) + [("7", t) for t in (text + "one", "two" + text, text + "one") if t != own]
+    assert got == sorted([("None", text)] * 2 + [("5", text), (str(2**53 + 1), "x"), (str(2**53), "y"), *cut])
+
+
+def test_window_length_is_checked(spark):
+    with pytest.raises(ValueError):
+        S.dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 31)
+
+
 def test_long_text_in_pieces(spark):
     rnd = random.Random(7)
     base = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(9_000_000))

@@ -14,11 +14,12 @@ class ColumnBWT:
     After round j the files hold the BWT and the LCP of all suffixes of at most j symbols. A round reads both from start
     to end, finds by one stable sort of the symbols where the suffixes that grow by one symbol belong, and writes both
     anew with the insertions. Symbols are byte + 1 (0xFF never occurs in UTF-8), 0 is the end of a document; the empty
-    suffixes keep document order. LCP values stop at 255.
+    suffixes keep document order. LCP values stop at `most`.
     """
 
-    def __init__(self, documents: list[bytes], folder: str | None = None):
-        self.m = len(documents)
+    def __init__(self, documents: list[bytes], folder: str | None = None, most: int = 255):
+        self.m, self.most = len(documents), most
+        self.width = np.dtype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
         self.lengths = np.array([len(d) for d in documents], np.int64)
         self.data = np.frombuffer(b"".join(documents), np.uint8)
         self.ends = np.cumsum(self.lengths)
@@ -37,11 +38,11 @@ class ColumnBWT:
         bwt_file, lcp_file = os.path.join(folder, "bwt"), os.path.join(folder, "lcp")
         everyone = np.arange(self.m)
         self._symbols(everyone, 0).tofile(bwt_file)
-        np.zeros(self.m, np.uint8).tofile(lcp_file)
+        np.zeros(self.m, self.width).tofile(lcp_file)
         live, place = everyone[self.lengths > 0], everyone[self.lengths > 0]  # documents whose next suffix is due; where their last symbol stands
         j = 1
         while len(live):
-            bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
+            bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, self.width)
             order = np.argsort(bwt, kind="stable")
             ended = int(np.count_nonzero(bwt == 0))
             due = np.zeros(len(bwt), bool)
@@ -61,7 +62,7 @@ class ColumnBWT:
             # LCP of a new suffix and of the one after it: one more than the least between their tails.
             changed = np.union1d(new, new[new + 1 < size] + 1)
             values = self._common(changed, order, ended, bwt, lcp)
-            new_lcp = np.zeros(size, np.uint8)
+            new_lcp = np.zeros(size, self.width)
             new_lcp[old] = lcp
             new_lcp[changed] = values
             out.tofile(bwt_file)
@@ -69,21 +70,21 @@ class ColumnBWT:
             more = symbols > 0
             live, place = live[more], new[more]
             j += 1
-        self.bwt, self.lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
+        self.bwt, self.lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, self.width)
 
     def _common(self, at: np.ndarray, order: np.ndarray, ended: int, bwt: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), np.uint8)
+        out = np.zeros(len(at), self.width)
         k = at - self.m + ended  # rank among all symbols
         ok = (k > ended) & (k < len(order))
         a, b = order[np.where(ok, k - 1, 0)], order[np.where(ok, k, 0)]
         ok &= bwt[a] == bwt[b]
         a, b = a[ok], b[ok]
         if len(a):
-            padded = np.append(lcp, np.uint8(0))
+            padded = np.append(lcp, self.width.type(0))
             down = np.argsort(-a, kind="stable")  # by falling starts, since reduceat would also run over gaps that rise
-            least = np.empty(len(a), np.uint8)
+            least = np.empty(len(a), self.width)
             least[down] = np.minimum.reduceat(padded, np.stack([a[down] + 1, b[down] + 1], 1).ravel())[::2]
-            out[ok] = np.minimum(least, 254) + 1
+            out[ok] = np.minimum(least, self.most - 1) + 1
         return out
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray]:

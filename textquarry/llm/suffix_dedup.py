@@ -142,7 +142,7 @@ def _key() -> Column:
 def repeated_windows(strings: list[bytes], firsts: list[tuple[int, int]], length: int) -> list[np.ndarray]:
     """For each string the window offsets at which a window that equals it starts earlier than the string's first
     occurrence does. Suffixes in sorted order fall into classes of equal windows where the LCP drops below `length`."""
-    built = ColumnBWT(strings)
+    built = ColumnBWT(strings, most=length)
     doc, start = built.suffixes()
     whole = built.lengths[doc] - start >= length
     doc, start = doc[whole], start[whole]
@@ -271,16 +271,20 @@ def _single_windows(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, start, n): starts start..start+n-1 of `length`-byte windows that also start earlier (smaller doc_id, or
-    the same document and a smaller start), over all documents and whole texts."""
+    the same document and a smaller start), over all documents and whole texts. Rows without doc_id take no part."""
+    if length < SEED_BYTES:
+        raise ValueError(f"windows have at least {SEED_BYTES} bytes")
+    docs = docs.filter("doc_id is not null")
     anchors = save(_recurring(docs, length), "anchors")
-    runs = save(_runs(docs, bit_table(anchors, "anchor"), length), "runs")
+    runs = save(_runs(docs, bit_table(anchors, "anchor", anchors.count()), length), "runs")
     drop(anchors)
     strings = save(_distinct(runs), "strings")
     several = save(strings.groupBy("anchor").agg(F.count("*").alias("strings")).filter("strings > 1"), "several")
     hot = several.filter(F.col("strings") > HOT_STRINGS).select("anchor")
     some = several.filter(F.col("strings") <= HOT_STRINGS)
     wanted = strings.join(some, "anchor", "left_semi").select(_key().alias("key"))
-    told = _runs(docs, bit_table(some, "anchor"), length, bit_table(wanted, "key"))
+    size = some.agg(F.count("*").alias("anchors"), F.coalesce(F.sum("strings"), F.lit(0)).alias("strings")).first()
+    told = _runs(docs, bit_table(some, "anchor", size.anchors), length, bit_table(wanted, "key", size.strings))
     judged = save(_judge(told.join(hot, "anchor", "left_anti"), length), "judged")
     # Where a string stands again, all its windows have stood before; where it stands first, those that were judged so.
     told = strings.withColumnsRenamed({"doc_id": "first_doc", "start": "first_start"}).join(judged, ["anchor", "g"], "left").filter("k > 1 or runs is not null")
@@ -325,10 +329,19 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """Remove from every document each byte that a repeated window covers: (doc_id, n_bytes, n_removed, n_spans, spans, kept).
 
     Texts count as UTF-8 bytes, null as empty; windows never cross documents and are judged on the input. spans are
-    the maximal removed [start, end) in bytes and kept the remaining bytes. Rows that repeat a doc_id are taken as
-    copies of one text: one row comes back for each of them. No documents give no rows.
+    the maximal removed [start, end) in bytes and kept the remaining bytes. Rows that repeat a doc_id with the same
+    text are one document, and one row comes back for each of them; of different texts with one doc_id the one with the
+    least hash is that document, and the others stay whole and take no part, as rows without doc_id do. No documents
+    give no rows.
     """
-    found = repeats(docs.dropDuplicates(["doc_id"]) if _repeats_ids(docs) else docs, length)
+    whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if _repeats_ids(docs):
+        digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+        chosen = save(whole.filter("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("chosen")), "chosen")
+        own = whole.join(chosen, "doc_id", "left").withColumn("own", digest.eqNullSafe(F.col("chosen")))
+        found = repeats(own.filter("own").select("doc_id", "text").dropDuplicates(["doc_id"]), length)
+    else:
+        own, found = whole.withColumn("own", F.lit(True)), repeats(whole, length)
     of = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("windows"))  # at most a document's own windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,14 +364,14 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
                     out.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(spans), "spans": [{"start": a, "end": b} for a, b in spans], "kept": kept})
                 yield pa.RecordBatch.from_pylist(out, schema=_KEPT)
 
-    whole = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(of, "doc_id", "left")
-    return whole.select("doc_id", "text", "windows").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    cut = own.join(of, "doc_id", "left")
+    return cut.select("doc_id", "text", F.when(F.col("own"), F.col("windows")).alias("windows")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
 def _repeats_ids(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().filter("count > 1").head(1))
+    return bool(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").head(1))
 
 
