@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textquarry.llm import embed_dedup as E
 
@@ -55,6 +56,24 @@ def test_against_brute_force(spark, monkeypatch, shard):
     assert np.mean([got[i] == want[i] for i in got]) > 0.97
 
 
+@pytest.mark.parametrize("centroids", [1, 50])
+def test_labels_that_are_searched_badly_are_compared_exactly(spark, monkeypatch, centroids):
+    monkeypatch.setattr(E, "CLUSTER_ROWS", 40 if centroids > 1 else 10**6)
+    monkeypatch.setattr(E, "SHARD_ROWS", 100)
+    monkeypatch.setattr(E, "SMALL_LABEL", 100)
+    rows = cases()
+    reps = E.prepare(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).withColumnRenamed("vec_id", "rep").withColumn("m", F.lit(1).cast("long")).dropDuplicates(["g", "label"])
+    none = spark.createDataFrame([], "rep long, n long")
+    told = E.audit(reps, none, 0.93).collect()
+    assert told and all(r.got == 0 for r in told) and {r.label for r in told if r.true} == {"0", "1", "2"}
+    real = E._links
+    monkeypatch.setattr(E, "_links", lambda reps, least, exact=False: real(reps, least, exact) if exact else real(reps, least).filter("label <> '1'"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, want = {r.vec_id: tuple(r)[1:] for r in E.link(df).collect()}, brute(rows)
+    assert all(got[i] == want[i] for i, _, label in rows if label == 1)
+    assert sum(v[0] for v in got.values()) >= 0.98 * sum(v[0] for v in want.values())
+
+
 def test_empty(spark):
     assert E.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert E.link(spark.createDataFrame([(4, None, None)], "vec_id long, embedding array<float>, label int")).first() == (4, 0, 4, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ SAMPLE_ROWS, MAX_CENTROIDS = 20_000, 2_048
 #: Vectors wanted in a cluster; a shard of more than SHARD_ROWS is dealt out by pairs of blocks.
 CLUSTER_ROWS, SHARD_ROWS = 500, 3_000
 DEGREE, CANDIDATES, RANDOM, BEAM, ALPHA = 24, 48, 12, 32, 1.2
-AUDIT_MODULUS, AUDIT_RECALL = 50, 0.98
+#: The audit asks for the ids that AUDIT_MODULUS divides, and for all rows of labels that have SMALL_LABEL of them at most.
+AUDIT_MODULUS, AUDIT_RECALL, SMALL_LABEL = 50, 0.98, 500
+_LOG = logging.getLogger(__name__)
 
 
 def _unit(batch: pa.Array) -> list[np.ndarray | None]:
@@ -145,6 +148,12 @@ def range_search(units: np.ndarray, begin: np.ndarray, to: np.ndarray, queries:
     return np.concatenate(found_q), np.concatenate(found_n)
 
 
+def all_pairs(units: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of all rows with cosine >= least, by blocks of rows."""
+    found = [(k + a, b) for k in range(0, len(units), 512) for a, b in (np.nonzero(units[k : k + 512] @ units.T >= least),)]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def _parts(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive parts of about `most` by running sums."""
     x = 0
@@ -185,9 +194,9 @@ def _cells(reps: DataFrame) -> DataFrame:
     return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
 
 
-def _links(reps: DataFrame, least: float) -> DataFrame:
-    """(rep, n, root): for each vector and cell how many others it links with there (copies counted), and the smallest
-    vector of the cell that its links reach."""
+def _links(reps: DataFrame, least: float, exact: bool = False) -> DataFrame:
+    """(label, dim, rep, n, root): for each vector and cell how many others it links with there (copies counted), and the
+    smallest vector of the cell that its links reach. `exact` compares all pairs of a cell instead of searching a graph."""
     cells = save(_cells(reps), "cells")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -202,7 +211,7 @@ def _links(reps: DataFrame, least: float) -> DataFrame:
         back = order[np.arange(len(order)) - first < DEGREE]
         return pd.DataFrame({"src": np.concatenate([ids[i], ids[to[back]]]), "dst": np.concatenate([ids[to], ids[i[back]]])})
 
-    graph = cells.select(*_CELL, "rep", "unit").groupBy(*_CELL).applyInPandas(build, "src long, dst long")
+    graph = cells.filter(F.lit(not exact)).select(*_CELL, "rep", "unit").groupBy(*_CELL).applyInPandas(build, "src long, dst long")
     lists = graph.groupBy(F.col("src").alias("rep")).agg(F.collect_set("dst").alias("near"))  # a degree's edges from each cell
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +223,10 @@ def _links(reps: DataFrame, least: float) -> DataFrame:
             at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
             lists.append(at[ids[at] == near])
         begin = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-        a, b = range_search(units, begin, np.concatenate(lists), np.arange(len(rows)), least)
+        if exact:
+            a, b = all_pairs(units, least)
+        else:
+            a, b = range_search(units, begin, np.concatenate(lists), np.arange(len(rows)), least)
         # Links are symmetric: what either search has found counts for both.
         n = len(rows)
         key = np.unique(np.concatenate([a * n + b, b * n + a]))
@@ -240,39 +252,41 @@ def _links(reps: DataFrame, least: float) -> DataFrame:
             if (new == root).all():
                 break
             root = new
-        return pd.DataFrame({"rep": ids, "n": np.bincount(a, m[b], n).astype(np.int64), "root": ids[root]})
+        return pd.DataFrame({"label": rows["label"], "dim": rows["dim"], "rep": ids, "n": np.bincount(a, m[b], n).astype(np.int64), "root": ids[root]})
 
-    found = cells.join(lists, "rep", "left").groupBy(*_CELL).applyInPandas(search, "rep long, n long, root long")
+    found = cells.join(lists, "rep", "left").groupBy(*_CELL).applyInPandas(search, "label string, dim int, rep long, n long, root long")
     out = save(found.filter("n > 0"), "found")
     drop(cells)
     return out
 
 
-def audit(reps: DataFrame, found: DataFrame, least: float) -> float:
-    """Recall of links for the vectors whose id AUDIT_MODULUS divides, against brute force over all rows of their label.
+def audit(reps: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """(label, dim, true, got): links of the audited vectors by brute force over all rows of their label, and those found.
 
     The stated queries go out in blocks beside hash blocks of all vectors, so no group is gathered whole."""
-    queries = reps.filter(F.col("rep") % AUDIT_MODULUS == 0).select("label", "dim", F.struct("rep", "unit").alias("q"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 20)).alias("nth"))
-    sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / 20_000).cast("int").alias("parts"), F.ceil(F.count(F.when(F.col("rep") % AUDIT_MODULUS == 0, 1)) / 2_000).cast("int").alias("groups"))
-    asked = queries.join(sizes, ["label", "dim"]).select("label", "dim", (F.col("nth") % F.col("groups")).alias("group"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "q")
+    count = reps.groupBy("label", "dim").agg(F.count("*").alias("rows"), F.count(F.when(F.col("rep") % AUDIT_MODULUS == 0, 1)).alias("asked"))
+    asked = F.when(F.col("rows") <= SMALL_LABEL, F.col("rows")).otherwise(F.col("asked"))
+    sizes = count.select("label", "dim", (F.col("rows") <= SMALL_LABEL).alias("small"), F.ceil(F.col("rows") / 20_000).cast("int").alias("parts"), F.ceil(asked / 2_000).cast("int").alias("groups"))
+    queries = reps.join(sizes, ["label", "dim"]).filter(F.col("small") | (F.col("rep") % AUDIT_MODULUS == 0))
+    nth = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 20))
+    asked = queries.select("label", "dim", (nth % F.col("groups")).alias("group"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.struct("rep", "unit").alias("q"))
     rows = reps.join(sizes.filter("groups > 0"), ["label", "dim"]).select(
         "label", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("group"), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.struct("rep", "m", "unit").alias("r")
     )
 
     def brute(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"rep": [], "n": []}).astype("int64")
+            return pd.DataFrame({"label": [], "dim": [], "rep": [], "n": []})
         q, qi = np.stack([x["unit"] for x in left["q"]]), np.array([x["rep"] for x in left["q"]])
         r, ri, m = np.stack([x["unit"] for x in right["r"]]), np.array([x["rep"] for x in right["r"]]), np.array([x["m"] for x in right["r"]])
         n = ((q @ r.T >= least) & (qi[:, None] != ri[None])) @ m
-        return pd.DataFrame({"rep": qi, "n": n.astype(np.int64)})
+        return pd.DataFrame({"label": left["label"], "dim": left["dim"], "rep": qi, "n": n.astype(np.int64)})
 
     rows = rows.select(*(F.col(c).alias(f"r_{c}") for c in ("label", "dim", "group", "part")), "r")
-    true = asked.groupBy("label", "dim", "group", "part").cogroup(rows.groupBy("r_label", "r_dim", "r_group", "r_part")).applyInPandas(brute, "rep long, n long")
-    true = true.groupBy("rep").agg(F.sum("n").alias("true"))
+    true = asked.groupBy("label", "dim", "group", "part").cogroup(rows.groupBy("r_label", "r_dim", "r_group", "r_part")).applyInPandas(brute, "label string, dim int, rep long, n long")
+    true = true.groupBy("label", "dim", "rep").agg(F.sum("n").alias("true"))
     got = found.groupBy("rep").agg(F.sum("n").alias("got"))
-    r = true.join(got, "rep", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("got", F.lit(0))).alias("g")).first()
-    return 1.0 if not r.t else r.g / r.t
+    return true.join(got, "rep", "left").groupBy("label", "dim").agg(F.sum("true").alias("true"), F.sum(F.coalesce("got", F.lit(0))).alias("got"))
 
 
 def link(vectors: DataFrame, least: float = 0.93, overlap: int = 3) -> DataFrame:
@@ -282,8 +296,9 @@ def link(vectors: DataFrame, least: float = 0.93, overlap: int = 3) -> DataFrame
     null, zero and non-finite vectors, and null labels, link with nothing. Equal unit vectors collapse into one node
     that counts for all its copies. Nodes go to their `overlap` nearest centroids (fitted on SAMPLE_ROWS vectors at
     most; every vector is indexed); each shard is built into a robust-pruned graph, the shards' adjacency lists are
-    united, and every node's range search starts from the medoid. The audit compares with brute force for a fixed
-    fiftieth of the ids; below AUDIT_RECALL the overlap is doubled. Rows that repeat a vec_id count as one vector
+    united, and every node's range search starts from the medoid. The audit always compares with brute force, label by
+    label, for a fixed fiftieth of the ids and all rows of small labels; labels below AUDIT_RECALL go again with twice
+    the overlap, and where that reaches all centroids, exactly, in blocks. Recall is logged. Rows that repeat a vec_id count as one vector
     with several values. component_id is the smallest vec_id that links reach; kept says that it is the row's own.
     """
     ready = save(prepare(vectors), "vectors")
@@ -298,13 +313,23 @@ def link(vectors: DataFrame, least: float = 0.93, overlap: int = 3) -> DataFrame
     share = {d: len(by_dim.get(d, ())) / max(len(sample), 1) for d in dims}
     centroids = {d: fit_centroids(np.stack(by_dim[d]), min(len(by_dim[d]), MAX_CENTROIDS, max(1, round(total * share[d] / CLUSTER_ROWS)))) if d in by_dim else np.eye(1, d) for d in dims}
     most = max((len(c) for c in centroids.values()), default=1)
+    found, pending = None, reps
     while True:
-        placed = _assign(reps, centroids, overlap)
-        found = _links(placed, least)
-        if overlap >= most or audit(reps, found, least) >= AUDIT_RECALL:
+        got = _links(_assign(pending, centroids, overlap), least)
+        told = save(audit(pending, got, least), "audit")
+        sums = told.agg(F.coalesce(F.sum("true"), F.lit(0)).alias("true"), F.coalesce(F.sum("got"), F.lit(0)).alias("got")).first()
+        _LOG.info("overlap %d: %d of %d audited links found", overlap, sums.got, sums.true)
+        poor = save(told.filter(F.col("got") < AUDIT_RECALL * F.col("true")).select("label", "dim"), "poor")
+        some = bool(poor.head(1))
+        good = got.join(poor, ["label", "dim"], "left_anti") if some else got
+        found = good if found is None else found.unionByName(good)
+        if not some:
             break
+        pending = save(pending.join(poor, ["label", "dim"], "left_semi"), "pending")
         overlap *= 2
-        drop(found)
+        if overlap >= 2 * most:  # all centroids were tried: what is left is compared pair by pair
+            found = found.unionByName(_links(pending.withColumn("clusters", F.array(F.lit(0))), least, exact=True))
+            break
     member = ready.join(reps.drop("unit"), ["label", "dim", "g"]).select("vec_id", "rep", "m")
     edges = found.filter("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst"))
     of = components(edges.unionByName(member.filter("vec_id <> rep").select(F.col("vec_id").alias("src"), F.col("rep").alias("dst"))))
