@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.llm.common import drop, save
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 MATCHES = "array<struct<item_id:long,coverage:double,tiles:int,longest:int>>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -154,12 +156,20 @@ def match(docs: DataFrame, benchmark: DataFrame, least: int = 4, threshold: floa
     The benchmark is a stated query set: it goes to the tasks in blocks of at most `block_chars` characters, each of
     which looks at every document (seeds of `least` shared tokens first, tiling only where there are enough). An item
     shorter than `least` tokens must occur whole; an item without words, and a null or empty text, match nothing.
-    Row-wise: no shuffle; repeated rows and all columns stay.
+    Row-wise: no shuffle; repeated rows and all columns stay, but one named matches is replaced.
     """
-    found = F.array().cast(MATCHES)
+    out, held, saved = docs.withColumn("matches", F.array().cast(MATCHES)), None, None
     for block in _blocks(benchmark, block_chars):
-        found = F.concat(found, _tiles_of(docs.sparkSession.sparkContext.broadcast(Index(block, least)), threshold)(F.col("text").cast("string")))
-    return docs.withColumn("matches", found)
+        if held is not None:  # one block's index at a time: what it has found is written before the next one goes out
+            last, saved = saved, save(out, "matches")
+            drop(last)
+            held.unpersist()
+            out = saved
+        held = docs.sparkSession.sparkContext.broadcast(Index(block, least))
+        more = _tiles_of(held, threshold)(F.col("text").cast("string"))
+        out = out.withColumn("matches", more if saved is None else F.concat("matches", more))
+    best_first = lambda a, b: F.when(a["coverage"] != b["coverage"], F.when(a["coverage"] > b["coverage"], -1).otherwise(1)).otherwise(F.when(a["item_id"] < b["item_id"], -1).otherwise(1))
+    return out if saved is None else out.withColumn("matches", F.array_sort("matches", best_first))
 
 
 def _tiles_of(index, threshold: float):
