@@ -29,7 +29,6 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of tables that were dropped
     _KEPT[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_at = path
