@@ -7,10 +7,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.plans.rounds import cut as save
+from textquarry.plans.rounds import cut
 from textquarry.plans.rounds import drop, shared_dir
 
 
+def save(df: DataFrame, what: str) -> DataFrame:
+    """cut(); then lets Spark's cleaner delete the shuffle files of tables that were dropped."""
+    out = cut(df, what)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
