@@ -103,3 +103,34 @@ def test_vectors(spark):
     assert [tuple(x) for x in s.first().s] == [(1, -2.0), (2, 0.5), (5, 0.5)]
     assert [tuple(x) for x in s.select(vector.prune_top_k("s", 2)).first()[0]] == [(1, -2.0), (2, 0.5)]
     assert s.select(vector.sparse_dot("s", "s")).first()[0] == 4.5
+
+
+def test_chunks_carry_as_documented():
+    from textquarry.functions.chunk import ChunkOptions, chunks
+
+    long = "d" * 40
+    assert chunks(f"aaa. bbb. ccc. {long}", ChunkOptions(11, 9)) == ["aaa. bbb. ccc.", f"ccc. {long}"]  # all would fit: the last alone
+    assert chunks("aaaa. bbbb. cccc. dddd.", ChunkOptions(4, 2)) == ["aaaa. bbbb. cccc.", "cccc. dddd."]
+    assert chunks(f"aaa. {long}", ChunkOptions(5, 4)) == ["aaa.", long] and chunks("", ChunkOptions(5, 4)) == [] and chunks(None, ChunkOptions(5, 0)) == []
+    assert chunks("a. b. c. d.", ChunkOptions(2, 0)) == ["a. b. c.", "d."]
+
+
+def test_spans_agree_with_flags_on_control_characters(spark):
+    from textquarry.functions import dlp
+
+    spaces = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u2003", "\u3000", "\x0b", "\x0c", "\u200b", " ", ""]
+    texts = [t.replace("_", s) for s in spaces for t in ("password_=_abcdefgh12", "x_~/secret/file", "authorization_:_bearer_abcdefghijklmnopqrstuv", "postgres://us_er:pw@h", "-----BEGIN_RSA_PRIVATE KEY", "aws_secret_access_key_=_abcdefghijklmnopqrst", "계좌_번호_12-34-5678")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", dlp.rule_hits("t").alias("hits"), dlp.scan("t")["rule"].alias("found"), dlp.redacted("t").alias("a"), dlp.redact_findings("t").alias("b")).collect()
+    assert all(set(r.hits) == set(r.found) and r.a == r.b for r in got) and sum(bool(r.hits) for r in got) > 30
+    assert sorted((r.i, r.rule) for r in dlp.findings(df, "t").collect()) == sorted((r.i, f) for r in got for f in r.found)
+    assert dlp.find("é password=abcdefgh12")[0][3:] == (12, 22)
+
+
+def test_sql_functions(spark):
+    from textquarry.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT mask_secrets('password=abcdefgh12') AS a, redact_credential('abcdefghijk') AS b, text_preview(repeat('x', 70)) AS c, strip_ansi('\\u001b[31mred') AS d").first()
+    assert (row.a, row.b, row.c, row.d) == ("password=****", "abcd****hijk", "x" * 64 + "…", "red")
+    assert [r.rule for r in spark.sql("SELECT rule FROM dlp_findings('password=abcdefgh12')").collect()] == ["key_value_assignment"]

@@ -89,6 +89,9 @@ def test_fusion(spark):
     assert {r.id: r.score for r in search.comb_mnz(h, 1).collect()} == pytest.approx({"x": 11.0, "y": 6.0, "z": 0.0})
     with pytest.raises(ValueError):
         search.comb_mnz(h, 0)
+    for fused in (search.rrf(h, weights={"a": 1.0}), search.weighted_sum(norm, {"a": 1.0}), search.rrf(h, weights={})):
+        with pytest.raises(Exception, match="no weight for list"):
+            fused.collect()
     backends = {n: h.filter(F.col("list_id") == n).select("query_id", "id", "score", "text") for n in "ab"}
     assert ids(search.federate(backends, 2).orderBy("rank")) == ["x", "y"]
     odd = spark.createDataFrame([("q", "l", 1, "a", float("nan"), ""), ("q", "l", 2, "b", float("inf"), ""), ("q", "l", 3, "c", 2.0, "")], h.schema)
@@ -103,6 +106,14 @@ def test_vector_search(spark):
     assert vectors.knn_filtered(v, q, 2, v.select("id").limit(0)).count() == 0 and vectors.knn(v, q.limit(0), 2).count() == 0
     s = spark.createDataFrame([(1, [(1, 2.0), (3, 1.0)]), (2, [(3, 5.0)])], "id long, vector array<struct<index:int,value:double>>")
     assert [(r.id, r.score) for r in vectors.sparse_search(s, s.filter("id = 1").withColumnRenamed("id", "query_id"), 5).orderBy("rank").collect()] == [(1, 5.0), (2, 5.0)]
+    s = spark.createDataFrame([(1, [(1, 2.0)]), (2, [(3, 5.0)]), (3, [(1, -1.0)]), (4, []), (5, [(9, 1.0)])], s.schema)
+    q1 = spark.createDataFrame([(7, [(1, 1.0)]), (8, []), (9, [(1, 1.0), (3, 1.0), (9, 1.0)])], "query_id long, vector array<struct<index:int,value:double>>")
+    top = lambda k, **o: sorted((r.query_id, r["rank"], r.id, r.score) for r in vectors.sparse_search(s, q1, k, **o).collect())
+    assert top(3) == [(7, 1, 1, 2.0), (7, 2, 2, 0.0), (7, 3, 4, 0.0), (9, 1, 2, 5.0), (9, 2, 1, 2.0), (9, 3, 5, 1.0)]
+    assert top(9)[:5] == [(7, 1, 1, 2.0), (7, 2, 2, 0.0), (7, 3, 4, 0.0), (7, 4, 5, 0.0), (7, 5, 3, -1.0)] and len(top(9)) == 10
+    assert top(1) == [(7, 1, 1, 2.0), (9, 1, 2, 5.0)] and top(2, allowed=s.filter("id > 2").select("id")) == [(7, 1, 4, 0.0), (7, 2, 5, 0.0), (9, 1, 5, 1.0), (9, 2, 4, 0.0)]
+    odd = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0]), ("c", None), ("d", [None, 1.0])], "query_id string, vector array<float>")
+    assert sorted((x.query_id, x.id) for x in vectors.knn(v, odd, 1).collect()) == [("a", 1), ("b", 5)]
     r = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "match long, vector array<float>")
     assert [(x.id, x.match) for x in vectors.fingerprint(v, r).orderBy("id").collect()] == [(1, 2), (2, 2)]
     assert sorted(x.id for x in vectors.remove_vectors(vectors.add_vectors(v, v.filter("id = 1")), v.filter("id > 2")).collect()) == [1, 2]
@@ -128,6 +139,8 @@ def test_paths(spark):
     assert algorithms.shortest_path(tri, "A", "C") == ["A", "B", "C"] and algorithms.shortest_path(tri, "C", "A") is None and algorithms.shortest_path(tri, "A", "A") == ["A"]
     assert {r.id: r.dist for r in algorithms.distances(tri, "A").collect()} == pytest.approx({"A": 0.0, "B": -math.log(0.5), "C": -2 * math.log(0.5)})
     weak = edge_table(spark, [("A", "B", "r", 1e-12), ("A", "C", "r", 0.9), ("C", "B", "r", 7.0)])
+    line = edge_table(spark, [(f"n{i}", f"n{i + 1}", "r", 1.0) for i in range(11)])
+    assert algorithms.shortest_path(line, "n2", "n9") == [f"n{i}" for i in range(2, 10)] and algorithms.shortest_path(line, "n0", "n1") == ["n0", "n1"]
     assert algorithms.shortest_path(weak, "A", "B") == ["A", "C", "B"] and algorithms.shortest_path(tri, "Z", "A", n) is None
 
 
@@ -148,6 +161,41 @@ def test_graph_algorithms(spark):
     assert [(r.a, r.b) for r in algorithms.link_prediction(square, 5).collect()] == [("A", "B"), ("C", "D")]
 
 
+def test_links_of_hubs_in_parts(spark, monkeypatch):
+    star = edge_table(spark, [("hub", f"n{i}", "r", 1.0) for i in range(30)] + [("n0", "n1", "r", 1.0)])
+    want = [tuple(r) for r in algorithms.link_prediction(star, 1000).collect()]
+    monkeypatch.setattr(algorithms, "HUB_ROWS", 4)
+    assert [tuple(r) for r in algorithms.link_prediction(star, 1000).collect()] == want and len(want) == 30 * 29 // 2 - 1
+
+
+def test_graph_and_touch(spark):
+    from textquarry.operators.graph import Graph
+
+    n = node_table(spark, [{"id": x, "title": f"title {x}", "type": "t", "access_count": 3} for x in "ABCD"])
+    graph = Graph(n, edge_table(spark, [("A", "B", "r", 0.5), ("B", "C", "r", 0.5), ("C", "Z", "r", 1.0)]))
+    found, after = graph.recall(recall.RecallOptions(limit=2), "2025-01-31T00:00:00Z")
+    read = sorted(ids(found))
+    assert len(read) == 2 and {r.id: (r.access_count, r.accessed_at) for r in after.nodes.collect()} == {x: (4, "2025-01-31T00:00:00Z") if x in read else (3, "") for x in "ABCD"}
+    assert graph.path("A", "C") == ["A", "B", "C"] and sorted(ids(graph.related("A", 3))) == ["B", "C"] and ids(graph.neighbors(n.select("id").filter("id = 'C'"))) == ["B"]
+    assert graph.delete(["B"]).edges.count() == 1 and {r.component for r in graph.components().collect()} == {"A", "D"} and graph.stats().first().nodes == 4
+    assert graph.ranks().count() == 4 and sorted(ids(graph.search("title", 9))) == list("ABCD") and graph.query(g.NodeQuery(type="t", limit=3)).count() == 3
+
+
+def test_evaluation(spark):
+    from textquarry.operators import evaluation as ev
+
+    e = ev.estimate_errors(spark.createDataFrame([(10, 10), (13, 10), (20, 10), (1, 0)], "est int, act int"), "est", "act").first()
+    assert (e.entries, e.mae, e.max_error, e.pct_within_3, e.pct_within_10pct) == (4, 3.5, 10.0, 75.0, 25.0)
+    sets = spark.createDataFrame([(["a", "b"], ["a"]), ([], ["c"]), ([], [])], "f array<string>, x array<string>")
+    assert tuple(ev.label_sets(sets, "f", "x").first()) == (0.5, 0.5, 0.5) and tuple(ev.label_sets(sets.limit(0), "f", "x").first()) == (1.0, 1.0, 1.0)
+    assert [(r.precision, r.recall, r.f1) for r in ev.set_scores(sets, "f", "x").collect()] == [(0.5, 1.0, 2 / 3), (1.0, 0.0, 0.0), (1.0, 1.0, 1.0)]
+    ranked = spark.createDataFrame([("q", x, i + 1) for i, x in enumerate("abcdefg")], "query_id string, id string, rank int")
+    relevant = spark.createDataFrame([("q", "b"), ("q", "g"), ("q", "z"), ("r", "a")], "query_id string, id string")
+    scores = ev.ranking_scores(ranked, relevant)
+    assert {r.query_id: (r.p_at_5, round(r.r_at_5, 3), r.rr) for r in scores.collect()} == {"q": (0.2, 0.333, 0.5), "r": (0.0, 0.0, 0.0)}
+    assert ev.mean_scores(scores).first().mrr == 0.25
+
+
 def test_recall(spark):
     now = "2025-01-31T00:00:00Z"
     n = node_table(spark, [
@@ -198,8 +246,15 @@ def test_catalog(spark):
     d = catalog.diff(merged).first()
     assert (d.added, d.updated, d.kept, d.price_changes, d.clean) == (1, 1, 3, 1, False)
     assert {r.id: (r.context, r.reasoning) for r in catalog.capabilities(p).collect()} == {"openai": (1000, True), "kimi": (2000, False), "ollama": (3000, False)}
-    found = spark.createDataFrame([("openai", "big", "B2"), ("who", "x", "X")], "provider string, id string, name string")
-    assert ("discovered", "x", "X", True) in [tuple(r) for r in catalog.with_discovered(p, found).collect()]
+    whole = {r.id: r for r in catalog.merge_catalog(p, up).collect()}
+    assert [(m.id, m.name, m.cost and m.cost.input) for m in whole["openai"].models] == [("big", "Big", 5.0), ("same", "same", 2.0), ("new", None, None)] and whole["openai"].base_url == "a"
+    assert [m.id for m in whole["kimi"].models] == ["same"] and [m.id for m in whole["ollama"].models] == ["llama"] and catalog.merge_catalog(p, up).columns == p.columns
+    again = catalog.merge(catalog.merge_catalog(p, up), up)
+    assert {(r.id, r.state) for r in again.filter("provider = 'openai'").collect()} == {("big", "same"), ("new", "same"), ("same", "kept")} and catalog.diff(again).first().clean
+    same = catalog.with_discovered(p, spark.createDataFrame([("openai", 0, "big", "B1"), ("who", 1, "x", "X"), ("openai", 2, "more", "M"), ("openai", 3, "big", "B2"), ("who", 4, "y", "Y")], "provider string, pos int, id string, name string"))
+    got = {r.id: [(m.id, m.name) for m in r.models] for r in same.collect()}
+    assert got == {"openai": [("big", "B2"), ("same", "same"), ("more", "M")], "kimi": [("same", "same")], "ollama": [("llama", "llama")], "discovered": [("x", "X"), ("y", "Y")]}
+    assert catalog.with_discovered(p, spark.createDataFrame([], "provider string, pos int, id string, name string")).count() == 3
     b = spark.createDataFrame([(0, 2, 1.0, 1.0), (1, 1, None, 1.0), (2, 1, 0.1, 0.1)], "pos int, priority int, input double, output double")
     assert [r.pos for r in catalog.route(b).collect()] == [1, 2, 0] and [r.pos for r in catalog.route(b, "lowest_cost").collect()] == [2, 0, 1]
     t = spark.createDataFrame([("rate_limited", 0, 500), ("server", 9, None), ("client", 1, None)], "k string, n int, after int").select(catalog.retry_bounds(F.col("k"), F.col("n"), F.col("after")).alias("b")).collect()

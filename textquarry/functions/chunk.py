@@ -6,25 +6,38 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from textquarry.functions import text as T
 
-_CLASSES = [(re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), c) + "]"), w) for c, w in ((T.WHITE, 0.25), (T.CONTROL, 0.0), (T.ONE, 1.0), (T.ONE_AND_HALF, 1 / 1.5), (T.TWO, 0.5))]
+_CLASSES = [re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), c) + "]") for c in (T.WHITE, T.CONTROL, T.ONE, T.ONE_AND_HALF, T.TWO)]
 _WHITE = "".join(chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+#: Quarters of a token that a character of each class, or of none, counts; the class of one and a half a token is counted apart.
+_QUARTERS, _MIDDLE, _UNKNOWN = np.array([1, 0, 4, 0, 2, 1]), 3, 255
+_CLASS_OF = np.full(0x110000, _UNKNOWN, np.uint8)  # filled as characters come up
+
+
+def _classes(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for c in np.unique(points[_CLASS_OF[points] == _UNKNOWN]).tolist():
+        _CLASS_OF[c] = next((k for k, p in enumerate(_CLASSES) if p.fullmatch(chr(c))), len(_CLASSES))
+    return _CLASS_OF[points]
+
+
+def _estimate(quarters: int, middle: int) -> int:
+    total = quarters * 0.25 + middle / 1.5
+    return max(1, int(total + 0.5)) if total else 0
 
 
 def tokens(text: str) -> int:
     """estimate_tokens for a Python string."""
-    if text.isascii():
-        total = (len(text) - len(_CLASSES[1][0].findall(text))) * 0.25
-    else:
-        n = [len(p.findall(text)) for p, _ in _CLASSES]
-        total = sum(k * w for k, (_, w) in zip(n, _CLASSES, strict=True)) + (len(text) - sum(n)) * 0.25
-    return max(1, int(total + 0.5)) if total else 0
+    kinds = _classes(text)
+    return _estimate(int(_QUARTERS[kinds].sum()), int((kinds == _MIDDLE).sum()))
 
 
 def units(text: str) -> list[str]:
@@ -44,34 +57,37 @@ class ChunkOptions:
 
 
 def chunks(text: str | None, options: ChunkOptions) -> list[str]:
-    """Sentences joined by a space up to the budget; a longer one stands alone; the trailing ones that fit the overlap are carried."""
-    out, window = [], []
+    """Sentences joined by a space up to the budget; a longer one stands alone. The next chunk begins with the trailing
+    sentences that fit the overlap: with the last one alone where none or all would, and with none where the chunk
+    had one sentence or where the last one leaves no room for the next.
+
+    A joined text's estimate follows from its sentences' character classes, so running sums spare joining it."""
     queue = units(text or "")
-    i = 0
-    while i < len(queue):
-        grown = [*window, queue[i]]
-        if tokens(" ".join(grown)) <= options.most or not window:
-            window = grown
-            i += 1
-            if len(window) == 1 and tokens(window[0]) > options.most:
-                out.append(window[0])
-                window = []
-            continue
-        out.append(" ".join(window))
-        window = _carried(window, queue[i], options)
-    return [*out, " ".join(window)] if window else out
-
-
-def _carried(window: list[str], coming: str, options: ChunkOptions) -> list[str]:
-    if options.overlap == 0 or len(window) == 1:
-        return []
-    tail = window[-1:]
-    for k in range(len(window) - 1, 0, -1):
-        if tokens(" ".join(window[k:])) > options.overlap:
-            break
-        tail = window[k:]
-    alone = len(tail) == 1 and tokens(tail[0] + " " + coming) > options.most
-    return [] if alone else tail
+    kinds = [_classes(u) for u in queue]
+    quarters = np.concatenate(([0], np.cumsum([int(_QUARTERS[k].sum()) for k in kinds]))).tolist()
+    middle = np.concatenate(([0], np.cumsum([int((k == _MIDDLE).sum()) for k in kinds]))).tolist()
+    size = lambda a, b: _estimate(int(quarters[b] - quarters[a]) + b - a - 1, int(middle[b] - middle[a]))
+    out, first = [], 0
+    for i in range(len(queue)):
+        while first < i and size(first, i + 1) > options.most:
+            out.append(" ".join(queue[first:i]))
+            first = _carried(first, i, size, options)
+        if first == i and size(i, i + 1) > options.most:
+            out.append(queue[i])
+            first = i + 1
+    return [*out, " ".join(queue[first:])] if first < len(queue) else out
+
+
+def _carried(first: int, end: int, size, options: ChunkOptions) -> int:
+    """Where the chunk after first..end-1 begins."""
+    if options.overlap == 0 or end - first == 1:
+        return end
+    at = end - 1
+    while at > first and size(at - 1, end) <= options.overlap:
+        at -= 1
+    if at == first:
+        at = end - 1
+    return end if at == end - 1 and size(at, end + 1) > options.most else at
 
 
 def chunk_text(text: Column | str, most: int = 512, overlap: int = 64) -> Column:
@@ -96,19 +112,25 @@ class ChunkTable:
 
 def reserve(requests: DataFrame, total: int, key: str = "budget", order: str = "pos", amount: str = "tokens") -> DataFrame:
     """Try the reservations of each budget in order: add `granted` and `remaining`. What would exceed `total` is refused and
-    takes nothing, so a later smaller one may still pass; negative amounts release, down to nothing used."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, used, granted, left = rows.sort_values(order), 0, [], []
-        for n in rows[amount]:
-            ok = n <= 0 or used + n <= total
-            used = max(0, used + n) if ok else used
-            granted.append(bool(ok))
-            left.append(total - used)
-        return rows.assign(granted=granted, remaining=left)
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes) + ", granted boolean, remaining long"
-    return requests.groupBy(key).applyInPandas(run, schema)
+    takes nothing, so a later smaller one may still pass; negative amounts release, down to nothing used. A fold over
+    rows in order that holds only what is used, so a budget of any number of requests streams through its task."""
+    at = {c: requests.columns.index(c) for c in (key, amount)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        budget, used = (), 0
+        for batch in batches:
+            granted, left = [], []
+            for b, n in zip(batch.column(at[key]).to_pylist(), batch.column(at[amount]).to_pylist(), strict=True):
+                if budget != (b,):
+                    budget, used = (b,), 0
+                ok = n is not None and (n <= 0 or used + n <= total)
+                used = max(0, used + n) if ok else used
+                granted.append(ok)
+                left.append(total - used)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(granted, pa.bool_()), pa.array(left, pa.int64())], [*batch.schema.names, "granted", "remaining"])
+
+    dealt = requests.repartition(F.xxhash64(key)).sortWithinPartitions(key, order)
+    return dealt.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*requests.dtypes, ("granted", "boolean"), ("remaining", "bigint")]))
 
 
 def chunk_batch(df: DataFrame, size: int, order: str) -> DataFrame:

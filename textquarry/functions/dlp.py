@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import Row
 
 from textquarry.functions.text import DIALECT, MASK
@@ -82,30 +83,41 @@ def sensitivity(hits: Column) -> Column:
 
 
 _COMPILED: list[tuple] = []
+#: White space in the dialect of the fixed patterns; Python's own class also takes U+001C to U+001F.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _python(pattern: str) -> re.Pattern:
+    """The pattern with its white-space class spelt out, within brackets or not."""
+    return re.compile(re.sub(r"\[(?:\\.|[^\]\\])*\]|\\s", lambda m: f"[{_SPACE}]" if m[0] == r"\s" else m[0].replace(r"\s", _SPACE), pattern))
 
 
 def _rules() -> list[tuple]:
     if not _COMPILED:
-        # Python's \s also takes U+001C to U+001F; the fixed patterns' dialect does not
-        _COMPILED.extend((n, c, s, re.compile(p), g) for n, c, s, p, g in RULES)
-        _COMPILED.append((*RRN[:3], re.compile(RRN[3]), None))
+        _COMPILED.extend((n, c, s, _python(p), g) for n, c, s, p, g in RULES)
+        _COMPILED.append((*RRN[:3], _python(RRN[3]), None))
     return _COMPILED
 
 
-def find(text: str | None) -> list[tuple[str, str, str, int, int]]:
-    """(category, rule, severity, start, end) in UTF-8 bytes, by start and then in rule order."""
+def find(text: str | None, only: set[str] | None = None) -> list[tuple[str, str, str, int, int]]:
+    """(category, rule, severity, start, end) in UTF-8 bytes, by start and then in rule order; of the rules `only`, if given."""
     text, out = text or "", []
     for rule, category, severity, pattern, group in _rules():
+        if only is not None and rule not in only:
+            continue
         for m in pattern.finditer(text):
             if group is None:
                 d = [int(x) for x in m[0] if x != "-"]
                 if (11 - sum(a * b for a, b in zip(d, RRN_WEIGHTS)) % 11) % 10 != d[12]:
                     continue
             out.append((category, rule, severity, *m.span(1 if group else 0)))
-    if not text.isascii():
-        byte = lambda i: len(text[:i].encode())
-        out = [(*f[:3], byte(f[3]), byte(f[4])) for f in out]
-    return sorted(out, key=lambda f: f[3])
+    out.sort(key=lambda f: f[3])
+    if out and not text.isascii():
+        at, byte = 0, {0: 0}  # one walk over the text for all places
+        for i in sorted({x for f in out for x in f[3:]}):
+            byte[i], at = byte[at] + len(text[at:i].encode("utf-8", "surrogatepass")), i
+        out = [(*f[:3], byte[f[3]], byte[f[4]]) for f in out]
+    return out
 
 
 @F.pandas_udf(T.ArrayType(FINDING))
@@ -133,12 +145,40 @@ def redact(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, data[at:]]).decode()
 
 
+@F.pandas_udf(T.ArrayType(FINDING))
+def _scan_for(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    names = ("category", "rule", "severity", "start", "end")
+    for part, hits in texts:
+        yield pd.Series([[dict(zip(names, f)) for f in find(t, set(h))] if len(h) else [] for t, h in zip(part, hits, strict=True)], dtype=object)
+
+
+def findings(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each finding of each row of `docs`: its columns but `text`, and category, rule, severity, start, end.
+    rule_hits() goes first, so only rows that have findings leave the JVM, and only their rules are tried again."""
+    hit = docs.withColumn("_hits", rule_hits(text)).filter(F.size("_hits") > 0)
+    return hit.select(*(c for c in docs.columns if c != text), F.explode(_scan_for(F.col(text), F.col("_hits"))).alias("_f")).select(*(c for c in docs.columns if c != text), "_f.*")
+
+
+@udtf(returnType="category string, rule string, severity string, start int, end int")
+class FindingTable:
+    """SELECT * FROM dlp_findings(text)"""
+
+    def eval(self, text: str):
+        yield from find(text)
+
+
 @F.pandas_udf(T.StringType())
 def redact_findings(texts: pd.Series) -> pd.Series:
     """The text with every finding redacted."""
     return texts.map(lambda t: redact(t, [f[3:] for f in find(t)]))
 
 
+def redacted(text: Column | str) -> Column:
+    """redact_findings() of texts in which rule_hits() finds something; the others stay in the JVM."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(redact_findings(F.when(F.size(rule_hits(t)) > 0, t)), t)
+
+
 @F.pandas_udf(T.StringType())
 def apply_redactions(texts: pd.Series, spans: pd.Series) -> pd.Series:
     """The text with the given spans (array of struct<start,end>, bytes) redacted."""

@@ -12,6 +12,8 @@ from textquarry.plans.rounds import cut, drop
 IMPASSABLE = 1e-9
 #: Label propagation takes connected components of up to so many nodes and edges through tasks, larger ones by joins.
 GROUP_ROWS = 100_000
+#: Link prediction deals a hub's neighbours to parts of so many.
+HUB_ROWS = 1_000
 
 
 def with_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -32,12 +34,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     shares = cut(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")), "shares")
     sinks = cut(ids.join(out.select(F.col("source").alias("id")), "id", "left_anti"), "sinks")
     rank = sinks.select("id", F.lit(True).alias("sink")).unionByName(ids.join(sinks, "id", "left_anti").withColumn("sink", F.lit(False))).withColumn("rank", F.lit(1.0 / n))
-    lost = sinks.count() / n
+    lost, old = sinks.count() / n, None
     for _ in range(rounds):
         got = rank.join(shares, rank.id == shares.source).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         base = (1 - damping) / n + damping * lost / n
         new = rank.join(got, rank.id == got.target, "left").select("id", "sink", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
-        new = cut(new, "rank")
+        held, new = old, cut(new, "rank")
+        drop(held)
+        old = new
         r = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost")).first()
         rank, lost = new.drop("old"), r.lost
         if r.moved < tolerance:
@@ -57,7 +61,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        old = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        held, old = old, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        drop(held)
         now = old.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -164,23 +169,28 @@ def distances(edges: DataFrame, source: str, nodes: DataFrame | None = None) ->
         offers = active.join(costs, active.id == costs.source).select(F.col("target").alias("id"), (F.col("dist") + F.col("cost")).alias("d"), F.col("source").alias("p"))
         offers = offers.groupBy("id").agg(F.min(F.struct("d", "p")).alias("o"))
         better = offers.join(best, "id", "left").filter("dist is null or o.d < dist - 1e-15").select("id", F.col("o.d").alias("dist"), F.col("o.p").alias("prev"))
-        active = cut(better, "active")
+        held, active = active, cut(better, "active")
+        drop(held)
         if not active.head(1):
             return best
-        best = cut(best.join(active.select("id"), "id", "left_anti").unionByName(active), "best")
+        held, best = best, cut(best.join(active.select("id"), "id", "left_anti").unionByName(active), "best")
+        drop(held)
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, nodes: DataFrame | None = None) -> list[str] | None:
-    """The nodes on the way, None where there is none; [source] for itself."""
+    """The nodes on the way, None where there is none; [source] for itself. Ancestors by doubling: after k rounds those
+    within 2**k steps of the target are known, so a path of n nodes takes log2(n) rounds."""
     tree = distances(edges, source, nodes)
-    at, way = target, [target]
-    while at != source:  # one look-up for each node of the path
-        row = tree.filter(F.col("id") == at).first()
-        if row is None or row.prev is None:
-            return None
-        at = row.prev
-        way.append(at)
-    return way[::-1] if tree.head(1) else None
+    if not tree.filter(F.col("id") == target).head(1):
+        return None
+    far = cut(tree.filter("prev is not null").select("id", F.col("prev").alias("up")), "up")
+    way, reach = cut(far.sparkSession.createDataFrame([(target, 0)], "id string, hops long"), "way"), 1
+    while True:
+        more = cut(way.join(far, "id").select(F.col("up").alias("id"), (F.col("hops") + reach).alias("hops")), "way")
+        if not more.head(1):
+            return [r.id for r in way.orderBy(F.desc("hops")).collect()]  # the answer itself
+        way, reach = way.unionByName(more), 2 * reach
+        far = cut(far.join(far.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")), "up")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -207,10 +217,13 @@ def similarity(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def link_prediction(edges: DataFrame, k: int) -> DataFrame:
     """(a, b, score): the k best pairs a < b by Adamic-Adar that share a neighbour and are not adjacent. A hub with d
-    neighbours has d*d/2 pairs, which is what is asked for; they are summed before the shuffle."""
-    near, deg = undirected(edges), degrees(edges)
-    weight = deg.select(F.col("id").alias("z"), F.when(F.col("degree") > 1, 1 / F.log("degree")).otherwise(0.0).alias("w"))
-    left = near.select(F.col("a").alias("z"), F.col("b").alias("a")).join(weight, "z")
-    right = near.select(F.col("a").alias("z"), F.col("b"))
-    pairs = left.join(right, "z").filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("score"))
+    neighbours has d*d/2 pairs, which is what is asked for: its neighbours are dealt to parts of HUB_ROWS, each of which
+    meets all of them, so no task makes more than HUB_ROWS*d pairs of a hub, and sums come before the shuffle."""
+    near = cut(undirected(edges), "near")
+    deg = near.groupBy(F.col("a").alias("z")).agg(F.count("*").alias("degree"))
+    weight = cut(deg.select("z", F.when(F.col("degree") > 1, 1 / F.log("degree")).otherwise(0.0).alias("w"), F.ceil(F.col("degree") / HUB_ROWS).cast("int").alias("parts")), "weights")
+    each = near.select(F.col("a").alias("z"), F.col("b")).join(weight, "z")
+    left = each.select("z", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("a"), "w")
+    right = each.select("z", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "b")
+    pairs = left.join(right, ["z", "part"]).filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("score"))
     return pairs.join(near, ["a", "b"], "left_anti").orderBy(F.desc("score"), "a", "b").limit(k)

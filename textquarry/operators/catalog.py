@@ -69,40 +69,84 @@ def payload_models(payload: DataFrame, column: str = "payload") -> DataFrame:
     ).orderBy("upstream", "id")
 
 
-def merge(providers: DataFrame, upstream: DataFrame) -> DataFrame:
-    """The catalogue's models met with upstream's: provider, id, state (kept, updated, added) and both prices.
+def _met(providers: DataFrame, upstream: DataFrame) -> DataFrame:
+    """Providers with `_up`: their upstream's entry (api, npm, doc, models by id), null where they have none."""
+    entry = upstream.groupBy("upstream").agg(
+        F.max("api").alias("api"), F.max("npm").alias("npm"), F.max("doc").alias("doc"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct(*_MODEL_FIELDS)).cast(MODEL))).alias("models")
+    )
+    entry = entry.select(F.col("upstream").alias("_key"), F.struct("api", "npm", "doc", "models").alias("_up"))
+    return providers.withColumn("_key", resolve(F.col("id"))["upstream"]).join(entry, "_key", "left")
+
+
+_MODEL_FIELDS = ["id", "name", "family", "release_date", "knowledge", "cost", "limit", "modalities", "capabilities"]
+_NO_MODELS = f"array<{MODEL}>"
+
+
+def _theirs() -> Column:
+    return F.coalesce(F.col("_up.models"), F.array().cast(_NO_MODELS))
 
-    Upstream wins on a model's fields; what only the catalogue has stays; what only upstream has is added."""
-    ours = models(providers).select(F.col("provider"), "id", F.col("cost").alias("before"))
-    named = providers.select(F.col("id").alias("provider"), resolve(F.col("id"))["upstream"].alias("upstream")).filter("upstream is not null")
-    theirs = named.join(upstream.filter("id is not null"), "upstream").select("provider", "id", F.col("cost").alias("after"), F.lit(True).alias("there"))
-    both = ours.withColumn("here", F.lit(True)).join(theirs, ["provider", "id"], "full_outer")
-    changed = ~F.col("before").eqNullSafe(F.col("after"))
-    state = F.when(F.col("here").isNull(), "added").when(F.col("there").isNull(), "kept").otherwise("updated")
-    return both.select("provider", "id", state.alias("state"), "before", "after", F.coalesce(F.col("here") & F.col("there") & changed, F.lit(False)).alias("price_changed"))
+
+def merge_catalog(providers: DataFrame, upstream: DataFrame) -> DataFrame:
+    """The merged catalogue, in the columns of `providers`. Upstream (payload_models) wins on a model's fields; a catalogue's
+    models stay in their order, those that only it has among them, and those that only upstream has follow by id.
+    base_url, npm and doc (where providers has them) are filled from upstream only where they are empty."""
+    here = lambda ms, m: F.exists(ms, lambda x: x["id"] == m["id"])
+    kept = F.transform("models", lambda m: F.coalesce(F.get(F.filter(_theirs(), lambda u: u["id"] == m["id"]), F.lit(0)), m))
+    fill = lambda c, u: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.coalesce(F.col(f"_up.{u}"), F.col(c))).otherwise(F.col(c))
+    filled = {c: fill(c, u) for c, u in (("base_url", "api"), ("npm", "npm"), ("doc", "doc")) if c in providers.columns}
+    merged = F.when(F.col("_key").isNull(), F.col("models")).otherwise(F.concat(kept, F.filter(_theirs(), lambda u: ~here(F.col("models"), u))))
+    return _met(providers, upstream).withColumns({"models": merged, **filled}).select(providers.columns)
+
+
+def merge(providers: DataFrame, upstream: DataFrame) -> DataFrame:
+    """What merge_catalog() does to each model: provider, id, state (same, updated, added, kept: not upstream), both prices
+    and whether the input or output price changed."""
+    met = _met(providers, upstream)
+    both = F.transform("models", lambda m: F.struct(m.alias("m"), F.get(F.filter(_theirs(), lambda u: u["id"] == m["id"]), F.lit(0)).alias("u")))
+    ours = met.select(F.col("id").alias("provider"), F.explode(both).alias("p")).select("provider", "p.m", "p.u")
+    new = met.filter("_key is not null").select(F.col("id").alias("provider"), F.explode(F.filter(_theirs(), lambda u: ~F.exists("models", lambda m: m["id"] == u["id"]))).alias("u"))
+    price = lambda c: F.struct(F.col(f"{c}.cost.input"), F.col(f"{c}.cost.output"))
+    state = F.when(F.col("u").isNull(), "kept").when(F.to_json("m") == F.to_json("u"), "same").otherwise("updated")
+    changed = F.col("u").isNotNull() & ~price("m").eqNullSafe(price("u"))
+    a = ours.select("provider", F.col("m.id").alias("id"), state.alias("state"), F.col("m.cost").alias("before"), F.col("u.cost").alias("after"), changed.alias("price_changed"))
+    b = new.select("provider", F.col("u.id").alias("id"), F.lit("added").alias("state"), F.lit(None).cast(COST).alias("before"), F.col("u.cost").alias("after"), F.lit(False).alias("price_changed"))
+    return a.unionByName(b)
 
 
 def diff(merged: DataFrame) -> DataFrame:
     """One row: added, updated, kept, price_changes, and clean where nothing differs."""
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    out = merged.agg(n(F.col("state") == "added").alias("added"), n(F.col("state") == "updated").alias("updated"), n(F.col("state") == "kept").alias("kept"), n(F.coalesce("price_changed", F.lit(False))).alias("price_changes"))
+    out = merged.agg(*(n(F.col("state") == s).alias(s) for s in ("added", "updated", "kept")), n(F.col("price_changed")).alias("price_changes"))
     return out.withColumn("clean", (F.col("added") == 0) & (F.col("updated") == 0) & (F.col("price_changes") == 0))
 
 
 def with_discovered(providers: DataFrame, found: DataFrame) -> DataFrame:
-    """Models (provider, id, ...) found at run time replace or join those of their provider; unknown providers go to `discovered`."""
-    known = providers.select(F.col("id").alias("provider"))
-    new = found.join(known.withColumn("_k", F.lit(1)), "provider", "left").withColumn("provider", F.when(F.col("_k") == 1, F.col("provider")).otherwise("discovered")).drop("_k")
-    old = models(providers).select("provider", "id", "name").join(new.select("provider", "id"), ["provider", "id"], "left_anti")
-    return old.withColumn("discovered", F.lit(False)).unionByName(new.select("provider", "id", "name", F.lit(True).alias("discovered")))
+    """The catalogue with models found at run time (provider, pos, and the fields of a model; missing ones are null): each
+    takes the place of its provider's model of that id or follows the others by pos; of several with one id the last
+    counts. Those of unknown providers stand in a provider `discovered` behind all others, as they come."""
+    model = F.struct(*(F.col(c) if c in found.columns else F.lit(None).alias(c) for c in _MODEL_FIELDS)).cast(MODEL)
+    known = found.select("provider", "pos", F.col("id").alias("model_id"), model.alias("m")).join(providers.select(F.col("id").alias("provider"), F.lit(True).alias("_k")), "provider", "left")
+    mine = known.filter("_k").groupBy("provider", "model_id").agg(F.min("pos").alias("pos"), F.max_by("m", "pos").alias("m"))
+    mine = mine.groupBy(F.col("provider").alias("_p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "model_id", "m"))), lambda x: x["m"]).alias("_new"))
+    new = F.coalesce("_new", F.array().cast(_NO_MODELS))
+    replaced = F.transform("models", lambda m: F.coalesce(F.get(F.filter(new, lambda u: u["id"] == m["id"]), F.lit(0)), m))
+    fresh = F.filter(new, lambda u: ~F.exists("models", lambda m: m["id"] == u["id"]))
+    old = providers.join(mine, providers.id == F.col("_p"), "left").withColumn("models", F.concat(replaced, fresh)).select(providers.columns)
+    rest = known.filter("_k is null").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "model_id", "m"))), lambda x: x["m"]).alias("models")).filter(F.size("models") > 0)
+    made = {"pos": F.lit(2**31 - 1), "models": F.col("models"), "display_name": F.lit("Discovered"), "auth_mode": F.lit("secret")} | {c: F.lit("discovered") for c in ("id", "category", "family")}
+    return old.unionByName(rest.select(*(made.get(c, F.lit("")).cast(t).alias(c) for c, t in providers.dtypes)))
 
 
 def capabilities(providers: DataFrame) -> DataFrame:
-    """(id, needs_key, context, vision, tools, reasoning): what any model of a provider can, and the largest context."""
+    """(id, auth, clears_key, tiers, needs_key, context, vision, tools, reasoning, streaming): how a provider is called, what any
+    of its models can, and the largest context. A model without capabilities streams."""
     any_ = lambda f: F.coalesce(F.exists("models", f), F.lit(False))
     return providers.select(
-        "id", (F.col("key_var") != "").alias("needs_key"), F.coalesce(F.array_max(F.transform("models", lambda m: m["limit"]["context"])), F.lit(0)).alias("context"),
+        "id", F.when(F.col("auth_mode").isin("none", "literal", "secret"), F.col("auth_mode")).otherwise("unknown").alias("auth"),
+        F.coalesce(F.col("family").isin("openrouter", "local", "custom_unknown"), F.lit(False)).alias("clears_key"), (~F.col("family").eqNullSafe(F.lit("claude_strict"))).alias("tiers"),
+        (F.col("key_var") != "").alias("needs_key"), F.coalesce(F.array_max(F.transform("models", lambda m: m["limit"]["context"])), F.lit(0)).alias("context"),
         any_(lambda m: F.array_contains(m["modalities"]["input"], "image")).alias("vision"), any_(lambda m: m["capabilities"]["tool_call"]).alias("tools"), any_(lambda m: m["capabilities"]["reasoning"]).alias("reasoning"),
+        any_(lambda m: F.coalesce(m["capabilities"]["streaming"], m["capabilities"].isNull())).alias("streaming"),
     )
 
 

@@ -112,13 +112,17 @@ def _event(kind: str | Column, content: Column | None = None, usage: Column | No
 
 def openai_event(data: Column) -> Column:
     """delta, reasoning, usage or done; null for what says nothing. Reasoning comes before content, usage before the end."""
-    v = F.from_json(data, f"choices array<struct<delta:struct<content:string,reasoning_content:string>,finish_reason:string>>, {_USAGE}")
-    first, u = F.get(v["choices"], F.lit(0)), v["usage"]
-    thought, said = first["delta"]["reasoning_content"], first["delta"]["content"]
-    whole = u["prompt_tokens"].isNotNull() & u["completion_tokens"].isNotNull() & u["total_tokens"].isNotNull()
-    return (
-        F.when(F.length(thought) > 0, _event("reasoning", thought)).when(F.length(said) > 0, _event("delta", said)).when(first["delta"].isNotNull() & whole, _event("usage", usage=u)).when(first["finish_reason"].isNotNull(), _event("done"))
-    )
+    parsed = F.from_json(data, f"choices array<struct<delta:struct<content:string,reasoning_content:string>,finish_reason:string>>, {_USAGE}")
+
+    def of(v: Column) -> Column:
+        first, u = F.get(v["choices"], F.lit(0)), v["usage"]
+        thought, said = first["delta"]["reasoning_content"], first["delta"]["content"]
+        whole = u["prompt_tokens"].isNotNull() & u["completion_tokens"].isNotNull() & u["total_tokens"].isNotNull()
+        return (
+            F.when(F.length(thought) > 0, _event("reasoning", thought)).when(F.length(said) > 0, _event("delta", said)).when(first["delta"].isNotNull() & whole, _event("usage", usage=u)).when(first["finish_reason"].isNotNull(), _event("done"))
+        )
+
+    return F.get(F.transform(F.array(parsed), of), F.lit(0))  # parsed once, however many branches look at it
 
 
 def anthropic_event(event: Column, data: Column) -> Column:

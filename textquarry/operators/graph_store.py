@@ -234,5 +234,10 @@ def kv_put(store: DataFrame, rows: DataFrame) -> DataFrame:
     return every.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
+def kv_get(store: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, value) of the keys that are there."""
+    return store.filter(F.col("key").isin(keys)).select("key", "value")
+
+
 def kv_delete(store: DataFrame, keys: list[str]) -> DataFrame:
     return store.filter(~F.col("key").isin(keys))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.operators.graph_store import NodeQuery, edges_among, epoch, in_scope
+from textquarry.operators.graph_store import NodeQuery, edges_among, epoch, in_scope, touch
 from textquarry.operators.search import hybrid_search
 
 # Weights of the score's parts, and days in which recency halves.
@@ -55,7 +55,7 @@ def recall(nodes: DataFrame, edges: DataFrame, o: RecallOptions, now: str) -> Da
     that graph is a top-k result and so bounded, and goes through one group."""
     best = candidates(nodes, o, now)
     rows = best.select("id", "score")
-    links = edges_among(edges, rows).select("source", "target", "weight")
+    links = edges_among(edges, rows.orderBy(F.desc("score"), "id").limit(BOOSTED)).select("source", "target", "weight")
     packed = rows.agg(F.collect_list(F.struct("id", "score")).alias("rows")).join(F.broadcast(links.agg(F.collect_list(F.struct("source", "target", "weight")).alias("links"))))
 
     def boost(batches):
@@ -70,6 +70,12 @@ def recall(nodes: DataFrame, edges: DataFrame, o: RecallOptions, now: str) -> Da
     return nodes.join(boosted, "id").orderBy(F.desc("score"), "id")
 
 
+def recall_and_touch(nodes: DataFrame, edges: DataFrame, o: RecallOptions, now: str) -> tuple[DataFrame, DataFrame]:
+    """recall() and the nodes as they are afterwards: those recalled count as read once more, at `now`."""
+    found = recall(nodes, edges, o, now)
+    return found, touch(nodes, [r.id for r in found.select("id").collect()], now)  # o.limit ids at most
+
+
 def _pagerank(ids: list[str], edges: list[tuple], damping: float = 0.85, rounds: int = 100) -> dict[str, float]:
     at, n = {x: i for i, x in enumerate(ids)}, len(ids)
     m = np.zeros((n, n))

@@ -79,9 +79,15 @@ def _fused(hits: DataFrame, score: Column) -> DataFrame:
     return hits.groupBy("query_id", "id").agg(score.alias("score"), first.alias("text"))
 
 
+def _weight(weights: dict) -> Column:
+    """The weight of a row's list; an error for a list that has none."""
+    known = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)) if weights else F.lit(None).cast("map<string,double>")
+    return F.coalesce(F.try_element_at(known, F.col("list_id")), F.raise_error(F.concat(F.lit("no weight for list "), F.col("list_id"))).cast("double"))
+
+
 def rrf(hits: DataFrame, k: int = 60, weights: dict | None = None) -> DataFrame:
     """Sum of weight/(k + pos) over the lists. `weights` must name every list that is told here."""
-    w = F.lit(1.0) if weights is None else F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("list_id"))
+    w = F.lit(1.0) if weights is None else _weight(weights)
     return _fused(hits, F.sum(w / (k + F.col("pos"))))
 
 
@@ -94,8 +100,8 @@ def normalize_minmax(hits: DataFrame, keys: tuple[str, ...] = ("query_id", "list
 
 
 def weighted_sum(hits: DataFrame, weights: dict) -> DataFrame:
-    w = F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("list_id"))
-    return _fused(hits, F.sum(w * F.col("score")))
+    """Sum of weight * score over the lists. `weights` must name every list."""
+    return _fused(hits, F.sum(_weight(weights) * F.col("score")))
 
 
 def comb_mnz(hits: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.operators.graph_store import Direction
-from textquarry.plans.rounds import cut
+from textquarry.plans.rounds import cut, drop
 
 
 def steps(edges: DataFrame, direction: Direction = Direction.BOTH, relation: str | None = None) -> DataFrame:
@@ -31,10 +31,12 @@ def related(edges: DataFrame, start: str, depth: int, direction: Direction = Dir
     seen = frontier = spark.createDataFrame([(start, 0)], "id string, depth int")
     for d in range(1, depth + 1):
         found = frontier.select(F.col("id").alias("src")).join(move, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = cut(found.withColumn("depth", F.lit(d)), "frontier")
+        last, frontier = frontier, cut(found.withColumn("depth", F.lit(d)), "frontier")
+        drop(last)
         if not frontier.head(1):
             break
-        seen = cut(seen.unionByName(frontier), "seen")
+        last, seen = seen, cut(seen.unionByName(frontier), "seen")
+        drop(last)
     return seen.filter(F.col("depth") > 0)
 
 

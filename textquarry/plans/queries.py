@@ -157,25 +157,59 @@ def policy_actions(spark, sf_dir):
     return d.select("doc_id", a["kind"].alias("action"), a["provider"].alias("provider"))
 
 
-@query()
+def _rule_sql(nth: int, rule: tuple) -> str:
+    """Matches of one rule in bytes: between them stand the pieces that the pattern splits the text into."""
+    name, category, severity, pattern, group = rule
+    p = _Q(pattern)
+    hit = f"regexp_extract_all(t, '{p}', 0)"
+    part = f"regexp_extract_all(t, '{p}', 1)" if group else hit
+    return f"""SELECT doc_id, '{category}' AS category, '{name}' AS rule, '{severity}' AS severity, {nth} AS nth, CAST(upto - strlen(part) AS INTEGER) AS start, CAST(upto AS INTEGER) AS "end" FROM (
+  SELECT doc_id, part, sum(strlen(gap) + strlen(hit)) OVER (PARTITION BY doc_id ORDER BY i) - (strlen(hit) - strlen(part) - coalesce(nullif(strpos(hit, part), 0) - 1, 0)) * {int(group)} AS upto FROM (
+  SELECT doc_id, unnest({hit}) AS hit, unnest({part}) AS part, unnest(regexp_split_to_array(t, '{p}')[1:len({hit})]) AS gap, unnest(range(len({hit}))) AS i FROM t WHERE regexp_matches(t, '{p}')))"""
+
+
+_FOUND = "t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS (" + " UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(dlp.RULES)) + ")"
+
+
+@query(f'WITH {_FOUND} SELECT doc_id, category, rule, severity, start, "end" FROM found')
 def dlp_findings(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(dlp.scan("text")).alias("f"))
-    return d.select("doc_id", "f.*")
+    return dlp.findings(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(f"""WITH {_FOUND}, o AS (SELECT doc_id, start AS a, "end" AS b, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM found),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM o),
+i AS (SELECT doc_id, island, min(a) AS a, max(b) AS b FROM g GROUP BY ALL), k AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM i),
+r AS (SELECT doc_id, string_agg(decode(encode(t)[prev + 1:a]) || '****', '' ORDER BY a) AS head, max(b) AS last FROM k JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN head IS NULL THEN t ELSE head || decode(encode(t)[last + 1:]) END) AS redacted FROM t LEFT JOIN r USING (doc_id)""")
 def dlp_redacted(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(dlp.redact_findings("text"), F.lit(""))).alias("redacted"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(dlp.redacted("text"), F.lit(""))).alias("redacted"))
+
 
+def _in(cls: str) -> str:
+    return f"(length(u) - length(regexp_replace(u, '[{cls}]', '', 'g')))"
 
-@query()
+
+_SENTENCES = "list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?。！？])', '\\1\n', 'g'), '[\r\n]'), lambda x: regexp_replace(x, '^[{0}]+|[{0}]+$', '', 'g')), lambda x: x <> '')".format(text.WHITE)
+_SIZE = "(CASE WHEN {s} = 0 THEN 0 ELSE greatest(1, CAST(round({s}) AS BIGINT)) END)".format(s="((b.q - a.q0 + b.i - a.i) / 4.0::DOUBLE + (b.m - a.m0) / 1.5::DOUBLE)")
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, {_SENTENCES} AS us FROM documents), e AS (SELECT doc_id, unnest(us) AS u, unnest(range(len(us))) AS i FROM s),
+w AS (SELECT doc_id, i, u, {_in(text.ONE_AND_HALF)} AS mid, length(u) - {_in(text.ONE_AND_HALF)} - {_in(text.CONTROL)} + 3 * {_in(text.ONE)} + {_in(text.TWO)} AS qu FROM e),
+p AS MATERIALIZED (SELECT doc_id, i, u, q, m, q - qu AS q0, m - mid AS m0 FROM (SELECT *, sum(qu) OVER x AS q, sum(mid) OVER x AS m FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY i))),
+pairs AS MATERIALIZED (SELECT a.doc_id, a.i AS a, b.i AS b, {_SIZE} AS size FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i >= a.i AND (b.i = a.i OR b.q - a.q0 + b.i - a.i <= 2056)),
+lasts AS MATERIALIZED (SELECT doc_id, a, max(CASE WHEN size <= 512 THEN b END) AS last FROM pairs GROUP BY doc_id, a),
+ends AS MATERIALIZED (SELECT doc_id, a, coalesce(last, a) AS last FROM lasts),
+carry AS MATERIALIZED (SELECT doc_id, b, min(a) AS a FROM pairs WHERE size <= 64 GROUP BY ALL),
+nexts AS MATERIALIZED (SELECT t.doc_id, t.a, t.last, CASE WHEN t.last = t.a THEN t.last + 1 WHEN coalesce(c.a, t.last) <= t.a OR coalesce(c.a, t.last) = t.last THEN CASE WHEN n.size IS NULL OR n.size > 512 THEN t.last + 1 ELSE t.last END ELSE c.a END AS next
+  FROM ends t LEFT JOIN carry c ON c.doc_id = t.doc_id AND c.b = t.last LEFT JOIN pairs n ON n.doc_id = t.doc_id AND n.a = t.last AND n.b = t.last + 1),
+top AS (SELECT doc_id, max(i) AS top FROM p GROUP BY doc_id),
+k AS (SELECT doc_id, 0::BIGINT AS a, 0 AS nth FROM top UNION ALL SELECT k.doc_id, x.next, nth + 1 FROM k JOIN nexts x ON x.doc_id = k.doc_id AND x.a = k.a JOIN top ON top.doc_id = k.doc_id WHERE x.last < top)
+SELECT k.doc_id, CAST(nth AS INTEGER) AS nth, array_to_string(us[k.a + 1:x.last + 1], ' ') AS chunk, CAST(z.size AS INTEGER) AS tokens FROM k JOIN nexts x ON x.doc_id = k.doc_id AND x.a = k.a JOIN s ON s.doc_id = k.doc_id JOIN pairs z ON z.doc_id = k.doc_id AND z.a = k.a AND z.b = x.last""")
 def chunks(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.chunk_text("text", 512, 64)).alias("nth", "chunk"))
     return d.withColumn("tokens", text.estimate_tokens("chunk"))
 
 
-_SENTENCES = "list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?。！？])', '\\1\n', 'g'), '[\r\n]'), lambda x: regexp_replace(x, '^[{0}]+|[{0}]+$', '', 'g')), lambda x: x <> '')".format(text.WHITE)
-
 
 @query(f"SELECT doc_id, len({_SENTENCES}) AS sentences, md5(array_to_string({_SENTENCES}, '|')) AS joined FROM documents")
 def sentences(spark, sf_dir):
@@ -393,7 +427,22 @@ def recall_hinted(spark, sf_dir):
     return recall.candidates(nodes(spark, sf_dir), o, NOW).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+_BEST = f"""{NODES_SQL}, best AS MATERIALIZED (SELECT id, type, {_RECALL} AS score FROM (SELECT * FROM nodes WHERE NOT list_contains(tags, 'stale') ORDER BY importance DESC, updated DESC, id LIMIT 200) ORDER BY {_RECALL} DESC, id LIMIT 50),
+  next AS (SELECT lag(id) OVER (PARTITION BY type ORDER BY CAST(id AS BIGINT)) AS source, id AS target FROM nodes), ids AS (SELECT id FROM best), edges AS (SELECT source, target, 0.5::DOUBLE AS weight FROM next WHERE source IN (SELECT id FROM best) AND target IN (SELECT id FROM best))"""
+
+
+def converged_sql(ctes: str, rounds: int) -> str:
+    """PageRank over edges (source, target, weight) and ids (id), with every round as a table of its own, and the first that
+    moves less than 1e-6 (or the last) chosen."""
+    steps, tried = "", []
+    for i in range(rounds):
+        steps += f""", r{i + 1} AS MATERIALIZED (SELECT ids.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0.0) + lost / n) AS r FROM ids JOIN (SELECT count(*) AS n FROM ids) ON true
+  JOIN (SELECT coalesce(sum(r), 0.0) AS lost FROM r{i} WHERE id NOT IN (SELECT source FROM total)) ON true LEFT JOIN (SELECT target AS id, sum(r * weight / t) AS got FROM r{i} JOIN edges ON edges.source = r{i}.id JOIN total ON total.source = r{i}.id GROUP BY target) gg ON gg.id = ids.id)"""
+        tried.append(f"SELECT {i + 1} AS k, a.id, a.r, sum(abs(a.r - b.r)) OVER () AS moved FROM r{i + 1} a JOIN r{i} b USING (id)")
+    return f"WITH {ctes}, total AS (SELECT source, sum(weight) AS t FROM edges GROUP BY source), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS r FROM ids){steps}, every AS ({' UNION ALL '.join(tried)}), chosen AS (SELECT coalesce(min(CASE WHEN moved < 1e-6 THEN k END), {rounds}) AS k FROM every)"
+
+
+@query(converged_sql(_BEST, 40) + " SELECT id, round(score + 0.1::DOUBLE * r / max(r) OVER (), 6) AS score FROM best JOIN every USING (id) JOIN chosen USING (k)")
 def recall_boosted(spark, sf_dir):
     n = nodes(spark, sf_dir)
     w = Window.partitionBy("type").orderBy(F.col("id").cast("long"))
@@ -415,7 +464,12 @@ def order_components(spark, sf_dir):
     return algorithms.components(chain_nodes(spark, sf_dir), chains(spark, sf_dir))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS c, list(o_orderkey ORDER BY o_orderkey) AS ids, list(0.5::DOUBLE + (o_orderkey % 5) * 0.1::DOUBLE ORDER BY o_orderkey) AS w FROM orders GROUP BY o_custkey),
+f AS (SELECT c, ids, w, ids AS label, 0 AS t FROM o UNION ALL
+  SELECT c, ids, w, CASE WHEN new IS NULL THEN label ELSE list_transform(range(1, len(ids) + 1), lambda k: CASE WHEN k = i THEN new ELSE label[k] END) END, t + 1 FROM (
+    SELECT *, CASE WHEN l IS NULL THEN r WHEN r IS NULL OR l = r THEN l WHEN w[i] > w[i + 1] OR w[i] = w[i + 1] AND l < r THEN l ELSE r END AS new FROM (
+      SELECT *, CASE WHEN i > 1 THEN label[i - 1] END AS l, CASE WHEN i < len(ids) THEN label[i + 1] END AS r FROM (SELECT *, t % len(ids) + 1 AS i FROM f WHERE t < 10 * len(ids)))))
+SELECT CAST(unnest(ids) AS VARCHAR) AS id, CAST(unnest(label) AS VARCHAR) AS label FROM f WHERE t = 10 * len(ids)""")
 def order_labels(spark, sf_dir):
     return algorithms.label_propagation(chain_nodes(spark, sf_dir), chains(spark, sf_dir))
 
@@ -468,7 +522,10 @@ def role_transitions(spark, sf_dir):
     return chat.transitions(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
-@query()
+@query(f"""WITH RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
+f AS (SELECT DISTINCT conv_id, 0::BIGINT AS turn, NULL::VARCHAR AS role, NULL::BOOLEAN AS accepted, 0::BIGINT AS i, NULL::VARCHAR AS p FROM conversations
+  UNION ALL SELECT conv_id, turn, role, ok, i, CASE WHEN ok THEN role ELSE p END FROM (SELECT q.conv_id, q.turn, q.role, q.i, f.p, ({_VALID.replace('role IN', 'q.role IN')}) AS ok FROM f JOIN q ON q.conv_id = f.conv_id AND q.i = f.i + 1))
+SELECT conv_id, turn, role, accepted FROM f WHERE i > 0""")
 def accepted_messages(spark, sf_dir):
     return chat.accept(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "accepted")
 
@@ -478,12 +535,17 @@ def conversation_tokens(spark, sf_dir):
     return chat.token_counts(read(spark, sf_dir, "conversations"))
 
 
-@query()
+_COSTS = TOKENS_SQL.replace("doc_id, lang", "conv_id, turn, role, text").replace("coalesce(text, '') AS t FROM documents", "coalesce(text, '') AS t FROM conversations")
+
+
+@query(f"""WITH c AS {_COSTS} SELECT conv_id, turn, role FROM (SELECT *, coalesce(role = 'system', false) AS held, sum(tokens) OVER (PARTITION BY conv_id)
+  - coalesce(sum(CASE WHEN role = 'system' THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM c) WHERE held OR rest + 50 <= 200""")
 def truncated_conversations(spark, sf_dir):
     return chat.truncate(read(spark, sf_dir, "conversations"), 200, 50).select("conv_id", "turn", "role")
 
 
-@query()
+@query("""SELECT conv_id, request, sha256('m1' || chr(0) || request) AS key FROM (SELECT conv_id, '{"model":"m1","temperature":0.7,' || coalesce('"system":' || to_json(min_by(text, turn) FILTER (role = 'system')) || ',', '') || '"messages":['
+  || coalesce(string_agg('{"role":' || to_json(role) || coalesce(',"content":' || to_json(text), '') || '}', ',' ORDER BY turn) FILTER (role <> 'system'), '') || ']}' AS request FROM conversations GROUP BY conv_id)""")
 def chat_requests(spark, sf_dir):
     r = chat.requests(read(spark, sf_dir, "conversations"), "m1")
     return r.select("conv_id", "request", chat.cache_key(F.lit("m1"), F.col("request")).alias("key"))
@@ -525,6 +587,6 @@ def call_costs(spark, sf_dir):
     return catalog.estimate_cost(u, providers(spark, sf_dir)).select("o_orderkey", F.round("cost", 6).alias("cost"))
 
 
-@query("SELECT r_name AS id, true AS needs_key, CAST(max(n_nationkey) * 1000 AS BIGINT) AS context, bool_or(n_nationkey % 2 = 0) AS vision, bool_or(n_nationkey % 4 = 0) AS tools, bool_or(n_nationkey % 3 = 0) AS reasoning FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("SELECT r_name AS id, 'unknown' AS auth, false AS clears_key, true AS tiers, true AS streaming, true AS needs_key, CAST(max(n_nationkey) * 1000 AS BIGINT) AS context, bool_or(n_nationkey % 2 = 0) AS vision, bool_or(n_nationkey % 4 = 0) AS tools, bool_or(n_nationkey % 3 = 0) AS reasoning FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def provider_capabilities(spark, sf_dir):
     return catalog.capabilities(providers(spark, sf_dir))
