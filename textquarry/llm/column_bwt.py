@@ -60,13 +60,16 @@ class ColumnBWT:
             old = ~fresh
             out[new], out[old] = symbols, bwt
             # LCP of a new suffix and of the one after it: one more than the least between their tails.
-            changed = np.union1d(new, new[new + 1 < size] + 1)
+            at = fresh.copy()
+            at[1:] |= fresh[:-1]
+            changed = np.flatnonzero(at)
             values = self._common(changed, order, ended, bwt, lcp)
             new_lcp = np.zeros(size, self.width)
             new_lcp[old] = lcp
             new_lcp[changed] = values
-            out.tofile(bwt_file)
-            new_lcp.tofile(lcp_file)
+            for name, column in ((bwt_file, out), (lcp_file, new_lcp)):
+                with open(name, "r+b") as f:  # it only grows, so it is written over from its start
+                    f.write(column.data)
             more = symbols > 0
             live, place = live[more], new[more]
             j += 1

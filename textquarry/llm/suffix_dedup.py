@@ -17,7 +17,9 @@ SEED_BYTES = 32
 #: An anchor with more distinct strings than this is dealt out by its single windows.
 HOT_STRINGS = 2_000
 #: Strings of one collection at most; a task with more builds several, cut between anchors.
-COLLECTION = 10_000
+COLLECTION = 3_000
+#: So many collections' strings are held at once and dealt by length.
+TOGETHER = 16
 #: An anchor's strings are compared in this many parts of the window range before a collection is built of them.
 CELLS = 4
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -204,13 +206,15 @@ def _judge(strings: DataFrame, length: int) -> DataFrame:
     earlier ones, if there are any.
 
     All strings of an anchor are in one partition and stand together; a task takes them in collections of COLLECTION
-    strings, cut between anchors, so memory is bounded by that and by HOT_STRINGS."""
+    strings, cut between anchors, so memory is bounded by that and by HOT_STRINGS. Of several collections' anchors those
+    with strings of like length go together: a collection takes as many rounds as its longest string has bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[tuple, int, bytes]] = []
+        groups: list[list[tuple[tuple, int, bytes]]] = []
+        waiting = 0
         group: dict[int, tuple] = {}
 
-        def flush() -> pa.RecordBatch:
+        def judged(held: list[tuple[tuple, int, bytes]]) -> pa.RecordBatch:
             found = repeated_windows([x for _, _, x in held], [(r[2], r[3] + a) for r, a, _ in held], length)
             some = [(r, a + x) for (r, a, _), x in zip(held, found, strict=True) if len(x)]
             return pa.RecordBatch.from_arrays(
@@ -221,23 +225,34 @@ def _judge(strings: DataFrame, length: int) -> DataFrame:
                 ["anchor", "g", "runs"],
             )
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal groups, waiting
+            held: list[tuple[tuple, int, bytes]] = []
+            for members in sorted(groups, key=lambda m: max(len(x) for _, _, x in m)):
+                held += members
+                if len(held) >= COLLECTION:
+                    yield judged(held)
+                    held = []
+            if held:
+                yield judged(held)
+            groups, waiting = [], 0
+
         anchor = None
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "g", "doc_id", "start", "n", "left", "bytes")), strict=True):
                 if row[0] != anchor:
-                    if len(group) > 1:
-                        held += _trim(list(group.values()), length)
-                    if len(held) >= COLLECTION:
-                        yield flush()
-                        held = []
+                    if len(group) > 1 and (members := _trim(list(group.values()), length)):
+                        groups.append(members)
+                        waiting += len(members)
+                    if waiting >= TOGETHER * COLLECTION:
+                        yield from flush()
                     anchor, group = row[0], {}
                 old = group.get(row[1])
                 if old is None or row[2:4] < old[2:4]:
                     group[row[1]] = row
-        if len(group) > 1:
-            held += _trim(list(group.values()), length)
-        if held:
-            yield flush()
+        if len(group) > 1 and (members := _trim(list(group.values()), length)):
+            groups.append(members)
+        yield from flush()
 
     # Dealt by a hash of the anchor, not by it: a repartition by the key of the join below would be optimised away, and
     # adaptive execution may then split that join's partitions.
