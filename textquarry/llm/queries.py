@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import table
+from textquarry.llm.secret_scan import CLASSES
 
 
 #: (verdict, host and path prefix)
@@ -112,7 +113,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _REACH = """r AS (SELECT id, id AS c FROM ids UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.c)"""
 
+# op1 in SQL: normal forms, and targets of canonical links and refreshes that are absolute and in double quotes (the tables hold
+# no others), meet on the level of normal forms.
+_HOST = r"translate(regexp_extract(substr({u}, strpos({u}, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"regexp_extract(substr({u}, strpos({u}, '://') + 3), '^[^/?#]*([^?#]*)', 1)"
+_FORM = (
+    f"(regexp_replace({_HOST}, ':(80|443)$', '') || regexp_replace({_PATH}, '/+$', '') || coalesce('?' || nullif(array_to_string(list_sort(list_filter("
+    r"string_split(regexp_extract({u}, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&'), ''), ''))"
+)
+_RANKED = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[0] != "allow"))
+
+
+def _rule_case(value: int) -> str:
+    fits = lambda r: f"(h = '{r.partition('/')[0]}' OR h LIKE '%.{r.partition('/')[0]}') AND starts_with(p, '/{r.partition('/')[2]}')"
+    return "CASE " + " ".join(f"WHEN {fits(r[1])} THEN '{r[value]}'" for r in _RANKED) + " END"
+
+
+_URL_SQL = f"""WITH RECURSIVE pages_ AS (SELECT page_id, url, html, coalesce(contains(url, '://'), false) AS ok FROM pages),
+links AS (SELECT url, unnest([regexp_extract(html, '<link rel="canonical" href="([^"]*://[^"]*)"', 1), regexp_extract(html, '<meta http-equiv="refresh" content="[0-9]+; ?url=([^"]*://[^"]*)"', 1)]) AS target FROM pages_ WHERE ok),
+named AS (SELECT url AS u FROM pages_ WHERE ok UNION SELECT target FROM links WHERE target <> ''),
+parts AS (SELECT u, {_HOST.format(u='u')} AS h, {_PATH.format(u='u')} AS p, {_FORM.format(u='u')} AS f FROM named),
+ruled AS (SELECT u, f, h, p, {_rule_case(1)} AS rule, {_rule_case(0)} AS said FROM parts),
+e AS (SELECT DISTINCT a.f AS x, b.f AS y FROM links l JOIN parts a ON a.u = l.url JOIN parts b ON b.u = l.target),
+l AS (SELECT x, y FROM e UNION SELECT y, x FROM e), r AS (SELECT f AS id, f AS c FROM parts UNION SELECT r.id, l.y FROM r JOIN l ON l.x = r.c),
+says AS (SELECT r.id AS f, min(said) AS said, min(u) AS component FROM r JOIN ruled ON ruled.f = r.c GROUP BY r.id)
+SELECT page_id, coalesce(h, '') AS host, coalesce(p, '') AS path, rule, coalesce(ruled.said, says.said, 'allow') AS verdict, coalesce(component, url) AS component
+FROM pages_ LEFT JOIN ruled ON ruled.u = url LEFT JOIN says ON says.f = ruled.f"""
+
+# op9 in SQL: code-point places by running sums of the pieces between matches; entropy of every window by its definition.
+_SQ = lambda x: x.replace("'", "''")
+_PLACED = "(SELECT doc_id, hit, part, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) - length(hit) AS pos FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{p}', 0)) AS hit, unnest(regexp_extract_all(t, '{p}', {g})) AS part, unnest(regexp_split_to_array(t, '{p}')[1:len(regexp_extract_all(t, '{p}', 0))]) AS gap, unnest(range(len(regexp_extract_all(t, '{p}', 0)))) AS i FROM t WHERE regexp_matches(t, '{p}')))"
+_BASE = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, "length(part) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", 0, "length(hit) >= 20"),
+    ("hex", "[0-9a-f]+", 0, "length(hit) >= 24"),
+]
+_NEEDS = lambda c: " AND ".join(f"regexp_matches(hit, '{x}')" for x in c.needs[3:-1].split(")(?="))  # noqa: E731  lookaheads one by one
+_WINDOWS = " UNION ALL ".join(
+    f"SELECT doc_id, pos, hit, {k} AS nth, {c.bits} AS bits FROM {_PLACED.format(p='[' + ''.join(chr(92) + x if x in '-/+' else x for x in c.alphabet) + ']{20,}', g=0)} WHERE {_NEEDS(c)}" for k, c in enumerate(CLASSES)
+)
+_SECRET_SQL = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS ({' UNION ALL '.join(f"SELECT doc_id, '{n}' AS kind, {k} AS rank, pos AS a, pos + length(hit) AS z FROM {_PLACED.format(p=_SQ(p), g=g)} WHERE {w}" for k, (n, p, g, w) in enumerate(_BASE))}),
+c AS (SELECT * FROM ({_WINDOWS}) WHERE NOT contains(hit, 'EXAMPLE') AND NOT regexp_matches(hit, '(?i:placeholder|changeme|your[_-])') AND NOT regexp_full_match(hit, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')),
+w AS (SELECT doc_id, nth, pos, i FROM (SELECT *, unnest(range(length(hit) - 19)) AS i FROM c) WHERE list_aggregate(string_split(substr(hit, i + 1, 20), ''), 'entropy') >= bits - 1e-9),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, nth, pos ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, nth, pos ORDER BY i) <= 20 THEN 0 ELSE 1 END AS fresh FROM w)),
+m AS (SELECT doc_id, kind, rank, a, z FROM b UNION SELECT doc_id, 'entropy', 3, pos + min(i), pos + max(i) + 20 FROM g GROUP BY doc_id, nth, pos, run),
+f AS (SELECT doc_id, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT), ',' ORDER BY a, rank, z) AS spans FROM m GROUP BY doc_id),
+h AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS x, count(*) FILTER (kind = 'access') AS y, count(*) FILTER (kind = 'hex') AS k, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(z AS BIGINT), ',' ORDER BY a, rank) AS s FROM b GROUP BY doc_id)
+SELECT t.doc_id, coalesce(x, 0) AS n_assign, coalesce(y, 0) AS n_access, coalesce(k, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)"""
+
+# op2 in SQL: every window of 100 bytes as a row, the first of equal ones apart.
+_REPEATS_SQL = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, b[i + 1:i + 100] AS s FROM (SELECT *, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM r)),
+m AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, run), k AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM m),
+f AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans, string_agg(hex(b[before + 1:a]), '' ORDER BY a) AS head, max(z) AS last FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN head IS NULL THEN b ELSE unhex(head || hex(b[last + 1:])) END) AS kept_sha256 FROM d LEFT JOIN f USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op1_redirect_equivalence": _URL_SQL,
+    "op2_column_suffix_dedup": _REPEATS_SQL,
+    "op9_secret_entropy": _SECRET_SQL,
     "op4_pruned_graph": f"""WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
 v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
   AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
