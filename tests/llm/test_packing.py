@@ -91,3 +91,15 @@ def test_query(spark):
     for r in rows:
         ids = np.append(K.encoder(JSON)(texts[r.doc_id] or ""), 1)
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].astype("<u4").tobytes())
+    sequences, documents = defaultdict(list), defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        documents[r.doc_id].append((r.start, r.length, r.doc_tokens))
+    for pieces in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [a for a, _ in sorted(pieces)] == [0, *ends[:-1]]  # gapless
+        assert ends[-1] == 2048 or ends[-1] < 2048 and ends[-1] & (ends[-1] - 1) == 0  # full, or a power of two
+    for pieces in documents.values():
+        ends = np.cumsum([n for _, n, _ in sorted(pieces)])
+        assert [a for a, _, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] == pieces[0][2]
+    assert sum(2048 - sum(n for _, n in p) for p in sequences.values() if sum(n for _, n in p) > 1024) == 0

@@ -133,3 +133,35 @@ def test_query_against_brute_force(spark):
             want[p.page_id] = (*parts(p.url), rule, verdict or ("block" if "block" in says and "allow" not in says else "allow"))
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in QUERIES["op1_redirect_equivalence"](spark, dir_).collect()}
     assert got == want
+
+
+def test_links_against_brute_force(spark):
+    """Random pages with canonical links and refreshes, absolute and relative, in chains and cycles."""
+    import random
+    from urllib.parse import urljoin
+
+    rnd = random.Random(21)
+    hosts = ["a.com", "b.example.com", "x.net", "w.x.net", "v.net", "y.org", "z.org", "deep.y.org", "u.net"]
+    place = lambda: rnd.choice(["/", "/en/a", "/es/b", "/fr/c", "/d", "/e/"]) + rnd.choice(["", "", "?q=1", "?b=2&a=1", "?utm_source=t", "?next=http://x.net/es/"])
+    urls = [f"{rnd.choice(['http', 'https'])}://{rnd.choice(hosts)}{place()}" for _ in range(120)]
+    form = lambda u: (parts(u)[0], parts(u)[1].rstrip("/"), "&".join(sorted(x for x in urlsplit(u).query.split("&") if x and not x.startswith("utm_"))))
+    pages, edges, seen = [], [], set(urls)
+    for i, u in enumerate(urls):
+        html = "<p>"
+        if rnd.random() < 0.3:
+            to = rnd.choice([rnd.choice(urls), place(), "//" + rnd.choice(hosts) + "/d", "e/x"])
+            html += rnd.choice([f'<link rel="canonical" href="{to}">', f"<link href='{to}' rel=canonical>", f'<META http-equiv="Refresh" content="0;url={to}">'])
+            whole = urljoin(u, to)
+            seen.add(whole)
+            edges.append((form(u), form(whole)))
+        pages.append((i, u, html))
+    root = union([(a, b) for a, b in edges] + [(form(u), form(u)) for u in seen])
+    says = defaultdict(set)
+    for u in seen:
+        says[root[form(u)]].add(best(u, URL_RULES)[1])
+    want = {}
+    for i, u, _ in pages:
+        said = says[root[form(u)]]
+        want[i] = best(u, URL_RULES)[1] or ("block" if "block" in said and "allow" not in said else "allow")
+    got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert got == want and len(set(root.values())) > 10 and sum(v == "block" for v in want.values()) > 10
