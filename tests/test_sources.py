@@ -54,3 +54,20 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(r.title for r in once.collect()) == ["x", "y"]
     cache = spark.createDataFrame([("k", int(time.time())), ("old", 5)], "key string, s long").select("key", F.timestamp_seconds("s").alias("stored"))
     assert [r.key for r in guard.live(cache, "stored", 3600).collect()] == ["k"]
+
+
+def test_accumulated_answers(spark, tmp_path):
+    schema = "stream_id string, seq long, kind string, content string, total_tokens long"
+    first = [("a", 1, "delta", "Hel", None), ("a", 2, "delta", "lo", None), ("b", 1, "reasoning", "hm", None), ("a", 4, "done", None, None), ("a", 3, "usage", None, 7)]
+    second = [("b", 2, "delta", "x", 5), ("b", 3, "done", None, None), ("b", 4, "delta", "next", None), ("c", 1, "delta", "open", None)]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = guard.accumulate(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+
+    def drain():
+        q = live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(tuple(r) for r in spark.read.schema(live.schema).parquet(str(tmp_path / "out")).collect())
+
+    assert drain() == [("a", "Hello", "", 7, True)]
+    spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert drain() == [("a", "Hello", "", 7, True), ("b", "x", "hm", 5, True)]  # state lived on; c and b's next are open
