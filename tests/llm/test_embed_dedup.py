@@ -74,6 +74,22 @@ def test_labels_that_are_searched_badly_are_compared_exactly(spark, monkeypatch,
     assert sum(v[0] for v in got.values()) >= 0.98 * sum(v[0] for v in want.values())
 
 
+def test_clusters_of_a_second_level(spark, monkeypatch):
+    monkeypatch.setattr(E, "MAX_CENTROIDS", 4)
+    monkeypatch.setattr(E, "CLUSTER_ROWS", 20)
+    monkeypatch.setattr(E, "SUB_SAMPLE", 80)
+    monkeypatch.setattr(E, "PART_ROWS", 50)
+    made = []
+    real = E._split
+    monkeypatch.setattr(E, "_split", lambda placed, overlap: made.append(real(placed, overlap)) or made[-1])
+    rows = cases()
+    got = {r.vec_id: tuple(r)[1:] for r in E.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    want = brute(rows)
+    assert set(got) == set(want) and sum(v[0] for v in got.values()) >= 0.98 * sum(v[0] for v in want.values()) and all(got[i][0] <= want[i][0] for i in got)
+    lists = [r.clusters for r in made[0].collect()]
+    assert len({c for x in lists for c in x}) > 20 and all(len(set(x)) == len(x) <= 9 for x in lists)
+
+
 def test_empty(spark):
     assert E.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert E.link(spark.createDataFrame([(4, None, None)], "vec_id long, embedding array<float>, label int")).first() == (4, 0, 4, True)

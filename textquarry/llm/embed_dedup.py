@@ -16,6 +16,9 @@ from textquarry.llm.common import components, drop, save
 
 #: Vectors that the centroids are fitted on at most (those whose hash is smallest), and centroids at most.
 SAMPLE_ROWS, MAX_CENTROIDS = 20_000, 2_048
+#: Where the first level's clusters would outgrow CLUSTER_ROWS, each is split by centroids of its own, fitted on about so many of
+#: its vectors, and its vectors are dealt to them in parts of PART_ROWS.
+SUB_SAMPLE, PART_ROWS = 4_000, 20_000
 #: Vectors wanted in a cluster; a shard of more than SHARD_ROWS is dealt out by pairs of blocks.
 CLUSTER_ROWS, SHARD_ROWS = 500, 3_000
 DEGREE, CANDIDATES, RANDOM, BEAM, ALPHA = 24, 48, 12, 32, 1.2
@@ -182,6 +185,45 @@ def _assign(reps: DataFrame, centroids: dict[int, np.ndarray], overlap: int) ->
     return reps.withColumn("clusters", nearest("unit"))
 
 
+def _split(placed: DataFrame, overlap: int) -> DataFrame:
+    """`clusters` of a second level: in each of its clusters a vector goes to the `overlap` nearest centroids of that one.
+
+    Centroids are fitted in tasks, on a bounded sample of each cluster, and meet their cluster's vectors part by part, so
+    neither the driver nor a broadcast holds what grows with the number of vectors."""
+    rows = placed.withColumn("cluster", F.explode("clusters"))
+    sizes = save(rows.groupBy("dim", "cluster").agg(F.count("*").alias("size")), "sizes")
+    sized = rows.join(sizes, ["dim", "cluster"])
+    near = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 30)) < F.lit(float(SUB_SAMPLE) * (1 << 30)) / F.col("size")
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rep")
+        units = np.stack(part["unit"].to_numpy())
+        k = min(len(units), max(1, round(int(part["size"].iloc[0]) / CLUSTER_ROWS)))
+        return pd.DataFrame({"dim": part["dim"].iloc[0], "cluster": part["cluster"].iloc[0], "centroids": [fit_centroids(units, k).ravel()]})
+
+    fitted = sized.filter(near).select("dim", "cluster", "size", "rep", "unit").groupBy("dim", "cluster").applyInPandas(fit, "dim int, cluster int, centroids array<double>")
+    fitted = save(fitted, "centroids")
+    parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+    known = sizes.join(fitted, ["dim", "cluster"], "left").select(F.col("dim").alias("d"), F.col("cluster").alias("c"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"), "centroids")
+    dealt = sized.select("dim", "cluster", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "rep", "unit")
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"rep": [], "own": []})
+        first = int(left["cluster"].iloc[0]) << 32
+        flat = right["centroids"].iloc[0]
+        if flat is None:  # the sample had none of a small cluster
+            return pd.DataFrame({"rep": left["rep"], "own": [[first]] * len(left)})
+        units, c = np.stack(left["unit"].to_numpy()), np.asarray(flat).reshape(-1, int(left["dim"].iloc[0]))
+        k = min(overlap, len(c))
+        top = np.concatenate([np.argpartition(-(units[a : a + 1024] @ c.T), k - 1, axis=1)[:, :k] for a in range(0, len(units), 1024)])
+        return pd.DataFrame({"rep": left["rep"], "own": list(first + top.astype(np.int64))})
+
+    own = dealt.groupBy("dim", "cluster", "part").cogroup(known.groupBy("d", "c", "p")).applyInPandas(nearest, "rep long, own array<long>")
+    lists = own.groupBy("rep").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("clusters"))  # overlap * overlap at most
+    return placed.drop("clusters").join(lists, "rep")
+
+
 _CELL = ["label", "dim", "cluster", "i", "j"]
 
 
@@ -295,7 +337,8 @@ def link(vectors: DataFrame, least: float = 0.93, overlap: int = 3) -> DataFrame
     Vectors of one label (not null) and one dimension link where their cosine in double precision is at least `least`;
     null, zero and non-finite vectors, and null labels, link with nothing. Equal unit vectors collapse into one node
     that counts for all its copies. Nodes go to their `overlap` nearest centroids (fitted on SAMPLE_ROWS vectors at
-    most; every vector is indexed); each shard is built into a robust-pruned graph, the shards' adjacency lists are
+    most; every vector is indexed), and where MAX_CENTROIDS are too few for the number of vectors, within each cluster to
+    its own ones, so that clusters keep their size; each shard is built into a robust-pruned graph, the shards' adjacency lists are
     united, and every node's range search starts from the medoid. The audit always compares with brute force, label by
     label, for a fixed fiftieth of the ids and all rows of small labels; labels below AUDIT_RECALL go again with twice
     the overlap, and where that reaches all centroids, exactly, in blocks. Recall is logged. Rows that repeat a vec_id count as one vector
@@ -313,9 +356,10 @@ def link(vectors: DataFrame, least: float = 0.93, overlap: int = 3) -> DataFrame
     share = {d: len(by_dim.get(d, ())) / max(len(sample), 1) for d in dims}
     centroids = {d: fit_centroids(np.stack(by_dim[d]), min(len(by_dim[d]), MAX_CENTROIDS, max(1, round(total * share[d] / CLUSTER_ROWS)))) if d in by_dim else np.eye(1, d) for d in dims}
     most = max((len(c) for c in centroids.values()), default=1)
-    found, pending = None, reps
+    found, pending, wide = None, reps, total > 2 * CLUSTER_ROWS * MAX_CENTROIDS
     while True:
-        got = _links(_assign(pending, centroids, overlap), least)
+        placed = _assign(pending, centroids, overlap)
+        got = _links(save(_split(placed, overlap), "placed") if wide else placed, least)
         told = save(audit(pending, got, least), "audit")
         sums = told.agg(F.coalesce(F.sum("true"), F.lit(0)).alias("true"), F.coalesce(F.sum("got"), F.lit(0)).alias("got")).first()
         _LOG.info("overlap %d: %d of %d audited links found", overlap, sums.got, sums.true)
