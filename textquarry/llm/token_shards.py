@@ -58,7 +58,7 @@ def sequences(docs: DataFrame, json_path: str, ranks_path: str | None, length: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, nth = encoder(json_path, ranks_path), TaskContext.get().partitionId(), 0
-        small = zstandard.ZstdCompressor(level=1).compress
+        small = zstandard.ZstdCompressor(level=3).compress
         held: list[np.ndarray] = []
         size = 0
 
