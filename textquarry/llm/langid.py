@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, slice_chars: i
     """Add `language`: struct<lang, score, spans: array<struct<start, end, lang>>> for the whole text of every row.
 
     Null, empty and letterless texts are `und` with score 0 and no spans. score is the share of letters in words
-    labelled lang; ties go to the language that sorts first. Row-wise, no shuffle; a task works on slices of about
+    labelled lang; ties go to the language that sorts first. A column of docs named language is replaced. Row-wise, no shuffle; a task works on slices of about
     `slice_chars` characters. The model is at most MAX_LANGUAGES * BUCKETS numbers and travels as a broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)

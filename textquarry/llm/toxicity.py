@@ -171,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
     """Add `toxicity`, a struct with p_<category> (double) and is_<category> (boolean: at the category's cut or above).
 
-    Whole texts count; null and empty ones have no words and get the bias alone. Row-wise: no shuffle. The chain's
+    Whole texts count; null and empty ones have no words and get the bias alone. A column of docs named toxicity is
+    replaced. Row-wise: no shuffle. The chain's
     weights are bounded by VOCABULARY words a category and travel as a broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(chain)
