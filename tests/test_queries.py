@@ -23,6 +23,5 @@ def test_query_equals_sql(spark, sql, name):
     assert got[1] == want[1]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).limit(3).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
