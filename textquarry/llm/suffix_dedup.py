@@ -22,7 +22,10 @@ COLLECTION = 3_000
 TOGETHER = 16
 #: An anchor's strings are compared in this many parts of the window range before a collection is built of them.
 CELLS = 4
+#: Window starts that are looked at together, so that their hashes stay in a core's cache.
+CACHED = 1 << 15
 _MULTIPLIER = 0x9E3779B97F4A7C15
+_PLACE = np.uint64((1 << 24) - 1)
 _BYTE = np.random.default_rng(0xB17E).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -41,30 +44,36 @@ def anchored_runs(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np
     none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     if len(data) < length:
         return none
-    with np.errstate(over="ignore"):
-        h, power, width = _BYTE[data], _MULTIPLIER, 1
-        while width < SEED_BYTES:
-            h = h[:-width] * np.uint64(power) + h[width:]
-            power, width = power * power & (1 << 64) - 1, width * 2
-        h = _mix(h)
-    key = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
-    span, width = length - SEED_BYTES + 1, 1
-    low = key
-    while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < span:
-        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    starts = np.arange(len(low))
-    text = np.searchsorted(bounds, starts, side="right")
-    valid = starts + length <= bounds[np.minimum(text, len(bounds) - 1)]
-    at = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-    starts, text, at = starts[valid], text[valid], at[valid]
-    if not len(starts):
+    span = length - SEED_BYTES + 1
+    hashes, low = np.empty(len(data) - SEED_BYTES + 1, np.uint64), np.empty(len(data) - length + 1, np.uint64)
+    for a in range(0, len(low), CACHED):
+        part = data[a : min(a + CACHED, len(low)) + length - 1]
+        with np.errstate(over="ignore"):
+            h, power, width = _BYTE[part], _MULTIPLIER, 1
+            while width < SEED_BYTES:
+                longer = h[:-width] * np.uint64(power)
+                longer += h[width:]
+                h, power, width = longer, power * power & (1 << 64) - 1, width * 2
+            h = hashes[a : a + len(h)] = _mix(h)
+        key, width = (h & ~_PLACE) | np.arange(a, a + len(h), dtype=np.uint64), 1
+        while width * 2 <= span:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        low[a : a + CACHED] = np.minimum(key[: len(key) - (span - width)], key[span - width :])
+    begins = np.concatenate(([0], bounds[:-1]))
+    text = np.flatnonzero(bounds - begins >= length)  # a run starts where one of these does, or where the anchor changes
+    if not len(text):
         return none
-    turn = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
-    n = np.diff(np.append(turn, len(starts)))
-    return text[turn], starts[turn], n, at[turn] - starts[turn], h[at[turn]]
+    change = np.concatenate(([True], low[1:] != low[:-1]))
+    change[begins[text]] = True
+    turn = np.flatnonzero(change)
+    text = np.searchsorted(bounds, turn, side="right")
+    ok = turn + length <= bounds[text]
+    turn, text = turn[ok], text[ok]
+    last = np.append(turn[1:], len(low))
+    n = np.minimum(last, bounds[text] - length + 1) - turn
+    at = (low[turn] & _PLACE).astype(np.int64)
+    return text, turn, n, at - turn, hashes[at]
 
 
 def _slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
