@@ -38,6 +38,8 @@ def texts():
 @pytest.mark.parametrize("hot", [2_000, 5])
 def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT_STRINGS", hot)
+    levels, level = set(), S._level
+    monkeypatch.setattr(S, "_level", lambda docs, tables, near, length: levels.add(len(tables)) or level(docs, tables, near, length))
     rows = texts()
     for k, v in {"skewedPartitionThresholdInBytes": "200", "skewedPartitionFactor": "1.1"}.items():  # adaptive execution splits what it may
         spark.conf.set(f"spark.sql.adaptive.skewJoin.{k}", v)
@@ -45,7 +47,7 @@ def test_against_brute_force(spark, monkeypatch, hot):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(5)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in S.dedup(df).collect())
-    assert got == brute(rows, 100)
+    assert got == brute(rows, 100) and levels == ({0} if hot == 2_000 else {0, 1, 2})
     again = S.dedup(df.unionAll(df.filter("doc_id < 3"))).collect()
     assert len(again) == len(rows) + 3
     for k in ("adaptive.skewJoin.skewedPartitionThresholdInBytes", "adaptive.skewJoin.skewedPartitionFactor", "adaptive.advisoryPartitionSizeInBytes", "autoBroadcastJoinThreshold"):
@@ -61,6 +63,15 @@ def test_other_lengths(spark, length):
     assert got == brute(rows, length) and got[1][2] > 500
 
 
+def test_a_template_with_numbers(spark):
+    """One anchor has more than HOT_STRINGS distinct strings; windows that differ within their contexts go on to whole ones."""
+    rnd = random.Random(9)
+    a, b = ("".join(rnd.choice("abcdefgh é") for _ in range(n)) for n in (70, 300))
+    rows = [(i, f"{i:07d} {a} {i % 2_900:05d} {b}") for i in range(3_100)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows, 100) and got[3_050][2] > got[2_000][2] > 300
+
+
 def test_ids_that_are_null_large_or_repeated(spark):
     rnd = random.Random(3)
     text = "".join(rnd.choice("abcdefgh ") for _ in range(300))

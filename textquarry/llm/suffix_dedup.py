@@ -14,8 +14,9 @@ from textquarry.llm.column_bwt import ColumnBWT
 from textquarry.llm.common import bit_table, drop, may_hold, save
 
 SEED_BYTES = 32
-#: An anchor with more distinct strings than this is dealt out by its single windows.
-HOT_STRINGS = 2_000
+#: A key (at first, an anchor) with more distinct strings than this is dealt out by longer contexts: by what all windows have in
+#: common whose distance to the anchor lies in one of CONTEXTS parts of its range, and in the end by whole windows.
+HOT_STRINGS, CONTEXTS = 2_000, 8
 #: Strings of one collection at most; a task with more builds several, cut between anchors.
 COLLECTION = 3_000
 #: So many collections' strings are held at once and dealt by length.
@@ -119,24 +120,50 @@ def _recurring(docs: DataFrame, length: int) -> DataFrame:
     return seen.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
-def _runs(docs: DataFrame, anchors: np.ndarray, length: int, keys: np.ndarray | None = None) -> DataFrame:
-    """(anchor, doc_id, start, n, left, g) of the runs whose anchor may be in the bit table `anchors`: `left` is how far
-    before its anchor a run starts, g a 64-bit hash of its bytes. With `keys`: of these runs those whose _key() may be in
-    that table, and with their bytes."""
-    held, with_bytes = docs.sparkSession.sparkContext.broadcast((anchors, keys)), keys is not None
+def _by_context(data: np.ndarray, runs: tuple[np.ndarray, ...], parts: int, length: int) -> tuple[np.ndarray, ...]:
+    """Runs (text, at, start, n, left, _) cut where their windows' distance to the anchor passes from one of `parts` parts of its
+    range to the next, each with a hash of the bytes around the anchor that all windows of that part cover. Equal windows
+    lie in the same part and have the same bytes there."""
+    text, at, start, n, left, _ = runs
+    edges = (length - SEED_BYTES + 1) * np.arange(parts + 1) // parts
+    first = np.searchsorted(edges, left - n + 1, side="right") - 1
+    k = np.searchsorted(edges, left, side="right") - first
+    i = np.repeat(np.arange(len(k)), k)
+    part = np.arange(len(i)) - np.repeat(np.cumsum(k) - k - first, k)
+    near, far = edges[part], edges[part + 1] - 1
+    most, least = np.minimum(left[i], far), np.maximum((left - n + 1)[i], near)
+    anchor, raw = at[i] + left[i], data.tobytes()
+    key = [xxhash.xxh3_64_intdigest(raw[a:b], c) for a, b, c in zip((anchor - near).tolist(), (anchor - far + length).tolist(), (part + 1).tolist(), strict=True)]
+    moved = left[i] - most
+    return text[i], at[i] + moved, start[i] + moved, most - least + 1, most, np.array(key, np.uint64)
+
+
+def _runs(docs: DataFrame, hot: list[np.ndarray], near: np.ndarray | None, length: int, keys: np.ndarray | None = None) -> DataFrame:
+    """(anchor, doc_id, start, n, left, g) of the runs whose anchor may be in the bit table `near`: `left` is how far
+    before its anchor a run starts, g a 64-bit hash of its bytes. With `hot`, bit tables of each level's hot keys: of the runs
+    with such keys, cut by the contexts of the next level, and `anchor` is that context's key. With `keys`: of these runs
+    those whose _key() may be in that table, and with their bytes."""
+    held, with_bytes = docs.sparkSession.sparkContext.broadcast((hot, near, keys)), keys is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, near, keys = held.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, data, (text, at, start, n, left, h) in runs_of(batch.column(1), length):
+            for first, data, runs in runs_of(batch.column(1), length):
+                for table, parts in zip(hot, (CONTEXTS, length - SEED_BYTES + 1), strict=False):
+                    some = may_hold(table, runs[5])
+                    runs = _by_context(data, tuple(c[some] for c in runs), parts, length) if some.any() else tuple(c[:0] for c in runs)
+                if near is not None:
+                    some = may_hold(near, runs[5])
+                    runs = tuple(c[some] for c in runs)
+                text, at, start, n, left, h = runs
                 doc = ids[first + text].astype(np.int64)
-                ok = np.flatnonzero(may_hold(held.value[0], h))
-                raw = data.tobytes() if len(ok) else b""
-                strings = [raw[a:b] for a, b in zip(at[ok].tolist(), (at[ok] + n[ok] + length - 1).tolist(), strict=True)]
+                raw = data.tobytes() if len(h) else b""
+                strings = [raw[a:b] for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)]
                 g = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings)).astype(np.int64)
-                columns = [h[ok].astype(np.int64), doc[ok], start[ok], n[ok].astype(np.int32), left[ok].astype(np.int32), g]
+                columns = [h.astype(np.int64), doc, start, n.astype(np.int32), left.astype(np.int32), g]
                 if with_bytes:
-                    wanted = np.flatnonzero(may_hold(held.value[1], g ^ start[ok] ^ (doc[ok] << 20)))
+                    wanted = np.flatnonzero(may_hold(keys, g ^ start ^ (doc << 20)))
                     columns = [c[wanted] for c in columns] + [[strings[i] for i in wanted.tolist()]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
@@ -269,57 +296,54 @@ def _judge(strings: DataFrame, length: int) -> DataFrame:
     return dealt.drop("deal").mapInArrow(run, "anchor long, g long, runs array<struct<at:int,n:int>>")
 
 
-def _single_windows(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, n) of repeated windows of hot anchors: each window is a string of its own, so equal ones collapse
-    in an aggregate and no anchor's strings meet in one task."""
-    held = docs.sparkSession.sparkContext.broadcast(bit_table(hot, "anchor"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for first, data, (text, at, start, n, _, h) in runs_of(batch.column(1), length):
-                raw, ok = data.tobytes(), np.flatnonzero(may_hold(held.value, h))
-                for j in range(0, len(ok), 2_000):
-                    w = [
-                        (x, ids[first + t], s + k, xxhash.xxh3_128_digest(raw[a + k : a + k + length]))
-                        for x, t, a, s, m in zip(*(v[ok[j : j + 2_000]].tolist() for v in (h.astype(np.int64), text, at, start, n)), strict=True)
-                        for k in range(m)
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*w, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc_id", "start", "w"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "anchor long, doc_id long, start long, w binary")
-    windows = save(rows.join(hot, "anchor", "left_semi").drop("anchor"), "windows")
-    first = windows.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("k")).filter("k > 1").select("w", "first")
-    return windows.join(first, "w").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", F.lit(1).alias("n"))
-
-
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, start, n): starts start..start+n-1 of `length`-byte windows that also start earlier (smaller doc_id, or
-    the same document and a smaller start), over all documents and whole texts. Rows without doc_id take no part."""
+    the same document and a smaller start), over all documents and whole texts. Rows without doc_id take no part.
+
+    A key's distinct strings meet in one collection. Keys with too many of them go on to a next level, where longer contexts
+    tell their windows apart; its last one has a key for each window, so only equal strings are left together."""
     if length < SEED_BYTES:
         raise ValueError(f"windows have at least {SEED_BYTES} bytes")
     docs = docs.filter("doc_id is not null")
     anchors = save(_recurring(docs, length), "anchors")
-    runs = save(_runs(docs, bit_table(anchors, "anchor", anchors.count()), length), "runs")
+    near = bit_table(anchors, "anchor", anchors.count())
     drop(anchors)
+    found, hot = _level(docs, [], near, length)
+    tables = []
+    while hot is not None:
+        tables.append(hot)
+        more, hot = _level(docs, tables, None, length)
+        found = found.unionByName(more)
+    return found
+
+
+def _level(docs: DataFrame, tables: list[np.ndarray], near: np.ndarray | None, length: int) -> tuple[DataFrame, np.ndarray | None]:
+    """The repeated windows of the keys with up to HOT_STRINGS distinct strings, and a bit table of the other keys, if any."""
+    runs = save(_runs(docs, tables, near, length), "runs")
     strings = save(_distinct(runs), "strings")
     several = save(strings.groupBy("anchor").agg(F.count("*").alias("strings")).filter("strings > 1"), "several")
-    hot = several.filter(F.col("strings") > HOT_STRINGS).select("anchor")
-    some = several.filter(F.col("strings") <= HOT_STRINGS)
-    wanted = strings.join(some, "anchor", "left_semi").select(_key().alias("key"))
+    last = len(tables) == 2  # equal windows: with two strings here their hashes of 64 bits would have to be equal
+    hot = several.filter((F.col("strings") > HOT_STRINGS) & F.lit(not last)).select("anchor")
+    some = several.filter((F.col("strings") <= HOT_STRINGS) | F.lit(last))
     size = some.agg(F.count("*").alias("anchors"), F.coalesce(F.sum("strings"), F.lit(0)).alias("strings")).first()
-    told = _runs(docs, bit_table(some, "anchor", size.anchors), length, bit_table(wanted, "key", size.strings))
-    judged = save(_judge(told.join(hot, "anchor", "left_anti"), length), "judged")
+    told = strings.withColumnsRenamed({"doc_id": "first_doc", "start": "first_start"}).join(hot, "anchor", "left_anti")
+    judged = None
+    if size.anchors:
+        wanted = strings.join(some, "anchor", "left_semi").select(_key().alias("key"))
+        whole = _runs(docs, tables, bit_table(some, "anchor", size.anchors), length, bit_table(wanted, "key", size.strings))
+        judged = save(_judge(whole.join(hot, "anchor", "left_anti"), length), "judged")
+        told = told.join(judged, ["anchor", "g"], "left")
+    else:
+        told = told.withColumn("runs", F.lit(None).cast("array<struct<at:int,n:int>>"))
     # Where a string stands again, all its windows have stood before; where it stands first, those that were judged so.
-    told = strings.withColumnsRenamed({"doc_id": "first_doc", "start": "first_start"}).join(judged, ["anchor", "g"], "left").filter("k > 1 or runs is not null")
-    told = save(told.join(hot, "anchor", "left_anti"), "told")
+    told = save(told.filter("k > 1 or runs is not null"), "told")
     again = (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))
     own = F.when(again, F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n")))).otherwise(F.col("runs"))
     cool = runs.join(told, ["anchor", "g"]).select("doc_id", "start", F.inline(own)).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n")
-    drop(judged)
-    found = save(cool.unionByName(_single_windows(docs, save(hot, "hot"), length)) if hot.head(1) else cool, "found")
-    drop(strings, several, runs, told)
-    return found
+    found = save(cool, "found")
+    table = bit_table(hot, "anchor") if hot.head(1) else None
+    drop(strings, several, runs, told, *([judged] if judged is not None else []))
+    return found, table
 
 
 def _distinct(runs: DataFrame) -> DataFrame:
