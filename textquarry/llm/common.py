@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Spark hands at most `rows` rows at a time to Python; for long texts, which an executor holds several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components of undirected `edges` by alternating large-star and small-star steps.
 
@@ -86,4 +101,4 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.filter(~near).unionByName(docs.filter(near).hint("merge").join(ids, "doc_id", "left_anti").select(docs.columns))
 
 
-__all__ = ["bit_table", "components", "drop", "may_hold", "save", "shared_dir", "table", "without"]
+__all__ = ["arrow_rows", "bit_table", "components", "drop", "may_hold", "save", "shared_dir", "table", "without"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import bit_table, components, drop, may_hold, save, without
+from textquarry.llm.common import arrow_rows, bit_table, components, drop, may_hold, save, without
 from textquarry.llm.shingles import mix, shingle_sets
 
 #: A shingle counts as common where a block of BLOCK shingles of one task holds it LOCAL times; of those, the COMMON_ROWS
@@ -21,6 +21,9 @@ BLOCK, LOCAL, COMMON_ROWS = 2_000_000, 3, 1_000_000
 #: Bits of a signature at least; a larger set has as many as the power of two that reaches its size.
 SIGNATURE_BITS = 1_024
 
+#: Texts that are handed to Python at a time.
+TEXTS = 1_000
+
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of the shingles that many documents share, from all documents."""
@@ -123,7 +126,9 @@ def verify(docs: DataFrame, own: DataFrame, pairs: DataFrame, width: int, percen
     right = sets_of(docs, pairs.select(F.col("b").alias("doc_id")), width).select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = left.join(pairs.hint("merge"), "a").join(right.hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    links = save(both.filter(common * 100 >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
+    similar = both.filter(common * 100 >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    with arrow_rows(docs.sparkSession, TEXTS):
+        links = save(similar, "links")
     drop(pairs)
     return links
 
@@ -142,7 +147,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     groups that passes the size and position filters and still lies across two components is expanded to its members
     and verified, so no link between components is lost.
     """
-    own = save(profiles(docs, width, percent, common_shingles(docs, width)), "profiles")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        own = save(profiles(docs, width, percent, common_shingles(docs, width)), "profiles")
     some = own.filter("n > 0").select("doc_id", "n", "s1", "s2", F.xxhash64("prefix").alias("p"))
     equals = some.groupBy("n", "s1", "s2", "p").agg(F.min("doc_id").alias("rep"))
     groups = equals.groupBy("n", "p").agg(F.min("rep").alias("gid"))
