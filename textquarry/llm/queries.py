@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and pipeline, and the SQL of those that SQL can express."""
+"""The queries op1_ to op13_ and pipeline, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -91,6 +91,15 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json"), tokens.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_escaped_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.infill import restore, transform
+
+    size = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    return transform(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n", "form", size("prefix"), size("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_script_viterbi": op8_script_viterbi,
     "op9_secret_entropy": op9_secret_entropy,
     "op10_feistel_shards": op10_feistel_shards,
+    "op11_escaped_markers": op11_escaped_markers,
     "pipeline": pipeline,
 }
 
@@ -171,7 +181,17 @@ m AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, run)
 f AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans, string_agg(hex(b[before + 1:a]), '' ORDER BY a) AS head, max(z) AS last FROM k JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN head IS NULL THEN b ELSE unhex(head || hex(b[last + 1:])) END) AS kept_sha256 FROM d LEFT JOIN f USING (doc_id)"""
 
+# op11 in SQL: the parts by their code points. DuckDB has no hexadecimal literals in texts of its own making, so digits are summed.
+_HEX = "CAST(list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', substr(s, CAST({at} + i AS BIGINT), 1)) - 1) * (16 ** (8 - i))::BIGINT)) AS BIGINT)"
+_INFILL_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT *, {_HEX.format(at=0)} % (n + 1) AS x, {_HEX.format(at=8)} % (n + 1) AS y, {_HEX.format(at=16)} % 100 AS u, {_HEX.format(at=24)} % 100 AS v FROM d),
+f AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR u >= 90 THEN 'plain' WHEN v < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+sha256(t) AS restored_sha256 FROM f"""
+
 ORACLES: dict[str, str] = {
+    "op11_escaped_markers": _INFILL_SQL,
     "op1_redirect_equivalence": _URL_SQL,
     "op2_column_suffix_dedup": _REPEATS_SQL,
     "op9_secret_entropy": _SECRET_SQL,
