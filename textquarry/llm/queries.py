@@ -100,6 +100,12 @@ def op11_escaped_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_entropy": op9_secret_entropy,
     "op10_feistel_shards": op10_feistel_shards,
     "op11_escaped_markers": op11_escaped_markers,
+    "op12_pivot_collocations": op12_pivot_collocations,
     "pipeline": pipeline,
 }
 
@@ -190,7 +197,22 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
 sha256(t) AS restored_sha256 FROM f"""
 
+# op12 in SQL: every phrase as a row.
+_PHRASES_SQL = """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS a FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k) GROUP BY ALL),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+s AS (SELECT lang, c.k, g, a, i, array_to_string(string_split(g, ' ')[1:i], ' ') AS x, array_to_string(string_split(g, ' ')[i + 1:], ' ') AS y FROM c, (VALUES (1), (2)) v(i) WHERE i < c.k),
+b AS (SELECT s.lang, s.k, s.g, s.a, min({'score': (1000000::HUGEINT * s.a * s.a) // (x.a::HUGEINT * y.a), 'i': i, 'l': x.a, 'r': y.a}) AS cut FROM s JOIN f x ON x.lang = s.lang AND x.g = s.x JOIN f y ON y.lang = s.lang AND y.g = s.y GROUP BY ALL),
+o AS (SELECT lang, unnest([array_to_string(string_split(g, ' ')[1:2], ' '), array_to_string(string_split(g, ' ')[2:3], ' ')]) AS g, a FROM c WHERE k = 3),
+m AS (SELECT lang, g, max(a) AS most FROM o GROUP BY ALL),
+u AS (SELECT b.* FROM b LEFT JOIN m ON m.lang = b.lang AND m.g = b.g AND b.k = 2 WHERE most IS NULL OR 100 * most < 50 * b.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cut.score DESC, a DESC, encode(g)) AS rank FROM u)
+SELECT lang, rank, g AS phrase, a, cut.l AS l, cut.r AS r, CAST(n AS BIGINT) AS n, CAST(cut.score AS BIGINT) AS score FROM r JOIN n USING (lang) WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
+    "op12_pivot_collocations": _PHRASES_SQL,
     "op11_escaped_markers": _INFILL_SQL,
     "op1_redirect_equivalence": _URL_SQL,
     "op2_column_suffix_dedup": _REPEATS_SQL,
