@@ -106,6 +106,16 @@ def op12_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_multinomial_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textquarry.llm.common import save
+    from textquarry.llm.mixing import plan, report
+
+    mix = plan(table(spark, sf_dir, "documents"))
+    out = save(report(mix).select("doc_id", "size", "source_size", "target", "taken"), "mix")
+    mix.drop()
+    return out
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_feistel_shards": op10_feistel_shards,
     "op11_escaped_markers": op11_escaped_markers,
     "op12_pivot_collocations": op12_pivot_collocations,
+    "op13_multinomial_blocks": op13_multinomial_blocks,
     "pipeline": pipeline,
 }
 
