@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from textquarry.llm import jaccard_join as J
 from textquarry.llm.shingles import shingle_sets
@@ -105,3 +107,36 @@ def test_signatures_never_understate_what_is_common(spark):
         assert common <= (r.n_a + r.n_b - r.d) / 2
         if min(r.n_a, r.n_b) > 0.5 * max(r.n_a, r.n_b):
             assert r.d > 0
+
+
+def placed_and_shared(spark, rows):
+    """rows: (token, gid, n, at, components of its members)"""
+    placed = [(g, g * 100 + i, c) for g, cs in {g: cs for _, g, _, _, cs in rows}.items() for i, c in enumerate(cs)]
+    return spark.createDataFrame(placed, "gid long, rep long, component long"), spark.createDataFrame([r[:4] for r in rows], "token long, gid long, n long, at int")
+
+
+def test_buckets_within_one_component_cost_no_pairs(spark):
+    n = 100_000
+    placed = spark.range(n).select(F.col("id").alias("gid"), F.col("id").alias("rep"), F.lit(0).cast("long").alias("component"))
+    shared = spark.range(n).select(F.lit(7).cast("long").alias("token"), F.col("id").alias("gid"), F.lit(100).cast("long").alias("n"), F.lit(0).alias("at"))
+    began = time.time()
+    assert J._across(placed, shared, 80).count() == 0
+    other = spark.createDataFrame([(n, n, n)], placed.schema)
+    one = spark.createDataFrame([(7, n, 101, 0)], shared.schema)
+    assert J._across(placed.unionByName(other), shared.unionByName(one), 80).count() == n  # each may link with the one of another component
+    assert time.time() - began < 60
+
+
+def test_pairs_across_components(spark):
+    rng = random.Random(8)
+    sizes = {g: (rng.randrange(5, 30), rng.sample(range(6), rng.choice([1, 1, 1, 2]))) for g in range(60)}
+    rows = [(t, g, n, rng.randrange(0, 4), cs) for t in range(5) for g, (n, cs) in sizes.items() if rng.random() < 0.5]
+    want = set()
+    for t, g, n, at, cs in rows:
+        for u, h, m, to, ds in rows:
+            need = -(-(n + m) * 80 // 180)
+            if t == u and g != h and 100 * min(n, m) >= 80 * max(n, m) and min(n - at, m - to) >= need:
+                want |= {frozenset((g * 100 + i, h * 100 + j)) for i, c in enumerate(cs) for j, d in enumerate(ds) if c != d}
+    want |= {frozenset((g * 100, g * 100 + 1)) for g, cs in {r[1]: r[4] for r in rows}.items() if len(cs) == 2}
+    got = [frozenset(r) for r in J._across(*placed_and_shared(spark, rows), 80).collect()]
+    assert set(got) == want and len(got) == len(want)

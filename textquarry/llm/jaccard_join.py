@@ -21,6 +21,9 @@ BLOCK, LOCAL, COMMON_ROWS = 2_000_000, 3, 1_000_000
 #: Bits of a signature at least; a larger set has as many as the power of two that reaches its size.
 SIGNATURE_BITS = 1_024
 
+#: Parts that the rows of a bucket are dealt to where they meet those of other components.
+SALTS = 8
+
 #: Texts that are handed to Python at a time.
 TEXTS = 1_000
 
@@ -189,8 +192,9 @@ def _leaders(shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): each group with the leader of each of its buckets. A cluster's original shares all of its prefix, while an
     edited copy has shingles of its own, so the leader is likely to link with every copy."""
     lonely = shared.groupBy("gid").agg((1 - F.count("*") / F.max("own_tokens")).alias("lonely"))
-    w = Window.partitionBy("token").orderBy("lonely", "gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = shared.hint("merge").join(lonely, "gid").withColumn("lead", F.first(F.struct("gid", "n", "at")).over(w)).filter("gid <> lead.gid")
+    known = shared.hint("merge").join(lonely, "gid")
+    leads = known.groupBy("token").agg(F.min(F.struct("lonely", "gid", "n", "at")).alias("lead"))
+    led = known.hint("merge").join(leads, "token").filter("gid <> lead.gid")
     n, at, m, to = F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")
     fits = F.when(n <= m, _may_link(n, at, m, to, percent)).otherwise(_may_link(m, to, n, at, percent))
     return led.filter(fits).select(F.col("gid").alias("a"), F.col("lead.gid").alias("b")).distinct()
@@ -199,12 +203,25 @@ def _leaders(shared: DataFrame, percent: int) -> DataFrame:
 def _across(placed: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of members that may link and lie in different components."""
     span = placed.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rows = shared.hint("merge").join(span, "gid").select("token", "gid", "n", "at", "low", "high")
-    x, y = rows.alias("x"), rows.alias("y")
-    apart = (F.col("x.low") != F.col("x.high")) | (F.col("y.low") != F.col("y.high")) | (F.col("x.low") != F.col("y.low"))
-    in_order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.gid") < F.col("y.gid")))
-    groups = x.join(y, (F.col("x.token") == F.col("y.token")) & in_order & apart & _may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent))
-    pairs = groups.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).unionByName(span.filter("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))).distinct()
+    # A group within one component goes by that; one that spans several is apart from all others, and goes by its own id.
+    one = F.col("low") == F.col("high")
+    side = F.struct((~one).alias("mixed"), F.when(one, F.col("low")).otherwise(F.col("gid")).alias("of"))
+    rows = shared.hint("merge").join(span, "gid").select("token", "gid", "n", "at", side.alias("side"))
+    # Most buckets lie within one component by now and are left at the cost of an aggregate, whatever their size.
+    several = rows.groupBy("token").agg(F.min("side").alias("least"), F.max("side").alias("most")).filter("least < most").select("token")
+    rows = save(rows.hint("merge").join(several.hint("merge"), "token").withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(SALTS))), "apart")
+    # Rows meet the bounds of the other components first, then only the rows of those they may link with; a hot bucket's
+    # or component's rows are dealt to SALTS parts, for which the other side is copied.
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    bounds = rows.groupBy("token", "side").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("at")).alias("left"))
+    bounds = bounds.select("token", F.col("side").alias("to"), "least_n", "most_n", "left", salts)
+    need = F.ceil((F.col("n") + F.col("least_n")) * percent / F.lit(100 + percent) - 1e-9)
+    fits = (F.col("n") * 100 >= F.col("least_n") * percent) & (F.col("most_n") * 100 >= F.col("n") * percent) & (F.least(F.col("n") - F.col("at"), F.col("left")) >= need)
+    near = rows.hint("merge").join(bounds.hint("merge"), ["token", "salt"]).filter(F.col("side") < F.col("to")).filter(fits).select("token", F.col("gid").alias("ga"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("to").alias("side"), salts)
+    met = near.hint("merge").join(rows.hint("merge"), ["token", "side", "salt"])
+    n, at, m, to = F.col("n_a"), F.col("at_a"), F.col("n"), F.col("at")
+    met = met.filter(F.when(n <= m, _may_link(n, at, m, to, percent)).otherwise(_may_link(m, to, n, at, percent)))
+    pairs = met.select("ga", F.col("gid").alias("gb")).unionByName(span.filter("low <> high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))).distinct()
     a = placed.select(F.col("gid").alias("ga"), F.col("rep").alias("a"), F.col("component").alias("ca"))
     b = placed.select(F.col("gid").alias("gb"), F.col("rep").alias("b"), F.col("component").alias("cb"))
     return pairs.join(a, "ga").join(b, "gb").filter((F.col("ca") != F.col("cb")) & ((F.col("ga") != F.col("gb")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
