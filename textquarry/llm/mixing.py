@@ -117,15 +117,17 @@ def targets(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataF
             break
         over, units = now
     target = F.when(above(over, units), (F.col("source_size") * most).cast("double")).otherwise(F.lit(over) * F.col("weight") / F.lit(units))
-    return table.select("src", "source", "source_size", "weight", target.alias("target")), n
+    out = table.select("src", "source", "source_size", "weight", target.alias("target"))
+    out.cut_at = table.cut_at
+    return out, n
 
 
 def _by_source(df: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     return df.join(F.broadcast(sources), "src") if n <= TOLD_SOURCES else df.hint("merge").join(sources, "src")
 
 
-def _dealt(sources: DataFrame, n: int, per_shard: int, seed: int) -> DataFrame:
-    """(shard, src, j): the slots of all shards, j the number of a slot among those of its source, which are as many as `count`
+def _dealt(sources: DataFrame, n: int, per_shard: int, seed: int) -> tuple[DataFrame, list[DataFrame]]:
+    """((shard, src, j), tables to drop afterwards): the slots of all shards, j the number of a slot among those of its source, which are as many as `count`
     in `sources`.
 
     Each slot draws its source with the odds of the counts, so a shard's counts are a multinomial draw. Over all shards a source
@@ -148,9 +150,7 @@ def _dealt(sources: DataFrame, n: int, per_shard: int, seed: int) -> DataFrame:
     j = _by_source(counted.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("got") - 1)).alias("j")), even.select("src", "count", "over"), n)
     beyond = j.filter("j >= count").select("shard", (F.col("over") + F.col("j") - F.col("count")).alias("d"))
     lacking = even.filter("got < count").select("src", "got", "under", F.explode(F.sequence(F.col("got"), F.col("count") - 1)).alias("j")).select("src", "j", (F.col("under") + F.col("j") - F.col("got")).alias("d"))
-    out = save(j.filter("j < count").select("shard", "src", "j").unionByName(beyond.hint("merge").join(lacking.hint("merge"), "d").select("shard", "src", "j")), "dealt")
-    drop(placed, drawn, even)
-    return out
+    return j.filter("j < count").select("shard", "src", "j").unionByName(beyond.hint("merge").join(lacking.hint("merge"), "d").select("shard", "src", "j")), [placed, drawn, even]
 
 
 def plan(docs: DataFrame, block: int = 256, per_shard: int = 256, seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, text: bool = False) -> Mix:
@@ -171,7 +171,7 @@ def plan(docs: DataFrame, block: int = 256, per_shard: int = 256, seed: int = 1,
     each = wanted.withColumns({"goal": goal, "blocks": F.ceil(size / block), "full": F.floor(size / block)})
     each = each.withColumns({"passes": F.when(size > 0, F.expr("goal div source_size")).otherwise(0), "rest": F.when(size > 0, F.expr("goal % source_size")).otherwise(0)})
     sources = save(each.withColumn("count", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block)), "sources")
-    dealt = _dealt(sources.select("src", "count"), n, per_shard, seed)
+    dealt, used = _dealt(sources.select("src", "count"), n, per_shard, seed)
     known = _by_source(dealt, sources.select("src", "source_size", "blocks", "full", "passes", "rest"), n)
     placed = known.withColumns({"epoch": F.expr("j div blocks"), "i": F.expr("j % blocks")})
     nth = F.when(F.col("i") < F.col("full"), _permuted("i", "full", F.xxhash64(F.lit(seed), "src", "epoch"))).otherwise(F.col("i"))
@@ -180,7 +180,7 @@ def plan(docs: DataFrame, block: int = 256, per_shard: int = 256, seed: int = 1,
     length = F.when(F.col("epoch") == F.col("passes"), F.least(length, F.col("rest") - F.col("i") * block)).otherwise(length)
     order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "src", "j"), "src", "j")  # at most per_shard rows each
     slots = save(placed.select("shard", (F.row_number().over(order) - 1).cast("long").alias("slot"), "src", "epoch", "block", length.alias("length")), "slots")
-    drop(dealt)
+    drop(wanted, *used)
     return Mix(rows, sources, slots, block, n)
 
 

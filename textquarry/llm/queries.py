@@ -107,13 +107,9 @@ def op12_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_multinomial_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textquarry.llm.common import save
     from textquarry.llm.mixing import plan, report
 
-    mix = plan(table(spark, sf_dir, "documents"))
-    out = save(report(mix).select("doc_id", "size", "source_size", "target", "taken"), "mix")
-    mix.drop()
-    return out
+    return report(plan(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
