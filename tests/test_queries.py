@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import connect, rows
-from textquarry.plans import more_queries  # noqa: F401
+from textquarry.plans import more_queries, store_queries  # noqa: F401
 from textquarry.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"

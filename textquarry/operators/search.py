@@ -35,7 +35,7 @@ def bm25_search(nodes: DataFrame, query: str, k: int | None = None, columns: tup
     """
     if len(query) < 3:
         return nodes.withColumn("bm25", F.lit(0.0)).limit(0)
-    flat = {c: F.array_join(c, ",") if dict(nodes.dtypes)[c].startswith("array") else F.coalesce(F.col(c), F.lit("")) for c in columns}
+    flat = {c: F.coalesce(F.array_join(c, ",") if dict(nodes.dtypes)[c].startswith("array") else F.col(c), F.lit("")) for c in columns}
     grams = reduce(lambda a, b: a + b, (F.greatest(F.length(c) - 2, F.lit(0)) for c in flat.values()))
     tf = reduce(lambda a, b: a + b, (_occurrences(c, query) for c in flat.values()))
     rows = nodes.withColumns({"_d": grams, "_tf": tf})
@@ -51,7 +51,7 @@ def bm25_search(nodes: DataFrame, query: str, k: int | None = None, columns: tup
 def terms_search(nodes: DataFrame, query: str, k: int | None = None, columns: tuple[str, ...] = ("title", "body", "tags"), joined: bool = False) -> DataFrame:
     """Every white-space term is a substring of one of the columns (joined: of all of them in one string), in any case;
     by importance (joined: then by updated, newest first)."""
-    flat = [F.lower(F.array_join(c, ",") if dict(nodes.dtypes)[c].startswith("array") else F.coalesce(F.col(c), F.lit(""))) for c in columns]
+    flat = [F.lower(F.coalesce(F.array_join(c, ",") if dict(nodes.dtypes)[c].startswith("array") else F.col(c), F.lit(""))) for c in columns]
     flat = [F.concat_ws(" ", *flat)] if joined else flat
     terms = query.lower().split()
     if not terms:

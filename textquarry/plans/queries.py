@@ -258,9 +258,9 @@ def _bm25_sql(q: str) -> str:
   hits AS (SELECT id, importance, updated, access_count, tags, -(CASE WHEN ln((n - m + 0.5::DOUBLE) / (m + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - m + 0.5::DOUBLE) / (m + 0.5::DOUBLE)) END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / a)) AS bm25 FROM r, st WHERE tf > 0)"""
 
 
-@query(_bm25_sql("password") + " SELECT id, round(bm25, 6) AS bm25 FROM hits ORDER BY hits.bm25, importance DESC, id LIMIT 50")
+@query(_bm25_sql("license") + " SELECT id, round(bm25, 6) AS bm25 FROM hits ORDER BY hits.bm25, importance DESC, id LIMIT 50")
 def bm25_top(spark, sf_dir):
-    return search.bm25_search(nodes(spark, sf_dir), "password", 50).select("id", F.round("bm25", 6).alias("bm25"))
+    return search.bm25_search(nodes(spark, sf_dir), "license", 50).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"WITH {NODES_SQL} SELECT id, importance FROM nodes WHERE (contains(lower(title), 'token') OR contains(lower(body), 'token') OR contains(lower(array_to_string(tags, ',')), 'token')) AND (contains(lower(title), 'en') OR contains(lower(body), 'en') OR contains(lower(array_to_string(tags, ',')), 'en')) ORDER BY importance DESC, id LIMIT 50")
@@ -268,9 +268,9 @@ def terms_top(spark, sf_dir):
     return search.terms_search(nodes(spark, sf_dir), "Token en", 50).select("id", "importance")
 
 
-@query(_bm25_sql("password") + ", a AS (SELECT id, bm25, importance FROM hits ORDER BY bm25, importance DESC, id LIMIT 30), b AS (SELECT id, 0.0 AS bm25, importance FROM (SELECT * FROM nodes WHERE contains(lower(title), 'password') OR contains(lower(body), 'password') OR contains(lower(array_to_string(tags, ',')), 'password') ORDER BY importance DESC, id LIMIT 30) WHERE id NOT IN (SELECT id FROM a)) SELECT id FROM (SELECT *, 0 AS s FROM a UNION ALL SELECT *, 1 AS s FROM b ORDER BY s, bm25, importance DESC, id LIMIT 30)")
+@query(_bm25_sql("license") + ", a AS (SELECT id, bm25, importance FROM hits ORDER BY bm25, importance DESC, id LIMIT 30), b AS (SELECT id, 0.0 AS bm25, importance FROM (SELECT * FROM nodes WHERE contains(lower(title), 'license') OR contains(lower(body), 'license') OR contains(lower(array_to_string(tags, ',')), 'license') ORDER BY importance DESC, id LIMIT 30) WHERE id NOT IN (SELECT id FROM a)) SELECT id FROM (SELECT *, 0 AS s FROM a UNION ALL SELECT *, 1 AS s FROM b ORDER BY s, bm25, importance DESC, id LIMIT 30)")
 def hybrid_top(spark, sf_dir):
-    return search.hybrid_search(nodes(spark, sf_dir), "password", 30).select("id")
+    return search.hybrid_search(nodes(spark, sf_dir), "license", 30).select("id")
 
 
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,9 +421,9 @@ def recall_candidates(spark, sf_dir):
     return recall.candidates(nodes(spark, sf_dir), o, NOW).select("id", F.round("score", 6).alias("score"))
 
 
-@query(_bm25_sql("password") + f", m AS (SELECT * FROM hits ORDER BY bm25, importance DESC, id LIMIT 80) SELECT id, round({_RECALL} + 0.2::DOUBLE, 6) AS score FROM m WHERE NOT list_contains(tags, 'stale') ORDER BY {_RECALL} DESC, id LIMIT 20")
+@query(_bm25_sql("license") + f", m AS (SELECT * FROM hits ORDER BY bm25, importance DESC, id LIMIT 80) SELECT id, round({_RECALL} + 0.2::DOUBLE, 6) AS score FROM m WHERE NOT list_contains(tags, 'stale') ORDER BY {_RECALL} DESC, id LIMIT 20")
 def recall_hinted(spark, sf_dir):
-    o = recall.RecallOptions(hint="password", limit=20)
+    o = recall.RecallOptions(hint="license", limit=20)
     return recall.candidates(nodes(spark, sf_dir), o, NOW).select("id", F.round("score", 6).alias("score"))
 
 

@@ -35,6 +35,13 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for what a query writes by other ways than cut(); deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}"
+    _KEPT[path] = spark
+    return path
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete tables written by cut() that no later plan reads."""
     for df in tables:
