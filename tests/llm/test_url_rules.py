@@ -1,7 +1,9 @@
 import re
+import time
 from collections import defaultdict
 from urllib.parse import urlsplit
 
+import pytest
 from pyspark.sql import functions as F
 
 from textquarry.llm import url_rules as U
@@ -165,3 +167,32 @@ def test_links_against_brute_force(spark):
         want[i] = best(u, URL_RULES)[1] or ("block" if "block" in said and "allow" not in said else "allow")
     got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
     assert got == want and len(set(root.values())) > 10 and sum(v == "block" for v in want.values()) > 10
+
+
+@pytest.mark.parametrize("part", ["<link ", "<link \"", "<meta '", "<link =\"", "<link ='", "<link href=\"x\" ", "<!-- ", "<script ", "</script <script>", "<link rel='canonical", "<link>", "<meta =\"'='", "<link '\"", "< link "])
+def test_a_megabyte_of_broken_markup_takes_seconds(spark, part):
+    good = '<link rel="canonical" href="https://a.com/x">'
+    html = good + " canonical " + part * (1_000_000 // len(part))
+    df = spark.createDataFrame([("https://b.com/", html)], "url string, html string")
+    began = time.time()
+    edges = {tuple(r) for r in U.link_edges(df).collect()}
+    assert time.time() - began < 15
+    assert ("https://b.com/", "https://a.com/x") in edges
+
+
+def test_quotes_that_open_nothing(spark):
+    cases = [
+        ("<link title=it's rel=canonical href=https://a.com/1> don't <link rel=x>", "https://a.com/1"),
+        ('<link rel="canonical" href="https://a.com/2" title="5 > 4 < 6">', "https://a.com/2"),
+        ('<link rel=canonical <link rel="canonical" href="https://a.com/3">', "https://a.com/3"),
+        ('<link title="open <link rel="canonical" href="https://a.com/4">', None),  # the value ends at the next quote, then comes rubbish
+        ("<link rel='canonical' href='https://a.com/5'/>", "https://a.com/5"),
+    ]
+    df = spark.createDataFrame([(f"https://b.com/{i}", h) for i, (h, _) in enumerate(cases)], "url string, html string")
+    got = {}
+    for src, dst in U.link_edges(df).collect():
+        if not dst.startswith(U.FORM):
+            got[src] = dst
+    for i, (_, want) in enumerate(cases):
+        if want:
+            assert got.get(f"https://b.com/{i}") == want

@@ -75,7 +75,11 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def _tags(html: Column, tag: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"""(?i)<{tag}(?=[\s/])(?:"[^"]*+"|'[^']*+'|[^"'>]++|["'])*+>"""), F.lit(0))
+    """The start tags `tag`. One ends at `>`, and stops being one at a `<`, outside of quoted values; quotes that don't follow `=` or
+    are never closed are characters like others. What stopped is matched as well, and left out afterwards, so the search goes on
+    behind it: each character is looked at a fixed number of times, whatever the markup is."""
+    found = F.regexp_extract_all(html, F.lit(rf"""(?i)<{tag}(?=[\s/])(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^<>=]++|=)*+>?"""), F.lit(0))
+    return F.filter(found, lambda t: t.endswith(">"))
 
 
 def _first(tags: Column, wanted) -> Column:
@@ -84,14 +88,16 @@ def _first(tags: Column, wanted) -> Column:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) of a page's first canonical link and meta refresh that name a target, resolved against the page's own
-    address, and of its own normal form. Tags in comments, scripts, styles and text boxes don't count."""
+    address, and of its own normal form. Tags in comments, scripts, styles and text boxes don't count, `<base href>` is not followed,
+    and of character references those for quotes, slash, colon and ampersand are read. The time is linear in the html, broken or not."""
     url, told = F.col("url"), F.col("html").rlike("(?i)canonical|http-equiv")
-    html = F.when(told, F.regexp_replace("html", HIDDEN, " "))
+    shown = pages.select("url", F.when(told, F.regexp_replace("html", HIDDEN, " ")).alias("html"))
+    html = F.col("html")
     link = lambda t: F.when(F.concat(F.lit(" "), _attribute(t, "rel"), F.lit(" ")).rlike(r"(?i)\scanonical\s"), F.trim(_attribute(t, "href")))
     meta = lambda t: F.when(F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh", _refresh(_attribute(t, "content")))
     canonical = resolve(_first(_tags(html, "link"), link), url)
     refresh = resolve(_first(_tags(html, "meta"), meta), url)
-    found = pages.select(url, canonical.alias("canonical"), refresh.alias("refresh"))
+    found = shown.select(url, canonical.alias("canonical"), refresh.alias("refresh"))
     to = F.array_compact(F.array(normal_form(F.col("url")), normal_form(F.col("canonical")), normal_form(F.col("refresh")), F.col("canonical"), F.col("refresh")))
     return found.select(F.col("url").alias("src"), F.explode(to).alias("dst")).filter("src <> dst").distinct()
 
