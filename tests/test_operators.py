@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.operators import algorithms, catalog, chat, recall, search, traversal, vectors
+from textquarry.operators import algorithms, catalog, chat, recall, search, snapshot, traversal, vectors
 from textquarry.operators import graph_store as g
 
 
@@ -286,7 +286,7 @@ def one_by_one(order, edges, rounds=10):
 def test_labels_of_components_larger_than_a_group(spark, monkeypatch, limit):
     import random
 
-    monkeypatch.setattr(algorithms, "GROUP_ROWS", limit)
+    monkeypatch.setattr(snapshot, "GROUP_ROWS", limit)
     rnd = random.Random(limit)
     order = [f"n{i}" for i in rnd.sample(range(120), 120)]
     edges = [(rnd.choice(order[:60]), rnd.choice(order[:60]), rnd.choice([0.25, 0.5, 1.0])) for _ in range(100)] + [("n0", x, 0.5) for x in order[60:80]]

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.operators.snapshot import Snapshot, edge_cost
 from textquarry.plans.rounds import cut, drop
 
-IMPASSABLE = 1e-9
-#: Label propagation takes connected components of up to so many nodes and edges through tasks, larger ones by joins.
-GROUP_ROWS = 100_000
 #: Link prediction deals a hub's neighbours to parts of so many.
 HUB_ROWS = 1_000
 
@@ -22,139 +18,31 @@ def with_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids, F.col("source") == F.col("_id"), "left_semi").join(ids.withColumnRenamed("_id", "_t"), F.col("target") == F.col("_t"), "left_semi")
 
 
+def _of_snapshot(s: Snapshot, df: DataFrame, what: str) -> DataFrame:
+    """`df` with ids for numbers, on its own; the snapshot is deleted."""
+    out = cut(df, what)
+    s.drop()
+    return out
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(id, rank), adding up to 1. Weighted shares; nodes without weight out spread theirs evenly; stops when a round moves
-    less than `tolerance` in sum."""
-    ids = cut(nodes.select("id").distinct(), "ids")
-    n = ids.count()
-    if n == 0:
-        return ids.withColumn("rank", F.lit(0.0))
-    e = with_ends(ids, edges).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
-    out = e.groupBy("source").agg(F.sum("weight").alias("total")).filter("total > 0")
-    shares = cut(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    sinks = cut(ids.join(out.select(F.col("source").alias("id")), "id", "left_anti"), "sinks")
-    rank = sinks.select("id", F.lit(True).alias("sink")).unionByName(ids.join(sinks, "id", "left_anti").withColumn("sink", F.lit(False))).withColumn("rank", F.lit(1.0 / n))
-    lost, old = sinks.count() / n, None
-    for _ in range(rounds):
-        got = rank.join(shares, rank.id == shares.source).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        base = (1 - damping) / n + damping * lost / n
-        new = rank.join(got, rank.id == got.target, "left").select("id", "sink", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
-        held, new = old, cut(new, "rank")
-        drop(held)
-        old = new
-        r = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("lost")).first()
-        rank, lost = new.drop("old"), r.lost
-        if r.moved < tolerance:
-            break
-    total = rank.agg(F.sum("rank").alias("t")).first().t
-    return rank.select("id", (F.col("rank") / total).alias("rank"))
+    less than `tolerance` in sum. For several algorithms over one graph build a Snapshot once."""
+    s = Snapshot.build(nodes, edges)
+    return _of_snapshot(s, s.pagerank(damping, rounds, tolerance).join(s.ids, "idx").select("id", "rank"), "ranks")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that undirected edges reach, by large-star and small-star rounds."""
-    ids = nodes.select("id").distinct()
-    pairs = with_ends(ids, edges).filter("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).distinct()
-    old, state = cut(pairs, "stars"), None
-    while True:
-        both = old.unionByName(old.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        held, old = old, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        drop(held)
-        now = old.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return ids.join(old, ids.id == old.u, "left").select("id", F.coalesce("v", "id").alias("component"))
+    """(id, component): the smallest id that undirected edges reach."""
+    s = Snapshot.build(nodes, edges)
+    return _of_snapshot(s, s.named(s.components().withColumnRenamed("idx", "id"), "id", "component").select("id", "component"), "components")
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10, order: str = "pos") -> DataFrame:
     """(id, label): asynchronous propagation in the order of `order`: each node takes the label with most weight among its
-    neighbours, the one of the earliest node among equals, until nothing changes.
-
-    Updates never leave a connected component, so each goes its own way with the result of one sequential pass over all
-    nodes: components of up to GROUP_ROWS nodes and edges in groups of about as many through tasks, larger ones by joins."""
-    ids = nodes.select("id", F.col(order).alias("pos"))
-    of = cut(components(nodes, edges), "components")
-    e = cut(with_ends(ids, edges).select("source", "target", "weight").join(of.withColumnRenamed("id", "source"), "source"), "links")
-    sizes = cut(of.select("component").unionByName(e.select("component")).groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    large = F.col("n") > GROUP_ROWS
-    s = sizes.agg(F.count(F.when(large, 1)).alias("large"), F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)).alias("rest")).first()
-    members, groups = ids.join(of, "id"), max(8 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-s.rest // max(1, GROUP_ROWS)))
-    out = None
-    if s.large:
-        big = F.broadcast(sizes.filter(large).select("component"))  # at most one for each GROUP_ROWS rows of the graph
-        out = _vote_by_joins(members.join(big, "component", "left_semi"), e.join(big, "component", "left_semi"), rounds)
-        members, e = members.join(big, "component", "left_anti"), e.join(big, "component", "left_anti")
-    part = F.pmod(F.xxhash64("component"), F.lit(groups))
-    e = e.select(part.alias("c"), "source", "target", "weight")
-    members = members.select("id", "pos", part.alias("component"))
-
-    def run(key: tuple, people: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        people = people.sort_values("pos", ignore_index=True)
-        index = {x: i for i, x in enumerate(people["id"])}
-        near: list[list[tuple[int, float]]] = [[] for _ in index]
-        for a, b, w in zip(links["source"].map(index), links["target"].map(index), links["weight"], strict=True):
-            near[a].append((b, w))
-            near[b].append((a, w))
-        label = np.arange(len(index))
-        for _ in range(rounds):
-            changed = False
-            for i, ns in enumerate(near):
-                votes: dict[int, float] = {}
-                for j, w in ns:
-                    votes[label[j]] = votes.get(label[j], 0.0) + w
-                if votes:
-                    new = min(votes, key=lambda x: (-votes[x], x))
-                    changed |= new != label[i]
-                    label[i] = new
-            if not changed:
-                break
-        names = people["id"].to_numpy()
-        return pd.DataFrame({"id": names, "label": names[label]})
-
-    small = members.groupBy("component").cogroup(e.groupBy("c")).applyInPandas(run, "id string, label string")
-    return small if out is None else small.unionByName(out)
-
-
-def _vote_by_joins(people: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
-    """label_propagation() by joins and aggregates. In a round a node sees the new labels of earlier neighbours and the old
-    ones of later ones. New labels start as the old ones; whoever has an input that changed votes again until none has,
-    and as inputs only point back in the order, that is the sequential pass. It takes as many steps as the longest way
-    that a change makes through ever later neighbours."""
-    at = people.select("id", F.struct("pos", "id").alias("at"))
-    there = links.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight")
-    both = there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    ends = lambda c: at.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}"))
-    near = cut(both.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "weight", (F.col("at_b") < F.col("at_a")).alias("earlier")), "near")
-    told = lambda by, which: cut(near.filter(which).join(by.select(F.col("id").alias("b")), "b", "left_semi").select("a").distinct(), "active")
-    held = cut(at.select("id", F.col("at").alias("old"), F.col("at").alias("new"), F.lit(False).alias("moved")), "labels")
-    state, active = held, None
-    for _ in range(rounds):
-        while True:
-            asked = near if active is None else near.join(active, "a", "left_semi")
-            votes = asked.join(state.select(F.col("id").alias("b"), "old", "new"), "b").select("a", F.when(F.col("earlier"), F.col("new")).otherwise(F.col("old")).alias("label"), "weight")
-            won = votes.groupBy("a", "label").agg(F.sum("weight").alias("w")).groupBy("a").agg(F.min(F.struct((0.0 - F.col("w")).alias("w"), "label")).alias("won"))
-            now = state.drop("moved").join(won.select(F.col("a").alias("id"), F.col("won.label").alias("label")), "id", "left")
-            new = cut(now.select("id", "old", F.coalesce("label", "new").alias("new"), F.coalesce(F.col("label") != F.col("new"), F.lit(False)).alias("moved")), "labels")
-            drop(held, *([active] if active is not None else []))
-            state = held = new
-            active = told(state.filter("moved"), F.col("earlier"))
-            if not active.head(1):
-                break
-        drop(active)
-        active = told(state.filter("new <> old"), ~F.col("earlier"))
-        state = state.select("id", F.col("new").alias("old"), "new", F.lit(False).alias("moved"))
-        if not active.head(1):
-            break
-    return state.select(F.col("id").cast("string").alias("id"), F.col("new.id").cast("string").alias("label"))
-
-
-def edge_cost(weight: Column) -> Column:
-    """-ln of the weight, 1 at most; null where it can't be passed."""
-    return F.when(weight >= IMPASSABLE, -F.log(F.least(weight, F.lit(1.0))) + 0.0)
+    neighbours, the one of the earliest node among equals, until nothing changes."""
+    s = Snapshot.build(nodes, edges, order)
+    return _of_snapshot(s, s.named(s.label_propagation(rounds).withColumnRenamed("idx", "id"), "id", "label").select("id", "label"), "labels")
 
 
 def distances(edges: DataFrame, source: str, nodes: DataFrame | None = None) -> DataFrame:

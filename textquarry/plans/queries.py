@@ -492,18 +492,10 @@ def predicted_links(spark, sf_dir):
     return algorithms.link_prediction(chains(spark, sf_dir), 50).select("a", "b", F.round("score", 6).alias("score"))
 
 
-def _pagerank_sql(rounds: int) -> str:
-    steps = ""
-    for i in range(rounds):
-        steps += f""", r{i + 1} AS (SELECT ids.id, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0.0) + lost / n) AS r FROM ids JOIN (SELECT count(*) AS n FROM ids) ON true
-  JOIN (SELECT coalesce(sum(r), 0.0) AS lost FROM r{i} WHERE id NOT IN (SELECT source FROM total)) ON true LEFT JOIN (SELECT target AS id, sum(r * weight / t) AS got FROM r{i} JOIN edges ON edges.source = r{i}.id JOIN total ON total.source = r{i}.id GROUP BY target) gg ON gg.id = ids.id)"""
-    return f"WITH {SUPPLIES_SQL}, ids AS (SELECT source AS id FROM edges UNION SELECT target FROM edges), total AS (SELECT source, sum(weight) AS t FROM edges GROUP BY source), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS r FROM ids){steps} SELECT id, round(r / (SELECT sum(r) FROM r{rounds}), 8) AS rank FROM r{rounds}"
-
-
-@query(_pagerank_sql(4))
+@query(converged_sql(f"{SUPPLIES_SQL}, ids AS (SELECT source AS id FROM edges UNION SELECT target FROM edges)", 30) + " SELECT id, round(r / sum(r) OVER (), 8) AS rank FROM every JOIN chosen USING (k)")
 def page_rank(spark, sf_dir):
-    """Four rounds."""
-    return algorithms.pagerank(supply_nodes(spark, sf_dir), supplies(spark, sf_dir), rounds=4, tolerance=0.0).select("id", F.round("rank", 8).alias("rank"))
+    """With its defaults, to convergence."""
+    return algorithms.pagerank(supply_nodes(spark, sf_dir), supplies(spark, sf_dir)).select("id", F.round("rank", 8).alias("rank"))
 
 
 @query(f"WITH RECURSIVE {CHAINS_SQL}, start AS (SELECT CAST(min(o_orderkey) AS VARCHAR) AS id FROM orders), walk AS (SELECT id, 0.0::DOUBLE AS dist FROM start UNION ALL SELECT target, dist - ln(least(weight, 1.0)) FROM walk JOIN chain ON source = walk.id) SELECT id, round(abs(min(dist)), 6) AS dist FROM walk GROUP BY id")

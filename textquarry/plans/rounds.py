@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _KEPT: dict[str, SparkSession] = {}
 
@@ -35,6 +36,28 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, what: str, key: str) -> DataFrame:
+    """cut() into as many buckets of `key` as Spark shuffles into, sorted by it: joins and aggregates on the key then read each
+    bucket where it is needed and shuffle nothing."""
+    spark, name = df.sparkSession, f"{what}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    _KEPT[path] = spark
+    out = spark.table(name)
+    out.cut_at, out.cut_as = path, name
+    return out
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add the place of each row, from 0, in the order of the columns `order` (unique together). Range partitions are numbered on their
+    own, from where those before them end; of those there is one row each."""
+    laid = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "laid")
+    whole = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = laid.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_begin"))
+    place = F.col("_begin") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return laid.join(F.broadcast(begin), "_part").select(*df.columns, place.cast("long").alias(name))
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder for what a query writes by other ways than cut(); deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}"
@@ -47,6 +70,8 @@ def drop(*tables: DataFrame | None) -> None:
     for df in tables:
         path = getattr(df, "cut_at", None)
         if path and _KEPT.pop(path, None) is not None:
+            if getattr(df, "cut_as", None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.cut_as}")
             _delete(df.sparkSession, path)
 
 

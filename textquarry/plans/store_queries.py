@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from textquarry.operators import graph_store as g
 from textquarry.operators.phrase_index import PhraseIndex
-from textquarry.plans.queries import NODES_SQL, SUPPLIES_SQL, _bm25_sql, nodes, query, supplies
-from textquarry.plans.rounds import folder
+from textquarry.operators.snapshot import Snapshot
+from textquarry.plans.more_queries import _HAND_OVERS, hand_overs
+from textquarry.plans.queries import NODES_SQL, SUPPLIES_SQL, _bm25_sql, converged_sql, nodes, query, read, supplies
+from textquarry.plans.rounds import cut, folder
 from textquarry.sources.graph_tables import GraphTables
 
 
@@ -89,3 +91,33 @@ def connected_graph(spark, sf_dir):
     graph.connect(spark.range(1).select(F.lit("new").alias("id"), F.lit("s1").alias("source"), F.lit("p-new").alias("target"), F.lit("supplies").alias("relation"), F.lit(1.0).alias("weight"), F.lit("").alias("ts"), F.lit(0).alias("seq")))
     out, into = graph.edges_of(["s1", "s7"], g.Direction.OUT), graph.edges_of(["s1", "s7", "p3"], g.Direction.IN)
     return out.unionByName(into).select("id", "source", "target").dropDuplicates(["id"])
+
+
+_LABELS = f"""WITH RECURSIVE {_HAND_OVERS}, node AS (SELECT id, row_number() OVER (ORDER BY CAST(substr(id, 2) AS BIGINT)) AS i FROM ids),
+ends AS (SELECT a.i AS a, b.i AS b, weight FROM edges JOIN node a ON a.id = source JOIN node b ON b.id = target),
+near AS (SELECT a, list({{'b': b, 'w': weight}}) AS ns FROM (SELECT a, b, weight FROM ends UNION ALL SELECT b, a, weight FROM ends) GROUP BY a),
+f AS (SELECT (SELECT list(i ORDER BY i) FROM node) AS lab, 0::BIGINT AS t UNION ALL
+  SELECT CASE WHEN ns IS NULL THEN lab ELSE lab[1:i - 1] || [list_sort(list_transform(list_distinct(list_transform(ns, lambda x: lab[x.b])), lambda c: {{'s': -list_sum(list_transform(ns, lambda y: CASE WHEN lab[y.b] = c THEN y.w ELSE 0 END)), 'c': c}}))[1].c] || lab[i + 1:] END, t + 1
+  FROM (SELECT *, t % len(lab) + 1 AS i FROM f WHERE t < 10 * len(lab)) LEFT JOIN near ON near.a = i)
+SELECT n.id, m.id AS label FROM (SELECT unnest(range(1, len(lab) + 1)) AS i, unnest(lab) AS l FROM f WHERE t = 10 * len(lab)) JOIN node n USING (i) JOIN node m ON m.i = l"""
+
+
+@query(_LABELS)
+def hand_over_labels(spark, sf_dir):
+    """Label propagation on a graph with cycles, loops and hubs."""
+    ids = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_suppkey").alias("pos"))
+    s = Snapshot.build(ids, hand_overs(spark, sf_dir), "pos")
+    out = cut(s.named(s.label_propagation().withColumnRenamed("idx", "id"), "id", "label"), "labels")
+    s.drop()
+    return out
+
+
+@query(converged_sql(_HAND_OVERS, 30) + ", c AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM edges WHERE source <> target) THEN (SELECT min(id) FROM ids) END AS component) SELECT id, round(r / sum(r) OVER (), 8) AS rank, component FROM every JOIN chosen USING (k), c")
+def one_snapshot(spark, sf_dir):
+    """Ranks and components of one snapshot; the suppliers are all connected."""
+    ids = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    s = Snapshot.build(ids, hand_overs(spark, sf_dir))
+    both = s.pagerank().join(s.components(), "idx").withColumnRenamed("idx", "id")
+    out = cut(s.named(both, "id", "component").select("id", F.round("rank", 8).alias("rank"), "component"), "ranks")
+    s.drop()
+    return out
