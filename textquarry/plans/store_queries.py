@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from textquarry.operators import graph_store as g
 from textquarry.operators.phrase_index import PhraseIndex
+from textquarry.operators import vectors
 from textquarry.operators.snapshot import Snapshot
+from textquarry.operators.vector_index import CellIndex, Quantised
 from textquarry.plans.more_queries import _HAND_OVERS, hand_overs
-from textquarry.plans.queries import NODES_SQL, SUPPLIES_SQL, _bm25_sql, converged_sql, nodes, query, read, supplies
+from textquarry.plans.queries import _COS, NODES_SQL, SUPPLIES_SQL, _bm25_sql, converged_sql, nodes, query, read, supplies
 from textquarry.plans.rounds import cut, folder
 from textquarry.sources.graph_tables import GraphTables
 
@@ -121,3 +123,29 @@ def one_snapshot(spark, sf_dir):
     out = cut(s.named(both, "id", "component").select("id", F.round("rank", 8).alias("rank"), "component"), "ranks")
     s.drop()
     return out
+
+
+@query(f"SELECT q.vec_id AS query_id, a.vec_id AS id, round({_COS}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 12) DESC, a.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings a WHERE q.vec_id <> a.vec_id QUALIFY rank <= 3")
+def nearest_of_all(spark, sf_dir):
+    """The three nearest others of every vector: a join of two tables that both grow."""
+    e = read(spark, sf_dir, "embeddings")
+    index = CellIndex.build(e, _anew(spark, "cells"), id_="vec_id", vector="embedding")
+    got = index.knn(e.withColumnRenamed("vec_id", "query_id"), 3, vector="embedding", skip_self=True)
+    return got.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS query_id, 4 AS bits, 32 AS bytes_a_vector, true AS recall_ok FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT CAST(vec_id AS BIGINT), 2, 16, true FROM embeddings WHERE vec_id % 50 = 0")
+def quantised_recall(spark, sf_dir):
+    """For both widths of codes: whether at least 0.9 of the ten nearest of all stated queries are found; a row for each query."""
+    e = read(spark, sf_dir, "embeddings")
+    q = e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = cut(vectors.knn(e, q, 10, id_="vec_id", vector="embedding").select("query_id", "id"), "exact")
+    out = None
+    for bits in (4, 2):
+        index = Quantised.build(e, bits, id_="vec_id", vector="embedding")
+        hits = index.search(e, q, 10, id_="vec_id", vector="embedding").select("query_id", "id", F.lit(1).alias("hit"))
+        each = exact.join(hits, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
+        share = each.agg((F.sum("found") / F.sum("n")).alias("recall"))  # one row
+        one = each.join(F.broadcast(share)).select("query_id", F.lit(bits).alias("bits"), F.lit(index.bytes_a_vector).alias("bytes_a_vector"), (F.col("recall") >= 0.9).alias("recall_ok"))
+        out = one if out is None else out.unionByName(one)
+    return out
