@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textquarry.operators import graph_store as g
@@ -12,6 +13,7 @@ from textquarry.operators import vectors
 from textquarry.operators.snapshot import Snapshot
 from textquarry.operators.vector_index import CellIndex, Quantised
 from textquarry.plans.more_queries import _HAND_OVERS, hand_overs
+from textquarry.streaming import guard, stateful
 from textquarry.plans.queries import _COS, NODES_SQL, SUPPLIES_SQL, _bm25_sql, converged_sql, nodes, query, read, supplies
 from textquarry.plans.rounds import cut, folder
 from textquarry.sources.graph_tables import GraphTables
@@ -149,3 +151,45 @@ def quantised_recall(spark, sf_dir):
         one = each.join(F.broadcast(share)).select("query_id", F.lit(bits).alias("bits"), F.lit(index.bytes_a_vector).alias("bytes_a_vector"), (F.col("recall") >= 0.9).alias("recall_ok"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def _in_batches(spark, rows, by, n: int, what: str):
+    """`rows` as a stream of n batches, in the order of the column `by`, whose values divide them."""
+    path = _anew(spark, what)
+    for i in range(n):
+        rows.filter(by == i).coalesce(1).write.parquet(f"{path}/b{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def _all_of(spark, stream, what: str):
+    """What a stream gives for all that is there now."""
+    path = _anew(spark, what)
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS nth, event_type || 'é😀' AS content FROM events")
+def chunked_stream(spark, sf_dir):
+    """Each user's events as one byte stream that comes in chunks of 11 bytes, in three batches: lines and characters are cut anywhere."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.concat(F.lit('data: {"choices": [{"delta": {"content": "'), "event_type", F.lit('é😀"}}]}\n\n')).alias("line"))
+    body = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").cast("binary").alias("all"))
+    n = F.ceil(F.octet_length("all") / 11).cast("int")
+    pieces = F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("all", i * 11 + 1, F.lit(11)))).alias("seq", "bytes")
+    chunks = cut(body.select(F.col("user_id").alias("stream_id"), n.alias("n"), pieces), "chunks")
+    live = _in_batches(spark, chunks.withColumn("part", F.floor(F.col("seq") * 3 / F.col("n"))), F.col("part"), 3, "chunked")
+    got = guard.decode_events(stateful.lines(live))
+    w = Window.partitionBy("stream_id").orderBy("nth")
+    return _all_of(spark, got, "lines").select("stream_id", (F.row_number().over(w) - 1).cast("long").alias("nth"), "content")
+
+
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id * 10 AS updated FROM events),
+f AS (SELECT user_id, event_id, i, true AS kept, event_id AS last, updated AS at FROM e WHERE i = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.i, f.at <= e.event_id * 10 - 5000, CASE WHEN f.at <= e.event_id * 10 - 5000 THEN e.event_id ELSE f.last END, CASE WHEN f.at <= e.event_id * 10 - 5000 THEN e.updated ELSE f.at END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT CAST(event_id AS VARCHAR) AS id, kept, CAST(last AS VARCHAR) AS survivor FROM f""")
+def titles_stream(spark, sf_dir):
+    """Events as nodes titled by their user, in three batches: the newest kept one blocks its title for five seconds."""
+    e = read(spark, sf_dir, "events")
+    most = e.agg(F.max("event_id")).first()[0] + 1
+    rows = e.select(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("u"), "user_id").alias("title"), (F.col("event_id") * 10).cast("long").alias("updated"), F.col("event_id").cast("long").alias("seq"), (F.col("event_id") * 10).cast("long").alias("clock"))
+    live = _in_batches(spark, rows, F.floor(F.col("seq") * 3 / most), 3, "titles")
+    return _all_of(spark, stateful.dedup_nodes(live, 5000, "clock"), "deduped").select("id", "kept", "survivor")
