@@ -6,11 +6,17 @@ position is asked for.
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textquarry.plans.rounds import cut, drop
+
 
 def keyword_search(docs: DataFrame, query: str, k: int, text: str = "text", pos: str = "pos") -> DataFrame:
     """Term frequency over lower-cased white-space terms (a repeated term counts again), best k, ties in input order."""
@@ -127,3 +133,54 @@ def federate(lists: dict[str, DataFrame], k: int, strategy: str = "rrf") -> Data
     hits = with_rank(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each))
     fused = rrf(hits) if strategy == "rrf" else weighted_sum(normalize_minmax(hits), {n: 1.0 / len(lists) for n in lists})
     return top(fused, k)
+
+
+class AllBackendsFailed(Exception):
+    """No backend answered; `errors` says why, by name."""
+
+    def __init__(self, errors: dict[str, str]):
+        super().__init__(f"no backend answered: {errors}")
+        self.errors = errors
+
+
+def federate_answering(backends: dict[str, Callable[[], DataFrame]], k: int, strategy: str = "rrf", seconds: float = 30.0) -> tuple[DataFrame, dict[str, str]]:
+    """federate() over the backends that answer within `seconds`: (fused hits, {name: what went wrong}).
+
+    Each backend builds its hits in a thread of its own and runs them as Spark jobs with a tag of their own, at the same time as
+    the others. One that raises, or whose jobs are cancelled by their tag when time is up, is left out; if none is left, that is an error. What
+    a backend found is a table in the shared folder, so fusing it asks nobody again."""
+    if not backends:
+        raise ValueError("no backend")
+    spark = SparkSession.active()
+    found: dict[str, DataFrame] = {}
+    errors: dict[str, str] = {}
+    tags = {name: f"backend-{uuid.uuid4().hex}" for name in backends}
+    late: set[str] = set()
+
+    def ask(name: str) -> None:
+        spark.sparkContext.addJobTag(tags[name])
+        try:
+            hits = cut(top(backends[name](), 2 * k).drop("rank"), "hits")
+            if name in late:
+                drop(hits)
+            else:
+                found[name] = hits
+        except Exception as e:  # noqa: BLE001  a backend may fail in any way; the caller is told
+            errors.setdefault(name, f"{type(e).__name__}: {e}")
+        finally:
+            spark.sparkContext.removeJobTag(tags[name])
+
+    threads = {name: InheritableThread(target=ask, args=(name,), session=spark, daemon=True) for name in backends}
+    for t in threads.values():
+        t.start()
+    end = time.monotonic() + seconds
+    for name, t in threads.items():
+        t.join(max(0.0, end - time.monotonic()))
+        if t.is_alive():
+            late.add(name)
+            found.pop(name, None)
+            errors[name] = f"no answer within {seconds} s"
+            spark.sparkContext.cancelJobsWithTag(tags[name])
+    if not found:
+        raise AllBackendsFailed(errors)
+    return federate({name: found[name] for name in backends if name in found}, k, strategy), errors

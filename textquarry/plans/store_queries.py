@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from textquarry.operators import graph_store as g
 from textquarry.operators.phrase_index import PhraseIndex
-from textquarry.operators import vectors
+from textquarry.operators import search, vectors
 from textquarry.operators.snapshot import Snapshot
 from textquarry.operators.vector_index import CellIndex, Quantised
 from textquarry.plans.more_queries import _HAND_OVERS, hand_overs
 from textquarry.streaming import guard, stateful
-from textquarry.plans.queries import _COS, NODES_SQL, SUPPLIES_SQL, _bm25_sql, converged_sql, nodes, query, read, supplies
+from textquarry.plans.queries import _COS, _NORM, LISTS_SQL, NODES_SQL, SUPPLIES_SQL, _bm25_sql, converged_sql, lists, nodes, query, read, supplies
 from textquarry.plans.rounds import cut, folder
 from textquarry.sources.graph_tables import GraphTables
 
@@ -193,3 +193,19 @@ def titles_stream(spark, sf_dir):
     rows = e.select(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("u"), "user_id").alias("title"), (F.col("event_id") * 10).cast("long").alias("updated"), F.col("event_id").cast("long").alias("seq"), (F.col("event_id") * 10).cast("long").alias("clock"))
     live = _in_batches(spark, rows, F.floor(F.col("seq") * 3 / most), 3, "titles")
     return _all_of(spark, stateful.dedup_nodes(live, 5000, "clock"), "deduped").select("id", "kept", "survivor")
+
+
+_ASKED = LISTS_SQL.replace("lists AS", "asked AS", 1) + ", lists AS (SELECT * FROM asked WHERE list_id IN ('view', 'click', 'purchase') AND pos <= 40)"
+
+
+@query(f"WITH {_ASKED}, {_NORM} SELECT id, round(score, 8) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT id, sum(unit * (1.0::DOUBLE / 3)) AS score FROM norm GROUP BY id) QUALIFY rank <= 20")
+def federated_answering(spark, sf_dir):
+    """Three backends answer and one is down: the weighted fusion of those that are there."""
+    ranked = lists(spark, sf_dir)
+
+    def down():
+        raise ConnectionError("down")
+
+    backends = {t: (lambda t=t: ranked.filter(F.col("list_id") == t).select("query_id", "id", "score")) for t in ("view", "click", "purchase")}
+    fused, _ = search.federate_answering(backends | {"error": down}, 20, "weighted", seconds=300)
+    return fused.select("id", F.round("score", 8).alias("score"), F.col("rank").cast("int").alias("rank"))
