@@ -12,7 +12,7 @@ from textquarry.operators import algorithms, catalog, chat, evaluation, recall,
 from textquarry.operators import graph_store as g
 from textquarry.plans import queries as base
 from textquarry.plans.queries import CHAINS_SQL, DLP_SQL, LISTS_SQL, NODES_SQL, NOW, SUPPLIES_SQL, TOKENS_SQL, chain_nodes, chains, lists, nodes, providers, query, read, supplies
-from textquarry.plans.rounds import shared_dir
+from textquarry.plans.rounds import folder
 from textquarry.sources import readers
 from textquarry.streaming import guard
 
@@ -236,9 +236,9 @@ def env_keys(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", text.is_env_key(name).alias("ok"))
 
 
-@query("SELECT doc_id, md5('x' || coalesce(left(text, 300), '') || 'y') AS decoded FROM documents")
+@query("SELECT doc_id, md5('x' || coalesce(text, '') || 'y') AS decoded FROM documents")
 def shell_round_trip(spark, sf_dir):
-    t = F.concat(F.lit("x"), F.coalesce(F.left("text", F.lit(300)), F.lit("")), F.lit("y"))
+    t = F.concat(F.lit("x"), F.coalesce("text", F.lit("")), F.lit("y"))
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(json_text.shell_decode(json_text.shell_encode(t))).alias("decoded"))
 
 
@@ -439,21 +439,21 @@ def tool_arguments(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders")
 def json_lines(spark, sf_dir):
-    path = f"{shared_dir(spark)}/orders-jsonl-{spark.sparkContext.applicationId}"
+    path = folder(spark, f"orders-jsonl-{uuid.uuid4().hex}")
     read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").write.mode("overwrite").json(path)
     return readers.jsonl(spark, path, "o_orderkey long, o_orderpriority string")
 
 
 @query("SELECT CAST(r_regionkey AS INTEGER) AS pos, r_name AS id, CAST((SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS INTEGER) AS models FROM region")
 def catalogue_round_trip(spark, sf_dir):
-    path = f"{shared_dir(spark)}/catalogue-{spark.sparkContext.applicationId}"
+    path = folder(spark, f"catalogue-{uuid.uuid4().hex}")
     readers.write_catalogue(providers(spark, sf_dir), path)
     return readers.catalogue(spark, path, lines=True).select("pos", "id", F.size("models").alias("models"))
 
 
 @query(f"WITH {NODES_SQL}, {SUPPLIES_SQL} SELECT 'edge' AS kind, id, weight FROM (SELECT id, round(weight, 6) AS weight FROM edges) UNION ALL SELECT 'node', id, importance FROM nodes")
 def copied_graph(spark, sf_dir):
-    path = f"{shared_dir(spark)}/graph-{spark.sparkContext.applicationId}"
+    path = folder(spark, f"graph-{uuid.uuid4().hex}")
     readers.copy_graph(nodes(spark, sf_dir), supplies(spark, sf_dir), path)
     n, e = readers.read_graph(spark, path)
     return e.select(F.lit("edge").alias("kind"), "id", F.round("weight", 6).alias("weight")).unionByName(n.select(F.lit("node").alias("kind"), "id", F.col("importance").alias("weight")))
@@ -468,7 +468,7 @@ def listed_models(spark, sf_dir):
 
 @query("SELECT n_name AS key, 'it''s ' || n_nationkey || ' \\$x' AS value FROM nation")
 def dotenv_values(spark, sf_dir):
-    path = f"{shared_dir(spark)}/env-{spark.sparkContext.applicationId}"
+    path = folder(spark, f"env-{uuid.uuid4().hex}")
     n = read(spark, sf_dir, "nation").select("n_name", F.concat(F.lit("it's "), F.col("n_nationkey").cast("string"), F.lit(" \\$x")).alias("v"))
     n.select(F.concat(F.lit("export "), "n_name", F.lit("="), json_text.shell_encode("v")).alias("value")).write.mode("overwrite").text(path)
     return readers.dotenv(spark, path)
@@ -476,14 +476,14 @@ def dotenv_values(spark, sf_dir):
 
 def _live(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     """A table as a stream of its files, which stand in a folder of their own."""
-    path, rows = f"{shared_dir(spark)}/live-{name}-{uuid.uuid4().hex}", read(spark, sf_dir, name).select(columns)
+    path, rows = folder(spark, f"live-{name}-{uuid.uuid4().hex}"), read(spark, sf_dir, name).select(columns)
     rows.write.parquet(path)
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
 def _streamed(spark: SparkSession, stream: DataFrame, what: str) -> DataFrame:
     """All that a stream gives for what is there now, as a table in the shared folder."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = folder(spark, f"{what}-{uuid.uuid4().hex}")
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
