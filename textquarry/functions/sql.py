@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from textquarry.functions import chunk, dlp, json_text, text
+from textquarry.functions import chunk, dlp, json_text, tables, text
 
 
 def register(spark: SparkSession) -> None:
     """dlp_scan, redact_findings, apply_redactions, extract_json, shell_decode, shell_encode, the tables chunk_table(text, most,
-    overlap) and dlp_findings(text), and, as SQL functions that the optimiser sees through, those of one text in NATIVE."""
+    overlap) and dlp_findings(text), those over table arguments reserve, accept and chunk_rows, and, as SQL functions that the optimiser sees through, those of one text in NATIVE."""
     spark.udf.register("dlp_scan", dlp.scan)
     spark.udf.register("redact_findings", dlp.redact_findings)
     spark.udf.register("apply_redactions", dlp.apply_redactions)
@@ -18,6 +18,9 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("shell_encode", json_text.shell_encode)
     spark.udtf.register("chunk_table", chunk.ChunkTable)
     spark.udtf.register("dlp_findings", dlp.FindingTable)
+    spark.udtf.register("reserve", tables.Reserve)
+    spark.udtf.register("accept", tables.Accept)
+    spark.udtf.register("chunk_rows", tables.ChunkRows)
     for name, (kind, body) in NATIVE.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {kind} RETURN {body}")
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textquarry.functions import sql
 from textquarry.operators import graph_store as g
 from textquarry.operators.phrase_index import PhraseIndex
 from textquarry.operators import search, vectors
@@ -14,7 +15,7 @@ from textquarry.operators.snapshot import Snapshot
 from textquarry.operators.vector_index import CellIndex, Quantised
 from textquarry.plans.more_queries import _HAND_OVERS, hand_overs
 from textquarry.streaming import guard, stateful
-from textquarry.plans.queries import _COS, _NORM, LISTS_SQL, NODES_SQL, SUPPLIES_SQL, _bm25_sql, converged_sql, lists, nodes, query, read, supplies
+from textquarry.plans.queries import ORACLES, _COS, _NORM, LISTS_SQL, NODES_SQL, SUPPLIES_SQL, _bm25_sql, converged_sql, lists, nodes, query, read, supplies
 from textquarry.plans.rounds import cut, folder
 from textquarry.sources.graph_tables import GraphTables
 
@@ -209,3 +210,25 @@ def federated_answering(spark, sf_dir):
     backends = {t: (lambda t=t: ranked.filter(F.col("list_id") == t).select("query_id", "id", "score")) for t in ("view", "click", "purchase")}
     fused, _ = search.federate_answering(backends | {"error": down}, 20, "weighted", seconds=300)
     return fused.select("id", F.round("score", 8).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def _view(spark, df, what: str) -> str:
+    name = f"{what}_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
+@query(ORACLES["reserved_tokens"])
+def reserved_in_sql(spark, sf_dir):
+    """reserved_tokens() as SQL text."""
+    sql.register(spark)
+    asked = _view(spark, read(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey", "o_orderkey % 500 - 60 AS n"), "asked")
+    return spark.sql(f"SELECT o_orderkey, granted, remaining FROM reserve(TABLE({asked}) PARTITION BY o_custkey ORDER BY (o_orderkey), 800, 'n')")
+
+
+@query(ORACLES["accepted_messages"])
+def accepted_in_sql(spark, sf_dir):
+    """accepted_messages() as SQL text."""
+    sql.register(spark)
+    said = _view(spark, read(spark, sf_dir, "conversations"), "said")
+    return spark.sql(f"SELECT conv_id, turn, role, accepted FROM accept(TABLE({said}) PARTITION BY conv_id ORDER BY (turn, role, text))")
