@@ -325,3 +325,8 @@ def test_chat_folds_gather_no_conversation(spark):
     for df in (accepted, truncated):
         plan = df._jdf.queryExecution().toString()
         assert "FlatMapGroupsInPandas" not in plan and "collect_list" not in plan
+
+
+def test_items_that_end_with_digits_keep_them(spark):
+    rows = spark.createDataFrame([("a0, b1 ,2c2,,3",), ("",)], "t string")
+    assert [r.x for r in rows.select(g.split_list("t").alias("x")).collect()] == [["a0", "b1", "2c2", "3"], []]

@@ -30,7 +30,7 @@ class Direction(Enum):
 
 def split_list(text: Column | str) -> Column:
     """'a, b,,c' as ['a', 'b', 'c']."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def join_list(items: Column | str) -> Column:

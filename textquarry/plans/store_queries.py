@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from textquarry.plans.more_queries import _HAND_OVERS, hand_overs
 from textquarry.streaming import guard, stateful
 from textquarry.plans.queries import ORACLES, _COS, _NORM, LISTS_SQL, NODES_SQL, SUPPLIES_SQL, _bm25_sql, converged_sql, lists, nodes, query, read, supplies
 from textquarry.plans.rounds import cut, folder
+from textquarry.sources import sqlite
 from textquarry.sources.graph_tables import GraphTables
 
 
@@ -232,3 +235,17 @@ def accepted_in_sql(spark, sf_dir):
     sql.register(spark)
     said = _view(spark, read(spark, sf_dir, "conversations"), "said")
     return spark.sql(f"SELECT conv_id, turn, role, accepted FROM accept(TABLE({said}) PARTITION BY conv_id ORDER BY (turn, role, text))")
+
+
+@query(f"WITH {NODES_SQL}, {SUPPLIES_SQL} SELECT 'node' AS kind, id, tags[1] AS extra, importance AS weight FROM nodes UNION ALL SELECT 'edge', id, relation, round(weight, 6) FROM edges WHERE source = 's1' OR weight > 0.9")
+def sqlite_graph(spark, sf_dir):
+    """A graph copied to a SQLite file and read again, edges by a filter. The shared folder has to be mounted as a disk for that."""
+    at = urlparse(_anew(spark, "sqlite"))
+    if at.scheme not in ("", "file"):
+        raise ValueError("SQLite needs a shared folder that is mounted as a disk")
+    os.makedirs(at.path)
+    path = f"{at.path}/graph.db"
+    sqlite.copy_graph_to(nodes(spark, sf_dir), supplies(spark, sf_dir), path)
+    n, e = sqlite.copy_graph_from(spark, path)
+    some = e.filter("source = 's1' OR weight > 0.9").select(F.lit("edge").alias("kind"), "id", F.col("relation").alias("extra"), F.round("weight", 6).alias("weight"))
+    return n.select(F.lit("node").alias("kind"), "id", F.get("tags", F.lit(0)).alias("extra"), F.col("importance").alias("weight")).unionByName(some)
