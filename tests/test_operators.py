@@ -257,6 +257,10 @@ def test_catalog(spark):
     assert catalog.with_discovered(p, spark.createDataFrame([], "provider string, pos int, id string, name string")).count() == 3
     b = spark.createDataFrame([(0, 2, 1.0, 1.0), (1, 1, None, 1.0), (2, 1, 0.1, 0.1)], "pos int, priority int, input double, output double")
     assert [r.pos for r in catalog.route(b).collect()] == [1, 2, 0] and [r.pos for r in catalog.route(b, "lowest_cost").collect()] == [2, 0, 1]
+    both = b.withColumn("at", F.lit("x")).unionByName(b.withColumn("at", F.lit(None).cast("string")))
+    assert sorted((r.at or "", r.nth, r.pos) for r in catalog.trials(both, ["at"], "lowest_cost").collect()) == [(x, i + 1, p) for x in ("", "x") for i, p in enumerate((2, 0, 1))]
+    with pytest.raises(ValueError):
+        catalog.trials(b, [], "dearest")
     t = spark.createDataFrame([("rate_limited", 0, 500), ("server", 9, None), ("client", 1, None)], "k string, n int, after int").select(catalog.retry_bounds(F.col("k"), F.col("n"), F.col("after")).alias("b")).collect()
     assert [tuple(r.b) if r.b else None for r in t] == [(300.0, 300.0), (16.0, 48.0), None]
     assert [r[0] for r in spark.createDataFrame([(400,), (408,), (429,), (500,)], "s int").select(catalog.is_permanent(F.col("s"))).collect()] == [True, False, False, False]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COST = "struct<input:double,output:double,cache_read:double,cache_write:double>"
@@ -150,11 +150,21 @@ def capabilities(providers: DataFrame) -> DataFrame:
     )
 
 
+def _trial(strategy: str) -> Column:
+    if strategy not in ("fallback", "lowest_cost"):
+        raise ValueError(strategy)
+    mean = (F.col("input") + F.col("output")) / 2
+    return F.col("priority") if strategy == "fallback" else F.when(mean.isNull() | F.isnan(mean), float("inf")).otherwise(mean)
+
+
 def route(backends: DataFrame, strategy: str = "fallback") -> DataFrame:
     """Backends in the order of trial: by priority, or by mean price with unknown prices last; ties in given order (pos)."""
-    mean = (F.col("input") + F.col("output")) / 2
-    rank = F.col("priority") if strategy == "fallback" else F.when(mean.isNull() | F.isnan(mean), float("inf")).otherwise(mean)
-    return backends.orderBy(rank, "pos")
+    return backends.orderBy(_trial(strategy), "pos")
+
+
+def trials(backends: DataFrame, by: list[str], strategy: str = "fallback") -> DataFrame:
+    """route() within each group of the columns `by`, as a column `nth` (from 1)."""
+    return backends.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(_trial(strategy), "pos")))
 
 
 def is_permanent(status: Column) -> Column:

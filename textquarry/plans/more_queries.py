@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textquarry.functions import chunk, dlp, json_text, text, vector
 from textquarry.operators import algorithms, catalog, chat, evaluation, recall, search, traversal, vectors
 from textquarry.operators import graph_store as g
+from textquarry.operators.graph import Graph
 from textquarry.plans import queries as base
 from textquarry.plans.queries import CHAINS_SQL, DLP_SQL, LISTS_SQL, NODES_SQL, NOW, SUPPLIES_SQL, TOKENS_SQL, chain_nodes, chains, lists, nodes, providers, query, read, supplies
 from textquarry.plans.rounds import folder
@@ -145,6 +146,18 @@ def recall_ungated(spark, sf_dir):
     return recall.candidates(nodes(spark, sf_dir), o, NOW).select("id", F.round("score", 6).alias("score"))
 
 
+_SESSION = f"""WITH {NODES_SQL}, kept AS (SELECT * FROM nodes WHERE id NOT IN ('0', '39')),
+  best AS (SELECT id FROM (SELECT * FROM kept WHERE NOT list_contains(tags, 'stale') ORDER BY importance DESC, updated DESC, id LIMIT 200) ORDER BY {base._RECALL} DESC, id LIMIT 50)"""
+
+
+@query(f"{_SESSION} SELECT id, access_count + (id IN (SELECT id FROM best))::INT AS access_count, CASE WHEN id IN (SELECT id FROM best) THEN '{NOW}' ELSE '' END AS accessed_at FROM kept")
+def recalled_and_touched(spark, sf_dir):
+    """A session with a graph as one value: two nodes go, a recall reads, and what it found counts as read in the graph after it."""
+    whole = Graph(nodes(spark, sf_dir), supplies(spark, sf_dir)).delete(["0", "39"])
+    _, after = whole.recall(recall.RecallOptions(limit=50), NOW)
+    return after.nodes.select("id", "access_count", "accessed_at")
+
+
 # traversal and algorithms
 
 
@@ -312,15 +325,19 @@ def found_models(spark, sf_dir):
     return catalog.find_model(providers(spark, sf_dir), ids).select("id", "provider", "name", F.col("limit.context").alias("context"))
 
 
-@query("SELECT * FROM (VALUES ('openai', 'exact', 'openai'), ('gemini', 'aliased', 'google'), ('zai-cn', 'aliased', 'zai'), ('kimi', 'aliased', 'kimi-for-coding'), ('elsewhere', 'manual', NULL)) t(id, kind, upstream)")
+_ASKED = ["openai", "gemini", "zai-cn", "kimi"]
+_pick = lambda names, c: "CASE " + " ".join(f"WHEN {c} = {i} THEN '{n}'" for i, n in enumerate(names) if n) + " END"
+
+
+@query(f"SELECT user_id, id, kind, upstream, count(*) AS calls FROM (SELECT user_id, coalesce({_pick(_ASKED, 'event_id % 5')}, event_type) AS id FROM events) JOIN (VALUES ('openai', 'exact', 'openai'), ('gemini', 'aliased', 'google'), ('zai-cn', 'aliased', 'zai'), ('kimi', 'aliased', 'kimi-for-coding'), (NULL, 'manual', NULL)) t(known, kind, upstream) ON coalesce(known, '') = CASE WHEN id IN ('openai', 'gemini', 'zai-cn', 'kimi') THEN id ELSE '' END GROUP BY ALL")
 def resolved_providers(spark, sf_dir):
-    ids = spark.createDataFrame([(x,) for x in ("openai", "gemini", "zai-cn", "kimi", "elsewhere")], "id string")
-    return ids.select("id", catalog.resolve(F.col("id")).alias("m")).select("id", "m.*")
+    """Calls of each user by the upstream that their provider's name leads to; event types are providers that nobody knows."""
+    calls = read(spark, sf_dir, "events").select("user_id", F.coalesce(F.expr(_pick(_ASKED, "event_id % 5")), F.col("event_type")).alias("id"))
+    return calls.select("user_id", "id", catalog.resolve(F.col("id")).alias("m")).groupBy("user_id", "id", "m.kind", "m.upstream").agg(F.count("*").alias("calls"))
 
 
 _NAMES = ["openai", "gemini", "kimi", "elsewhere", "deepseek"]
 _UPSTREAM = ["openai", "google", "kimi-for-coding", None, "deepseek"]
-_pick = lambda names, c: "CASE " + " ".join(f"WHEN {c} = {i} THEN '{n}'" for i, n in enumerate(names) if n) + " END"
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,12 +388,24 @@ def discovered_models(spark, sf_dir):
     return catalog.models(found).select("provider", "id", (F.col("name") == "again").alias("replaced"))
 
 
-@query("SELECT n_name AS backend, CAST(row_number() OVER (ORDER BY CASE WHEN n_nationkey % 6 = 5 THEN 'infinity'::DOUBLE ELSE (n_nationkey % 7 + n_nationkey % 3) / 2 END, n_nationkey) AS INTEGER) AS nth FROM nation")
+_COSTS = "CASE WHEN ps % 6 = 5 THEN 'infinity'::DOUBLE ELSE (ps % 7 + ps % 3) / 2 END"
+_BACKENDS = "FROM (SELECT s_nationkey AS nation, s_suppkey AS ps FROM supplier)"
+
+
+def _backends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are the backends of their nation; some have no price."""
+    k = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), k.alias("pos"), (k % 5).alias("priority"), F.when(k % 6 != 5, (k % 7).cast("double")).alias("input"), (k % 3).cast("double").alias("output"))
+
+
+@query(f"SELECT nation, ps AS backend, CAST(row_number() OVER (PARTITION BY nation ORDER BY {_COSTS}, ps) AS INTEGER) AS nth {_BACKENDS}")
 def routed_backends(spark, sf_dir):
-    k = F.col("n_nationkey")
-    b = read(spark, sf_dir, "nation").select(F.col("n_name").alias("backend"), k.alias("pos"), (k % 5).alias("priority"), F.when(k % 6 != 5, (k % 7).cast("double")).alias("input"), (k % 3).cast("double").alias("output"))
-    order = catalog.route(b, "lowest_cost").select("backend").collect()  # a catalogue's backends
-    return spark.createDataFrame([(r.backend, i + 1) for i, r in enumerate(order)], "backend string, nth int")
+    return catalog.trials(_backends(spark, sf_dir), ["nation"], "lowest_cost").select("nation", F.col("pos").alias("backend"), "nth")
+
+
+@query(f"SELECT nation, ps AS backend, CAST(row_number() OVER (PARTITION BY nation ORDER BY ps % 5, ps) AS INTEGER) AS nth {_BACKENDS}")
+def fallback_backends(spark, sf_dir):
+    return catalog.trials(_backends(spark, sf_dir), ["nation"]).select("nation", F.col("pos").alias("backend"), "nth")
 
 
 @query("SELECT event_id, s BETWEEN 400 AND 499 AND s NOT IN (408, 429) AS permanent, CASE WHEN s >= 500 OR s = 429 THEN greatest(CASE WHEN s = 429 THEN least(user_id, 300) ELSE 0 END, least(0.5::DOUBLE * pow(2, least(event_id % 9, 6)), 60) * 0.5::DOUBLE) END AS low FROM (SELECT event_id, user_id, 400 + event_id % 150 AS s FROM events)")
