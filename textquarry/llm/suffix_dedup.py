@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.column_bwt import ColumnBWT
 from textquarry.llm.common import bit_table, drop, may_hold, save
+from textquarry.plans.rounds import folder
 
 SEED_BYTES = 32
 #: A key (at first, an anchor) with more distinct strings than this is dealt out by longer contexts: by what all windows have in
@@ -177,10 +179,10 @@ def _key() -> Column:
     return F.col("g").bitwiseXOR(F.col("start")).bitwiseXOR(F.shiftleft("doc_id", 20))
 
 
-def repeated_windows(strings: list[bytes], firsts: list[tuple[int, int]], length: int) -> list[np.ndarray]:
+def repeated_windows(strings: list[bytes], firsts: list[tuple[int, int]], length: int, folder: str) -> list[np.ndarray]:
     """For each string the window offsets at which a window that equals it starts earlier than the string's first
     occurrence does. Suffixes in sorted order fall into classes of equal windows where the LCP drops below `length`."""
-    built = ColumnBWT(strings, most=length)
+    built = ColumnBWT(strings, folder, most=length)
     doc, start = built.suffixes()
     whole = built.lengths[doc] - start >= length
     doc, start = doc[whole], start[whole]
@@ -243,7 +245,9 @@ def _judge(strings: DataFrame, length: int) -> DataFrame:
 
     All strings of an anchor are in one partition and stand together; a task takes them in collections of COLLECTION
     strings, cut between anchors, so memory is bounded by that and by HOT_STRINGS. Of several collections' anchors those
-    with strings of like length go together: a collection takes as many rounds as its longest string has bytes."""
+    with strings of like length go together: a collection takes as many rounds as its longest string has bytes. Its files stand in
+    the shared folder while it is built; what a lost task leaves is deleted when the driver ends."""
+    files = folder(strings.sparkSession, f"transforms-{uuid.uuid4().hex}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[list[tuple[tuple, int, bytes]]] = []
@@ -251,7 +255,7 @@ def _judge(strings: DataFrame, length: int) -> DataFrame:
         group: dict[int, tuple] = {}
 
         def judged(held: list[tuple[tuple, int, bytes]]) -> pa.RecordBatch:
-            found = repeated_windows([x for _, _, x in held], [(r[2], r[3] + a) for r, a, _ in held], length)
+            found = repeated_windows([x for _, _, x in held], [(r[2], r[3] + a) for r, a, _ in held], length, files)
             some = [(r, a + x) for (r, a, _), x in zip(held, found, strict=True) if len(x)]
             return pa.RecordBatch.from_arrays(
                 [
@@ -341,7 +345,8 @@ def _level(docs: DataFrame, tables: list[np.ndarray], near: np.ndarray | None, l
     own = F.when(again, F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n")))).otherwise(F.col("runs"))
     cool = runs.join(told, ["anchor", "g"]).select("doc_id", "start", F.inline(own)).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n")
     found = save(cool, "found")
-    table = bit_table(hot, "anchor") if hot.head(1) else None
+    keys = hot.count()
+    table = bit_table(hot, "anchor", keys) if keys else None
     drop(strings, several, runs, told, *([judged] if judged is not None else []))
     return found, table
 
