@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from textquarry.functions import text as T
+from textquarry.plans.rounds import numbered
 
 _CLASSES = [re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), c) + "]") for c in (T.WHITE, T.CONTROL, T.ONE, T.ONE_AND_HALF, T.TWO)]
 _WHITE = "".join(chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -134,16 +135,9 @@ def reserve(requests: DataFrame, total: int, key: str = "budget", order: str = "
 
 
 def chunk_batch(df: DataFrame, size: int, order: str) -> DataFrame:
-    """Add `batch`: the number of the group of `size` rows in `order`. Ordered numbering of a whole table by ranges, so no
-    single task sees all rows."""
+    """Add `batch`: the number of the group of `size` rows in `order`. Rows are numbered by ranges, so no single task sees all of
+    them; the ranges are laid down before they are counted, as Spark draws other bounds whenever it deals rows to ranges anew."""
     if size < 1:
         raise ValueError("batch size must be positive")
-    spread = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    numbered = spread.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    counts = numbered.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()  # a row for each partition
-    start, starts = 0, {}
-    for r in counts:
-        starts[r["_p"]] = start
-        start += r.n
-    base = F.create_map(*(F.lit(x) for kv in (starts or {0: 0}).items() for x in kv))
-    return numbered.withColumn("batch", F.floor((F.element_at(base, F.col("_p")) + F.col("_i")) / size).cast("long")).drop("_p", "_i")
+    placed = numbered(df, [order], "_place")
+    return placed.withColumn("batch", F.floor(F.col("_place") / size).cast("long")).drop("_place")
