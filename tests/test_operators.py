@@ -168,6 +168,22 @@ def test_links_of_hubs_in_parts(spark, monkeypatch):
     assert [tuple(r) for r in algorithms.link_prediction(star, 1000).collect()] == want and len(want) == 30 * 29 // 2 - 1
 
 
+@pytest.mark.parametrize("hub_rows, pairs", [(16_000_000, 1_000_000), (300, 40), (300, 3)])
+def test_links_between_blocks_that_are_summed_in_parts(spark, monkeypatch, hub_rows, pairs):
+    monkeypatch.setattr(algorithms, "HUB_ROWS", hub_rows)
+    monkeypatch.setattr(algorithms, "PAIRS", pairs)
+    ends = {(f"n{i * i % 47}", f"n{i * 31 % 53}") for i in range(400)} | {("n1", f"x{i}") for i in range(40)}
+    near = {}
+    for a, b in ends:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    score = {(a, b): sum(1 / math.log(len(near[z])) for z in near[a] & near[b]) for a in near for b in near if a < b and b not in near[a] and near[a] & near[b]}
+    want = sorted(score, key=lambda p: (-round(score[p], 9), p))[:30]
+    got = algorithms.link_prediction(edge_table(spark, [(a, b, "r", 1.0) for a, b in sorted(ends)]), 30).collect()
+    assert [(r.a, r.b) for r in got] == want and [r.score for r in got] == pytest.approx([score[p] for p in want])
+
+
 def test_graph_and_touch(spark):
     from textquarry.operators.graph import Graph
 
