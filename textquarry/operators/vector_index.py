@@ -45,7 +45,7 @@ def _unit(vectors: DataFrame, id_: str, vector: str, dim: int | None = None, as_
 
 def _sampled(units: DataFrame) -> np.ndarray:
     rows = units.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().column("v").to_pylist()
-    return np.array([np.frombuffer(r, "<f8") for r in rows])
+    return np.array([np.frombuffer(r, "<f8") for r in rows]) if rows else np.zeros((0, 0))
 
 
 def _centroids(sample: np.ndarray, m: int, rounds: int = 8) -> np.ndarray:
@@ -200,9 +200,9 @@ class Quantised:
         sample = _sampled(_unit(vectors, id_, vector).filter(F.octet_length("v") == F.lit(cls._length(vectors, id_, vector))))
         n = 1 << bits
         levels = np.quantile(sample, (np.arange(n) + 0.5) / n, axis=0).T if len(sample) else np.zeros((1, n))
-        for _ in range(10):
+        for _ in range(10 if len(sample) else 0):
             near = np.abs(sample[:, :, None] - levels[None]).argmin(2) if sample.size * n < 5e8 else np.stack([np.searchsorted((w[1:] + w[:-1]) / 2, c) for w, c in zip(levels, sample.T, strict=True)], 1)
-            for j in range(len(levels) if len(sample) else 0):
+            for j in range(len(levels)):
                 sums, got = np.bincount(near[:, j], sample[:, j], n), np.bincount(near[:, j], minlength=n)
                 levels[j] = np.sort(np.where(got > 0, sums / np.maximum(got, 1), levels[j]))
         made = cls(vectors.sparkSession.createDataFrame([], f"id {dict(vectors.dtypes)[id_]}, code binary"), levels, bits)
