@@ -79,3 +79,22 @@ def test_codes_follow_added_and_removed_rows(spark):
     with pytest.raises(ValueError):
         X.Quantised.build(df, 3)
     assert X.Quantised.build(df.limit(0)).search(df, ask, 3).count() == 0
+
+
+@pytest.mark.parametrize("groups,step,k", [(8, 1_000, 2), (2, 50, 7)])
+def test_visits_are_no_rows_where_vectors_have_no_structure(spark, tmp_path, monkeypatch, groups, step, k):
+    kept = {}
+    cut = X.cut
+    monkeypatch.setattr(X, "cut", lambda df, what: kept.setdefault((what, len(kept)), cut(df, what)))
+    monkeypatch.setattr(X, "drop", lambda *tables: None)
+    monkeypatch.setattr(X, "GROUPS", groups)
+    monkeypatch.setattr(X, "STEP", step)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=9).tolist()) for i in range(700)]
+    rows += [(700 + i, rows[5][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    index = X.CellIndex.build(df, str(tmp_path / "index"), cells=60)
+    kept.clear()
+    got = index.knn(df.withColumnRenamed("id", "query_id"), k, skip_self=True)
+    assert sorted((r.query_id, r.id, r["rank"], pytest.approx(r.score, abs=1e-8)) for r in got.collect()) == [(q, i, n, s) for q, i, n, s in brute(rows, rows, k, True)]
+    assert max(t.count() for t in kept.values()) <= max(4, k + 1) * len(rows)  # was a row for each of the cells that a query visits

@@ -20,6 +20,9 @@ from textquarry.plans.rounds import cut, drop
 SAMPLE, MOST_CELLS = 20_000, 4_096
 #: Vectors in a block and queries in a pack: what a task multiplies at a time.
 BLOCK, PACK = 2_000, 500
+#: Queries go to so many groups and vectors to so many slices, to more where one would have more than MEETING rows: each two meet in a task,
+#: so either table is shuffled so many times. STEP queries are compared at a time.
+GROUPS, MEETING, STEP = 8, 128_000, 1_000
 
 
 def _unit(vectors: DataFrame, id_: str, vector: str, dim: int | None = None, as_: str = "id") -> DataFrame:
@@ -59,6 +62,76 @@ def _centroids(sample: np.ndarray, m: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+
+
+def _away(x: np.ndarray, centroids: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The least distance from each row that a vector of each cell can have."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(1), 0)) - radius - 1e-7
+
+
+def _may_hold(away: np.ndarray, kth: np.ndarray, seen: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which cells can hold a vector nearer than the k-th so far, and were not seen."""
+    reach = np.where(np.isnan(kth), np.inf, np.sqrt(np.maximum(2 - 2 * kth, 0)) + 1e-7)
+    may = away <= reach[:, None]
+    for s in seen.T:
+        may &= names[None] != s[:, None]
+    return may
+
+
+def _nearest(asks: pa.Table, blocks: pa.Table, cells: tuple, k: int) -> pa.Table:
+    """The k nearest of each of `asks` in `blocks`. Scores are looked through with single precision; what may count is taken exactly."""
+    centroids, radius, names = cells
+    out: list[tuple] = []
+    rows = pa.concat_arrays(blocks.column("rows").chunks) if blocks.num_rows and asks.num_rows else None
+    if rows is not None:
+        flat = rows.flatten()
+        ids, dim = flat.field("id"), centroids.shape[1]
+        begin = np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy())])
+        nth = np.empty(len(ids), np.int64)
+        nth[ids.to_pandas().argsort(kind="stable").to_numpy()] = np.arange(len(ids))  # ties go by id
+        order = np.lexsort((nth, np.repeat(np.arange(len(rows)), np.diff(begin))))  # within each block
+        v, nth, at = _matrix(flat.field("v"), dim)[order], nth[order], np.searchsorted(names, blocks.column("cell").to_numpy())
+        small, some = v.astype(np.float32), np.unique(at)
+        place = np.searchsorted(some, at)
+        q, kth, seen = _matrix(asks.column("v"), dim), asks.column("kth").to_numpy().astype(float), np.stack(asks.column("seen").to_numpy())
+        for lo in range(0, len(q), STEP):
+            x = q[lo : lo + STEP]
+            may = _may_hold(_away(x, centroids[some], radius[some]), kth[lo : lo + STEP], seen[lo : lo + STEP], names[some])
+            bar, low = np.nan_to_num(kth[lo : lo + STEP], nan=-np.inf), x.astype(np.float32)
+            held = new = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for b in range(len(rows)):
+                who, mine = np.flatnonzero(may[:, place[b]]), slice(begin[b], begin[b + 1])
+                if not len(who):
+                    continue
+                row, col = np.nonzero(low[who] @ small[mine].T >= (bar[who] - 1e-5)[:, None])
+                if len(row) > 50_000:  # many: the best of each query in the block
+                    s = np.round(x[who] @ v[mine].T, 12)
+                    col = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    row = np.repeat(np.arange(len(who)), col.shape[1])
+                    score, col = np.take_along_axis(s, col, 1).ravel(), col.ravel()
+                else:
+                    score = np.round(np.einsum("ij,ij->i", x[who[row]], v[begin[b] + col]), 12)
+                keep = score >= bar[who[row]]
+                new = tuple(np.concatenate([h, n]) for h, n in zip(new, (who[row[keep]], begin[b] + col[keep], score[keep]), strict=True))
+                if len(new[0]) > 20 * STEP or b == len(rows) - 1 or np.isneginf(bar[who]).any():
+                    held = tuple(np.concatenate(h) for h in zip(held, new, strict=True))
+                    new = tuple(h[:0] for h in new)
+                    by = np.lexsort((nth[held[1]], -held[2], held[0]))
+                    held = tuple(h[by] for h in held)
+                    place_of = np.arange(len(by)) - np.searchsorted(held[0], held[0])
+                    last = place_of == k - 1
+                    bar[held[0][last]] = np.maximum(bar[held[0][last]], held[2][last])
+                    held = tuple(h[place_of < k] for h in held)
+            held = tuple(np.concatenate(h) for h in zip(held, new, strict=True))
+            out.append((lo + held[0], held[1], held[2]))
+    if not out:
+        return pa.table({"query_id": asks.column("query_id").slice(0, 0), "id": pa.array([], blocks.schema.field("rows").type.value_type.field("id").type), "score": pa.array([], pa.float64())})
+    row, col, score = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.table({"query_id": asks.column("query_id").take(pa.array(row)), "id": ids.take(pa.array(order[col])), "score": score})
+
+
 @dataclass
 class CellIndex:
     """blocks: (cell, block, ids, matrix), at most about BLOCK vectors of a cell in each. cells: (cell, centroid, radius, blocks)."""
@@ -110,56 +183,54 @@ class CellIndex:
     def knn(self, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "vector", probe: int = 4, skip_self: bool = False) -> DataFrame:
         """(query_id, id, score, rank): the k nearest vectors of every row of `queries` by cosine to 12 decimals, ties by id.
 
-        A query visits cells in the order of the least distance that one of their vectors can have, `probe` of them first and
-        twice as many in each round, until the next cell can't hold one that is nearer than its k-th. Queries and vectors meet in
-        packs and blocks; neither table is broadcast, and a cell with any share of the rows is spread over its blocks.
-        skip_self: hits with the query's own id are left out. One row for each query id."""
+        A query visits the `probe` cells first that may hold the nearest vectors, and then all others that can hold one nearer than
+        its k-th. These are many where vectors have little structure, so for them no visit is a row: groups of queries meet slices of
+        blocks in tasks, which leave out the cells that a query need not see. Neither table is broadcast, and a cell with any share
+        of the rows is spread over its blocks. skip_self: hits with the query's own id are left out. One row for each query id."""
         spark, want = queries.sparkSession, k + skip_self
         cells = sorted(self.cells.collect(), key=lambda r: r.cell)  # MOST_CELLS at most
         kind = dict(queries.dtypes)[query_id]
-        empty = spark.createDataFrame([], f"query_id {kind}, id {self.id_type}, score double, rank int")
         if not cells:
-            return empty
-        dim = len(cells[0].centroid) // 8
+            return spark.createDataFrame([], f"query_id {kind}, id {self.id_type}, score double, rank int")
+        dim, slices = len(cells[0].centroid) // 8, max(GROUPS, -(-sum(r.blocks for r in cells) * BLOCK // MEETING))
         told = spark.sparkContext.broadcast((np.array([np.frombuffer(r.centroid, "<f8") for r in cells]), np.array([r.radius for r in cells]), np.array([r.cell for r in cells])))
-        units = cut(_unit(queries, query_id, vector, dim, "query_id"), "queries")
+        holds = np.zeros((len(cells), slices), bool)
+        for at, r in enumerate(cells):
+            holds[at, (r.cell + np.arange(min(r.blocks, slices))) % slices] = True
         ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        best, seen, step = None, 0, probe
 
-        def visits(first: int, n: int):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                c, radius, names = told.value
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<f8").reshape(b.num_rows, -1)
-                    away = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)) - radius - 1e-7
-                    order = np.argsort(away, axis=1, kind="stable")[:, first : first + n]
-                    score = b.column(2).to_numpy(zero_copy_only=False)
-                    reach = np.where(np.isnan(score), np.inf, np.sqrt(np.maximum(2 - 2 * score, 0)) + 1e-7)
-                    row, at = np.nonzero(np.take_along_axis(away, order, 1) <= reach[:, None])
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(names[order[row, at]])], ["query_id", "v", "cell"])
-
-            return run
-
-        while seen < len(cells):
-            if best is None:
-                asked = units.withColumn("kth", F.lit(None).cast("double"))
-            else:
-                asked = units.hint("merge").join(best.filter(F.col("rank") == want).select("query_id", F.col("score").alias("kth")), "query_id", "left").select("query_id", "v", "kth")
-            told_n = Observation()
-            rows = cut(asked.mapInArrow(visits(seen, step), f"query_id {kind}, v binary, cell long").observe(told_n, F.count("*").alias("n")), "visits")
-            seen, step = seen + step, 2 * step
-            if told_n.get["n"] == 0:
-                drop(rows)
-                break
-            hits = self._met(rows, want, kind)
-            every = hits if best is None else hits.unionByName(best.drop("rank"))
-            held, best = best, cut(every.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= want), "best")
-            drop(held, rows)
-        drop(units)
-        if best is None:
-            return empty
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, radius, names = told.value
+            for b in batches:
+                if b.num_rows:
+                    order = np.argsort(_away(_matrix(b.column(1), dim), c, radius), axis=1, kind="stable")[:, :probe]
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(names[order]), pa.list_(pa.int64()))], ["query_id", "v", "seen"])
+
+        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, radius, names = told.value
+            for b in batches:
+                if b.num_rows:
+                    may = _may_hold(_away(_matrix(b.column(1), dim), c, radius), b.column(3).to_numpy(zero_copy_only=False), np.stack(b.column(2).to_numpy(zero_copy_only=False)), names)
+                    where = may.astype(np.float32) @ holds.astype(np.float32) > 0
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array([np.flatnonzero(w) for w in where], pa.list_(pa.int64()))], ["query_id", "v", "seen", "kth", "slices"])
+
+        units = cut(_unit(queries, query_id, vector, dim, "query_id").mapInArrow(first, f"query_id {kind}, v binary, seen array<long>"), "queries")
+        hits = self._met(units.select("query_id", "v", F.explode("seen").alias("cell")), want, kind)
+        best = cut(hits.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= want), "best")
+        kth = best.filter(F.col("rank") == want).select("query_id", F.col("score").alias("kth"))
+        asked = units.hint("merge").join(kth, "query_id", "left").select("query_id", "v", "seen", "kth")
+        told_n = Observation()
+        asked = cut(asked.mapInArrow(rest, f"query_id {kind}, v binary, seen array<long>, kth double, slices array<long>").filter(F.size("slices") > 0).observe(told_n, F.count("*").alias("n")), "asked")
+        n = told_n.get["n"]
+        if n:
+            groups = max(-(-n // MEETING), min(GROUPS, -(-n // PACK)))
+            deal = lambda df, c: df.groupBy("group", c)
+            asks = asked.select("query_id", "v", "seen", "kth", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group"), F.explode("slices").alias("slice"))
+            rows = self.blocks.withColumn("slice", F.pmod(F.col("cell") + F.col("block"), F.lit(slices))).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+            met = deal(asks, "slice").cogroup(deal(rows, "slice")).applyInArrow(lambda x, y: _nearest(x, y, told.value, want), f"query_id {kind}, id {self.id_type}, score double")
+            held, best = best, cut(best.drop("rank").unionByName(met).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= want), "best")
+            drop(held)
+        drop(units, asked)
         return best.filter("id <> query_id").withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k) if skip_self else best
 
     def _met(self, rows: DataFrame, k: int, kind: str) -> DataFrame:
