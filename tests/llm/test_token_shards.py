@@ -55,3 +55,14 @@ def test_query_holds_each_document_once(spark):
     rows = QUERIES["op10_feistel_shards"](spark, dir_).collect()
     texts = [r.text for r in spark.read.parquet(f"{dir_}/documents.parquet").select("text").collect()]
     assert sum(r.n_tokens for r in rows) == sum(len(encoder(JSON, None)(t or "")) + 1 for t in texts)
+
+
+def test_stored_sequences_are_smaller_by_a_learned_dictionary(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = S.learned(df, JSON, RANKS, 2048)
+    size = lambda w: S.sequences(df, JSON, RANKS, 2048, w).selectExpr("sum(octet_length(payload))").first()[0]
+    assert size(words) < 0.85 * size(b"")
+    a, b = (S.sequences(df, JSON, RANKS, 2048, w).orderBy("part", "nth").collect() for w in (words, b""))
+    large = zstandard.ZstdDecompressor(dict_data=S._known(words)).decompress
+    assert [large(r.payload) for r in a] == [zstandard.decompress(r.payload) for r in b]
+    assert S.learned(df.limit(0), JSON, RANKS, 2048) == S.learned(df.limit(3), JSON, RANKS, 2048) == b""

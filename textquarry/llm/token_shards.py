@@ -18,6 +18,8 @@ from textquarry.llm.common import save, shared_dir
 from textquarry.llm.packing import EOS, encoder
 
 ROUNDS = 6
+#: Of so many documents, and of so many characters of each, the dictionary of the compression is learned; its bytes; the level.
+SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL = 1_000, 20_000, 112_640, 9
 _MASK = (1 << 64) - 1
 
 
@@ -51,14 +53,38 @@ def permute(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.nd
 SEQUENCE = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("tokens", pa.int32()), ("payload", pa.binary())])
 
 
-def sequences(docs: DataFrame, json_path: str, ranks_path: str | None, length: int) -> DataFrame:
+def learned(docs: DataFrame, json_path: str, ranks_path: str | None, length: int) -> bytes:
+    """A zstandard dictionary for sequences, learned from a few documents; empty where they are too few. It decides how small
+    sequences are stored, never what they hold."""
+    some = docs.select(F.left(F.col("text").cast("string"), F.lit(SAMPLE_CHARS)).alias("text")).head(SAMPLE)  # of the first files, without a shuffle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(json_path, ranks_path)
+        held = [np.append(encode(t or ""), EOS) for b in batches for t in b.column(0).to_pylist()]
+        raw = np.concatenate(held).astype("<u2").tobytes() if held else b""
+        try:
+            words = zstandard.train_dictionary(DICTIONARY, [raw[i : i + 2 * length] for i in range(0, len(raw), 2 * length)]).as_bytes() if len(raw) > 4 * DICTIONARY else b""
+        except zstandard.ZstdError:  # nothing in it repeats
+            words = b""
+        yield pa.RecordBatch.from_arrays([pa.array([words], pa.binary())], ["words"])
+
+    if not some:
+        return b""
+    return docs.sparkSession.createDataFrame(some, "text string").coalesce(1).mapInArrow(run, "words binary").first().words
+
+
+def _known(words: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(words) if words else None
+
+
+def sequences(docs: DataFrame, json_path: str, ranks_path: str | None, length: int, words: bytes = b"") -> DataFrame:
     """(part, nth, tokens, payload): each task's documents, tokenised and joined by the end id, cut every `length` ids.
-    payload is `length` little-endian unsigned 16-bit ids, as zstandard since it is stored and shuffled; a task's last
-    sequence is filled up with end ids. An id beyond 16 bits is an error."""
+    payload is `length` little-endian unsigned 16-bit ids, as zstandard with the dictionary `words` since it is stored and shuffled; a
+    task's last sequence is filled up with end ids. An id beyond 16 bits is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, nth = encoder(json_path, ranks_path), TaskContext.get().partitionId(), 0
-        small = zstandard.ZstdCompressor(level=3).compress
+        small = zstandard.ZstdCompressor(level=LEVEL, dict_data=_known(words)).compress
         held: list[np.ndarray] = []
         size = 0
 
@@ -94,13 +120,13 @@ def sequences(docs: DataFrame, json_path: str, ranks_path: str | None, length: i
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "part long, nth long, tokens int, payload binary")
 
 
-def placed(docs: DataFrame, json_path: str, ranks_path: str | None = None, length: int = 2048, per_shard: int = 256, key: int = 20_240_601, shard_partitions: int | None = None) -> DataFrame:
+def placed(docs: DataFrame, json_path: str, ranks_path: str | None = None, length: int = 2048, per_shard: int = 256, key: int = 20_240_601, shard_partitions: int | None = None, words: bytes = b"") -> DataFrame:
     """(shard, slot, tokens, payload) of all sequences() of `docs`, in training order within range partitions of shards.
 
     Sequences are written once to the shared folder and numbered by task and place; permute() gives each a slot in
     [0, N), so slots are spread evenly whatever the documents are.
     """
-    saved = save(sequences(docs, json_path, ranks_path, length), "sequences")
+    saved = save(sequences(docs, json_path, ranks_path, length, words), "sequences")
     counts = {r.part: r.n for r in saved.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row for each task
     total, starts = 0, {}
     for part in sorted(counts):
@@ -127,12 +153,12 @@ def materialise(docs: DataFrame, json_path: str, ranks_path: str | None = None,
     is moved at the end, so a task that is run again, or twice, leaves the same files.
     """
     at = folder or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    stride = 2 * length
+    stride, words = 2 * length, learned(docs, json_path, ranks_path, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(at)
         store.create_dir(base, recursive=True)
-        large = zstandard.ZstdDecompressor().decompress
+        large = zstandard.ZstdDecompressor(dict_data=_known(words)).decompress
         row, out, digest, part = None, None, None, ""
 
         def close() -> pa.RecordBatch:
@@ -157,7 +183,7 @@ def materialise(docs: DataFrame, json_path: str, ranks_path: str | None = None,
         if row:
             yield close()
 
-    ordered = placed(docs, json_path, ranks_path, length, per_shard, key, shard_partitions)
+    ordered = placed(docs, json_path, ranks_path, length, per_shard, key, shard_partitions, words)
     return ordered.mapInArrow(run, "shard long, first_slot long, n_sequences int, n_tokens long, stride int, file string, bytes long, sha256 string")
 
 
