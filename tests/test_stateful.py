@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from textquarry.plans import store_queries
 from textquarry.streaming import guard, stateful
 
 CHUNK = "stream_id long, seq long, bytes binary"
@@ -85,3 +86,14 @@ def test_state_ends_by_itself(spark, tmp_path):
         assert {r.id: r.kept for r in spark.table("expiring").filter(F.col("title") == "t3").collect()} == {"x3": True, "y": True}
     finally:
         q.stop()
+
+
+def test_batches_of_many_files_come_whole_and_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_queries, "_anew", lambda spark, what: f"{tmp_path}/{what}")
+    rows = spark.range(600).selectExpr("id % 7 as stream_id", "id as seq", "cast(concat(id, '\n') as binary) as bytes").repartition(5)
+    got = store_queries._streamed(spark, rows, F.floor(F.col("seq") / 200), 3, stateful.lines, "many").collect()
+    for i in range(7):
+        assert [int(r.value) for r in sorted((r for r in got if r.stream_id == i), key=lambda r: r.nth)] == list(range(i, 600, 7))
+    for b in range(3):  # was one file, by one task
+        assert len(list((tmp_path / f"many/in/b{b}").glob("*.parquet"))) == 5
+    assert len(list((tmp_path / "many/log/commits").glob("[0-9]"))) == 3

@@ -157,19 +157,16 @@ def quantised_recall(spark, sf_dir):
     return out
 
 
-def _in_batches(spark, rows, by, n: int, what: str):
-    """`rows` as a stream of n batches, in the order of the column `by`, whose values divide them."""
-    path = _anew(spark, what)
+def _streamed(spark, rows, by, n: int, flow, what: str):
+    """What the stream `flow` gives for `rows` in n batches, in the order of the column `by`, whose values divide them. Each batch is
+    written by many tasks, in any number of files, and taken whole by a run that goes on from the state of the one before."""
+    path, out = _anew(spark, what), None
     for i in range(n):
-        rows.filter(by == i).coalesce(1).write.parquet(f"{path}/b{i}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
-
-
-def _all_of(spark, stream, what: str):
-    """What a stream gives for all that is there now."""
-    path = _anew(spark, what)
-    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+        rows.filter(by == i).write.parquet(f"{path}/in/b{i}")
+        if out is None:
+            out = flow(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{path}/in"))
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
 
 
 @query("SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS nth, event_type || 'é😀' AS content FROM events")
@@ -180,10 +177,10 @@ def chunked_stream(spark, sf_dir):
     n = F.ceil(F.octet_length("all") / 11).cast("int")
     pieces = F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("all", i * 11 + 1, F.lit(11)))).alias("seq", "bytes")
     chunks = cut(body.select(F.col("user_id").alias("stream_id"), n.alias("n"), pieces), "chunks")
-    live = _in_batches(spark, chunks.withColumn("part", F.floor(F.col("seq") * 3 / F.col("n"))), F.col("part"), 3, "chunked")
-    got = guard.decode_events(stateful.lines(live))
+    parts = chunks.withColumn("part", F.floor(F.col("seq") * 3 / F.col("n")))
+    got = _streamed(spark, parts, F.col("part"), 3, lambda live: guard.decode_events(stateful.lines(live)), "chunked")
     w = Window.partitionBy("stream_id").orderBy("nth")
-    return _all_of(spark, got, "lines").select("stream_id", (F.row_number().over(w) - 1).cast("long").alias("nth"), "content")
+    return got.select("stream_id", (F.row_number().over(w) - 1).cast("long").alias("nth"), "content")
 
 
 @query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id * 10 AS updated FROM events),
@@ -195,8 +192,7 @@ def titles_stream(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     most = e.agg(F.max("event_id")).first()[0] + 1
     rows = e.select(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("u"), "user_id").alias("title"), (F.col("event_id") * 10).cast("long").alias("updated"), F.col("event_id").cast("long").alias("seq"), (F.col("event_id") * 10).cast("long").alias("clock"))
-    live = _in_batches(spark, rows, F.floor(F.col("seq") * 3 / most), 3, "titles")
-    return _all_of(spark, stateful.dedup_nodes(live, 5000, "clock"), "deduped").select("id", "kept", "survivor")
+    return _streamed(spark, rows, F.floor(F.col("seq") * 3 / most), 3, lambda live: stateful.dedup_nodes(live, 5000, "clock"), "titles").select("id", "kept", "survivor")
 
 
 _ASKED = LISTS_SQL.replace("lists AS", "asked AS", 1) + ", lists AS (SELECT * FROM asked WHERE list_id IN ('view', 'click', 'purchase') AND pos <= 40)"
