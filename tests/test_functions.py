@@ -142,3 +142,12 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT mask_secrets('password=abcdefgh12') AS a, redact_credential('abcdefghijk') AS b, text_preview(repeat('x', 70)) AS c, strip_ansi('\\u001b[31mred') AS d").first()
     assert (row.a, row.b, row.c, row.d) == ("password=****", "abcd****hijk", "x" * 64 + "…", "red")
     assert [r.rule for r in spark.sql("SELECT rule FROM dlp_findings('password=abcdefgh12')").collect()] == ["key_value_assignment"]
+
+
+def test_chunks_leave_tasks_in_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "One is here. Two is there! " * (i % 5) if i % 7 else None) for i in range(300)], "id long, text string")
+    want = df.select("id", F.posexplode(chunk.chunk_text("text", 9, 3)).alias("nth", "chunk")).collect()
+    for piece in (1, 100, 1_000_000):
+        monkeypatch.setattr(chunk, "PIECE", piece)
+        got = chunk.chunk_rows(df, "text", 9, 3)
+        assert sorted(got.collect()) == sorted(want) and got.columns == ["id", "nth", "chunk"]

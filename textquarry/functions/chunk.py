@@ -20,6 +20,8 @@ _CLASSES = [re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(c
 _WHITE = "".join(chr(c) for c in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 #: Quarters of a token that a character of each class, or of none, counts; the class of one and a half a token is counted apart.
 _QUARTERS, _MIDDLE, _UNKNOWN = np.array([1, 0, 4, 0, 2, 1]), 3, 255
+#: Characters whose chunks a task of chunk_rows() holds at a time.
+PIECE = 1_000_000
 _CLASS_OF = np.full(0x110000, _UNKNOWN, np.uint8)  # filled as characters come up
 
 
@@ -103,6 +105,31 @@ def chunk_text(text: Column | str, most: int = 512, overlap: int = 64) -> Column
     return run(text)
 
 
+def chunk_rows(df: DataFrame, text: str, most: int = 512, overlap: int = 64) -> DataFrame:
+    """A row for each chunk of the column `text`: the other columns, nth, chunk. Tasks hold the chunks of PIECE characters of texts at a time,
+    or of one text."""
+    options, others = ChunkOptions(most, overlap), [c for c in df.columns if c != text]
+    piece = PIECE  # as it is here, not where tasks run
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, nth, out, size = [], [], [], 0
+            for i in range(batch.num_rows):
+                t = batch.column(len(others))[i].as_py()
+                made = chunks(t, options)
+                at += [i] * len(made)
+                nth += range(len(made))
+                out += made
+                size += len(t or "")
+                if size >= piece or i == batch.num_rows - 1:
+                    rows = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(len(others))), pa.array(nth, pa.int32()), pa.array(out, pa.string())], [*others, "nth", "chunk"])
+                    at, nth, out, size = [], [], [], 0
+
+    kinds = dict(df.dtypes)
+    return df.select(*others, F.col(text).cast("string")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "nth int", "chunk string"]))
+
+
 @udtf(returnType="nth int, chunk string")
 class ChunkTable:
     """SELECT * FROM chunk_table(text, most, overlap)"""
