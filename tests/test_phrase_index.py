@@ -89,3 +89,18 @@ def test_empty_table(spark, tmp_path):
     assert index.search("anything").collect() == []
     assert index.upsert(spark.createDataFrame([("a", "anything", None, None, 1.0)], SCHEMA)) == 2
     assert [r.id for r in index.search("ANY").collect()] == ["a"]
+
+
+def test_a_gram_is_one_row_for_each_block_of_nodes(spark, tmp_path, monkeypatch):
+    """Not one for each node, and a block is cut only where the next node no longer fits."""
+    monkeypatch.setattr("textquarry.operators.phrase_index.BLOCK_CHARS", 300)
+    df = spark.createDataFrame([(f"n{i:02}", "t", "Banana 매수신호 " + "x" * (i % 3 * 50), None, 0.5) for i in range(40)], SCHEMA).coalesce(1)
+    index = PhraseIndex.build(df, str(tmp_path / "index"), buckets=4)
+    stored = spark.read.parquet(*index.store.read("postings").inputFiles())
+    assert stored.filter(F.col("gram") == gram_of("매수신")).count() < 20 < index.store.read("postings").filter(F.col("gram") == gram_of("매수신")).count() == 40
+    at = {r.id: list(r.positions) for r in index.store.read("postings", keys=[gram_of("ana")]).collect()}
+    assert at == {f"n{i:02}": [1, 3] for i in range(40)}
+    assert [r.tf for r in index.occurrences("XXX").orderBy("id").limit(4).collect()] == [48, 98, 48, 98]
+    index.delete(df.filter("id < 'n30'").select("id"))
+    index.compact()
+    assert sorted(r.id for r in index.occurrences("수신호").collect()) == [f"n{i}" for i in range(30, 40)] == sorted(r.id for r in index.store.read("postings", keys=[gram_of("수신호")]).collect())
