@@ -377,3 +377,24 @@ def test_chat_folds_gather_no_conversation(spark):
 def test_items_that_end_with_digits_keep_them(spark):
     rows = spark.createDataFrame([("a0, b1 ,2c2,,3",), ("",)], "t string")
     assert [r.x for r in rows.select(g.split_list("t").alias("x")).collect()] == [["a0", "b1", "2c2", "3"], []]
+
+
+def test_dense_components_are_voted_on_in_a_task(spark, monkeypatch):
+    """160,000 edges among 401 nodes, some of them far, in no more memory than theirs; joins are for components beyond GROUP_ROWS."""
+    n, rounds = 400, 10
+    e = spark.range(n * n).select(F.col("id").cast("string").alias("id"), F.expr(f"cast(id div {n} as string)").alias("source"), F.expr(f"cast(id % {n} as string)").alias("target"), (F.pmod(F.xxhash64("id"), F.lit(7)) + 1).cast("double").alias("weight"))
+    e = e.unionByName(spark.createDataFrame([("x", "7", "400", 2.0)], "id string, source string, target string, weight double"))
+    nodes = spark.range(n + 2).select(F.col("id").cast("string").alias("id"), F.col("id").alias("pos"))
+    monkeypatch.setattr(snapshot.Snapshot, "_by_joins", lambda *a: pytest.fail("by joins"))
+    got = {int(r.id): int(r.label) for r in algorithms.label_propagation(nodes, e, rounds).collect()}
+    near, label = [[] for _ in range(n + 2)], list(range(n + 2))
+    for r in e.collect():
+        near[int(r.source)].append((int(r.target), r.weight))
+        near[int(r.target)].append((int(r.source), r.weight))
+    for _ in range(rounds):
+        for i, own in enumerate(near):
+            votes = {}
+            for j, w in own:
+                votes[label[j]] = votes.get(label[j], 0.0) + w
+            label[i] = min(votes, key=lambda x: (-votes[x], x)) if votes else i
+    assert got == dict(enumerate(label)) and len(set(label)) < n
