@@ -172,3 +172,30 @@ def test_newer_schemas_are_refused_and_stopped_migrations_go_on(spark, tmp_path)
     ran = []
     assert store.migrate([(10, lambda t: ran.append(10)), (11, lambda t: ran.append(11))]) == 11
     assert ran == [11]
+
+
+def test_deletes_of_nodes_that_are_not_there_rewrite_no_nodes(spark, tmp_path):
+    graph = G.GraphTables.create(nodes(spark), edges(spark), str(tmp_path / "graph"), 4, wide=True)
+    change = nodes(spark, 9).withColumns({"title": F.lit("new"), "created": F.lit("2030"), "access_count": F.col("importance").cast("long") + 3, "seq": F.lit(0)})
+    late = change.withColumn("seq", F.when(F.col("id") == "n1", F.lit(None)).otherwise(-5))
+    for rows in (change, late):  # the second ones come before what is there
+        want = rows_of(g.upsert_nodes(graph.graph().nodes, rows))
+        graph.upsert(rows, wide=True)
+        assert rows_of(graph.graph().nodes) == want
+    graph.delete(["nobody", "n3"])
+    gone, came = graph.store.changed_files("nodes", 3, 4)
+    assert len({f.split("/_bucket=")[1].split("/")[0] for f in gone}) == 1 and graph.graph().nodes.count() == 29
+
+
+def test_migrations_rewrite_no_nodes(spark, tmp_path):
+    graph = G.GraphTables(spark, str(tmp_path / "graph"))
+    t = graph.store.begin()
+    t.write("nodes", nodes(spark).drop(*G._USE, *G._VALIDITY), "id", 4, shuffle=False)
+    t.write("edges", edges(spark), "source", 4)
+    t.schema = 1
+    t.commit()
+    graph.migrate()
+    assert graph.store.changed_files("nodes", 1, graph.store.version()) == ([], [])
+    assert rows_of(graph.store.read("nodes")) == rows_of(nodes(spark)) and rows_of(graph.nodes_of(["n3"])) == rows_of(nodes(spark).filter("id = 'n3'"))
+    graph.upsert(nodes(spark, 1).withColumns({"access_count": F.lit(7).cast("long"), "seq": F.lit(0)}))
+    assert graph.graph().nodes.select(F.sum("access_count"), F.count("agents")).first() == (7, 30)

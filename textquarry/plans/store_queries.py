@@ -61,9 +61,10 @@ def reindexed_top(spark, sf_dir):
 def graph_versions(spark, sf_dir):
     """A graph of two commits after its first one, read as it was and as it is."""
     every, edges = nodes(spark, sf_dir), supplies(spark, sf_dir)
-    graph = GraphTables.create(every, edges, _anew(spark, "graph"), 16)
+    edges = cut(edges, "supplies")
+    graph = GraphTables.create(every, edges, _anew(spark, "graph"), 16, wide=True)
     late = every.filter("cast(id as bigint) % 7 = 0").withColumns({"title": F.lit("new"), "access_count": F.col("access_count") + 5, "seq": F.lit(0)})
-    graph.upsert(late)
+    graph.upsert(late, wide=True)
     graph.delete(edges.filter("source < 's2'").select(F.col("source").alias("id")).distinct())
     out = None
     for version in (1, 3):
@@ -80,7 +81,7 @@ def migrated_graph(spark, sf_dir):
     """A graph of the first schema, brought to the newest: edges are found by their target then."""
     graph = GraphTables(spark, _anew(spark, "graph"))
     t = graph.store.begin()
-    t.write("nodes", nodes(spark, sf_dir).select("id", "type", "title", "body", "tags", "projects", "created", "updated", "importance"), "id", 16)
+    t.write("nodes", nodes(spark, sf_dir).select("id", "type", "title", "body", "tags", "projects", "created", "updated", "importance"), "id", 16, shuffle=False)
     t.write("edges", supplies(spark, sf_dir), "source", 16)
     t.schema = 1
     t.commit()

@@ -16,11 +16,12 @@ _USE, _VALIDITY = ("agents", "access_count", "accessed_at"), ("valid_until", "la
 
 
 def _with_columns(t: Transaction, names: tuple[str, ...]) -> None:
-    old, entry = t.read("nodes"), t.entry("nodes")
-    if all(n in old.columns for n in names):
+    have = [f["name"] for f in t.entry("nodes")["columns"]["fields"]]
+    if all(n in have for n in names):
         return
-    known = [f.name for f in NODES if f.name in old.columns or f.name in names]
-    t.write("nodes", fill_defaults(old).select(known), entry["key"], entry["buckets"])
+    new = T.StructType([NODES[n] for n in names if n not in have])
+    defaults = {f.name: "[]" if isinstance(f.dataType, T.ArrayType) else 0 if isinstance(f.dataType, T.LongType) else "" for f in new}
+    t.add_columns("nodes", new, defaults, [f.name for f in NODES if f.name in have or f.name in names])
 
 
 def _edges_by_target(t: Transaction) -> None:
@@ -28,6 +29,8 @@ def _edges_by_target(t: Transaction) -> None:
     t.write("edges_by_target", t.read("edges"), "target", entry["buckets"])
 
 
+#: What an upsert takes from the row that it replaces.
+_KEPT = ("created", "access_count", "accessed_at")
 #: Schema versions: 2 counts how nodes are used, 3 finds edges by their target, 4 says until when nodes hold.
 STEPS = [(1, lambda t: None), (2, lambda t: _with_columns(t, _USE)), (3, _edges_by_target), (4, lambda t: _with_columns(t, _VALIDITY))]
 SCHEMA = STEPS[-1][0]
@@ -41,14 +44,15 @@ class GraphTables:
         self.spark, self.store = spark, Store(spark, path)
 
     @classmethod
-    def create(cls, nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 64) -> GraphTables:
-        """A new graph of the newest schema; an error where the folder already has one."""
+    def create(cls, nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 64, wide: bool = False) -> GraphTables:
+        """A new graph of the newest schema; an error where the folder already has one. wide: nodes have long texts, which are not
+        shuffled then; each task writes files of its own."""
         made = cls(nodes.sparkSession, path)
 
         def fill(t: Transaction) -> None:
             if t.base["tables"]:
                 raise ValueError(f"{path} already holds tables")
-            t.write("nodes", fill_defaults(nodes), "id", buckets)
+            t.write("nodes", fill_defaults(nodes), "id", buckets, shuffle=not wide)
             t.write("edges", edges.select(EDGES.fieldNames()), "source", buckets)
             t.write("edges_by_target", edges.select(EDGES.fieldNames()), "target", buckets)
             t.schema = SCHEMA
@@ -73,9 +77,19 @@ class GraphTables:
         out, into = self.store.read("edges", version, ids), self.store.read("edges_by_target", version, ids)
         return {Direction.OUT: out, Direction.IN: into, Direction.BOTH: out.unionByName(into).dropDuplicates(["id"])}[direction]
 
-    def upsert(self, rows: DataFrame, seq: str = "seq") -> int:
-        """graph_store.upsert_nodes() over the nodes' buckets. Returns the version."""
-        return self.store.run(lambda t: t.merge("nodes", rows, lambda old, new: upsert_nodes(old, new, seq)))
+    def upsert(self, rows: DataFrame, seq: str = "seq", wide: bool = False) -> int:
+        """graph_store.upsert_nodes() over the nodes' buckets; `wide` as in create(). Returns the version."""
+        first = rows.filter(F.col(seq).isNull() | (F.col(seq).cast("long") < 0)).head(1)  # those don't replace what is there
+
+        def put(old: DataFrame, new: DataFrame) -> DataFrame:
+            if first:
+                return upsert_nodes(old, new, seq)
+            ids = new.select("id").distinct()
+            there = old.select("id", *_KEPT).join(ids, "id", "left_semi")  # of a row that is replaced no more than these counts
+            merged = upsert_nodes(there.select(*(c if c in ("id", *_KEPT) else F.lit(None).cast(t).alias(c) for c, t in old.dtypes)), new, seq)
+            return old.join(ids, "id", "left_anti").select(old.columns).unionByName(merged)
+
+        return self.store.run(lambda t: t.merge("nodes", rows, put, shuffle=not wide))
 
     def connect(self, rows: DataFrame, seq: str = "seq") -> int:
         """graph_store.append_edges(): new edges are put beside those that are there; of these only the ids, and the buckets of the
@@ -100,9 +114,10 @@ class GraphTables:
             touching = t.read("edges").join(gone.select(F.col("id").alias("source")), "source", "left_semi").select(EDGES.fieldNames())
             touching = touching.unionByName(t.read("edges_by_target").join(gone.select(F.col("id").alias("target")), "target", "left_semi").select(EDGES.fieldNames()))
             dead = cut(touching.dropDuplicates(["id"]), "dead")
-            t.merge("nodes", gone, lambda old, new: old.join(new, "id", "left_anti"))
+            there = t.read("nodes").select("id").join(gone, "id", "left_semi")  # other buckets stay as they are
+            t.merge("nodes", gone, lambda old, new: old.join(new, "id", "left_anti"), keys=there, shuffle=False)
             for table in ("edges", "edges_by_target"):
-                t.merge(table, dead, lambda old, new: old.join(new.select("id"), "id", "left_anti"))
+                t.merge(table, dead, lambda old, new: old.join(new.select("id"), "id", "left_anti"), shuffle=False)
             drop(dead)
 
         return self.store.run(without)
