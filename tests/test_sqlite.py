@@ -64,3 +64,16 @@ def test_graphs_go_out_and_back(spark, tmp_path):
     with sqlite3.connect(path) as c:
         c.execute("ALTER TABLE nodes DROP COLUMN valid_until")
     assert sqlite.copy_graph_from(spark, path)[0].filter("valid_until = ''").count() == 30
+
+
+def test_large_tables_are_read_in_more_ranges(tmp_path):
+    path = str(tmp_path / "a.db")
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE t (n INTEGER)")
+        c.executemany("INSERT INTO t VALUES (?)", [(i,) for i in range(1000)])
+    r = sqlite._Reader(path, "t", sqlite.StructType([sqlite.StructField("n", sqlite.LongType())]), None)
+    assert len(r.partitions()) == 8
+    r.rows = (10, 3)
+    batches = [b for p in r.partitions() for b in r.read(p)]
+    assert len(r.partitions()) == 100 and max(b.num_rows for b in batches) == 3
+    assert [n for b in batches for n in b.column(0).to_pylist()] == list(range(1000))
