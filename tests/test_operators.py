@@ -398,3 +398,13 @@ def test_dense_components_are_voted_on_in_a_task(spark, monkeypatch):
                 votes[label[j]] = votes.get(label[j], 0.0) + w
             label[i] = min(votes, key=lambda x: (-votes[x], x)) if votes else i
     assert got == dict(enumerate(label)) and len(set(label)) < n
+
+
+def test_neighbours_are_told_apart_in_as_many_tasks_as_there_are_rows_for(spark, monkeypatch):
+    monkeypatch.setattr(algorithms, "EDGE_ROWS", 10)
+    e = edge_table(spark, [(f"n{i % 20}", f"n{i % 13}", "r", 1.0) for i in range(200)])
+    want = {x: {f"n{j}" for i in range(200) for k, j in ((i % 20, i % 13), (i % 13, i % 20)) if f"n{k}" == x and k != j} for x in {f"n{i}" for i in range(20)}}
+    near = algorithms.undirected(e)
+    assert near.rdd.getNumPartitions() >= 19
+    assert sorted(map(tuple, near.collect())) == sorted((x, y) for x, ys in want.items() for y in ys)
+    assert {r.id: r.degree for r in algorithms.degrees(e).collect()} == {x: len(ys) for x, ys in want.items() if ys}
