@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from textquarry.operators import snapshot
+from textquarry.plans import queries
 from textquarry.plans.rounds import cut_by, drop, numbered
 
 
@@ -49,3 +50,10 @@ def test_components_in_rounds_and_in_one_task(spark, monkeypatch):
         assert {r.idx: r.component for r in s.components().collect()} == {i: root(i) for i in range(900)}
         assert rounds.count("left") <= 20 and (last < 1000 or not rounds.count("left"))
         s.drop()
+
+
+def test_lines_are_summed_once_for_page_rank(spark, monkeypatch):
+    asked, supplies = [], queries.supplies
+    monkeypatch.setattr(queries, "supplies", lambda *a: asked.append(a) or supplies(*a))
+    ranks = queries.page_rank(spark, "/root/testdata/sf0.001").agg(F.round(F.sum("rank"), 4).alias("s")).first()
+    assert len(asked) == 1 and ranks.s == 1
